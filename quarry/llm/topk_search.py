@@ -122,8 +122,8 @@ def topk_inner_product(candidates: DataFrame, queries: DataFrame, k: int = 5, sh
     n, m = candidates.count(), queries.count()
     shards, blocks = partitions(n, shard_rows), partitions(m, query_rows)
     dim = F.size("q").alias("dim")
-    left = candidates.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+    left = candidates.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("vec_id", "q", dim, F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     keys = ("shard", "block", "dim")
     part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
