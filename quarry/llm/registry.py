@@ -9,6 +9,7 @@ MODULES = {
     "op1_topk_search": "topk_search",
     "op2_byte_bpe": "bpe",
     "op4_token_counts": "token_counts",
+    "op7_wavelet_tokens": "wavelet",
     "op5_perspective_rotation": "chat_format",
 }
 
