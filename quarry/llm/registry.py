@@ -10,6 +10,8 @@ MODULES = {
     "op2_byte_bpe": "bpe",
     "op4_token_counts": "token_counts",
     "op7_wavelet_tokens": "wavelet",
+    "op9_toxicity": "toxicity",
+    "op10_decontamination": "decontam",
     "op5_perspective_rotation": "chat_format",
 }
 
