@@ -12,6 +12,7 @@ MODULES = {
     "op7_wavelet_tokens": "wavelet",
     "op9_toxicity": "toxicity",
     "op10_decontamination": "decontam",
+    "op6_minhash_dedup": "minhash",
     "op5_perspective_rotation": "chat_format",
 }
 
