@@ -13,6 +13,7 @@ MODULES = {
     "op9_toxicity": "toxicity",
     "op10_decontamination": "decontam",
     "op6_minhash_dedup": "minhash",
+    "op8_suffix_dedup": "suffix_dedup",
     "op5_perspective_rotation": "chat_format",
 }
 

@@ -90,7 +90,7 @@ def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
 
 
 def _search(k: int):
-    def group(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def group(key, left, right):
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             ids = np.asarray(left["vec_id"].combine_chunks())
