@@ -14,6 +14,7 @@ MODULES = {
     "op10_decontamination": "decontam",
     "op6_minhash_dedup": "minhash",
     "op8_suffix_dedup": "suffix_dedup",
+    "op3_lm_scoring": "katz",
     "op5_perspective_rotation": "chat_format",
 }
 
