@@ -1,8 +1,75 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, contamination, byte-level BPE.
 
-STAGES: list = []
+Each stage works on all documents that the one before kept and decides by its own input alone. Documents
+are told apart by ``doc_id``; rows that repeat an id with the same text are near-duplicates like others, of
+which one stays. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, decontam, minhash, suffix_dedup, toxicity
+from quarry.llm.common import Scratch
+
+#: Columns of ``documents``, in order.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of these documents, scores below one half."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs.select(*COLUMNS), model, score="_score").where("_score < 0.5").drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similarity 0.8 or more of five-word shingle sets: the smallest id.
+
+    Of rows that repeat the id of a kept document the one of least text stays. Documents without words and
+    rows without id stay.
+    """
+    kept = minhash.near_duplicates(docs, words=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    best = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return named.join(repeated, "doc_id", "left_anti").unionByName(best).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without any byte that a 400-byte string covers which also starts elsewhere; ``n_chars`` follows the text."""
+    found = suffix_dedup.cleaned(docs.select(*COLUMNS))
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty lies in a window of a benchmark item."""
+    found = decontam.judge(decontam.scan_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return found.where("NOT _contaminated").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of the ids and of the bytes they decode to."""
+    return bpe.roundtrip_digests(docs, public_tokenizers.path(bpe.RANKS))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("byte_level_bpe", encode),
+]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written as Parquet and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return docs
