@@ -32,7 +32,9 @@ from quarry.llm.common import _BYTE_CODES, Scratch, _powers, bytes_of, chunks, m
 
 LENGTH, GRAM = 400, 16
 #: Different regions in a shard; with at most 1.5 windows each, places stay below 2^21 at the standard length.
-SHARD_REGIONS = 3000
+SHARD_REGIONS = 2000
+#: Text bytes that one numpy pass looks for anchors in.
+BLOCK_BYTES = 3 << 19
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -90,10 +92,10 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
     """``(k1, k2, print, r1, r2, lo, hi)`` of every anchor of the rows ``(k1, k2, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", BLOCK_BYTES):
             data, offs = bytes_of(text_array(t["text"]))
-            if len(data) >= 1 << 24:  # one very long text: in overlapping blocks, each with its own windows
-                blocks = [(a, min(len(data), a + (1 << 23) + length - 1)) for a in range(0, max(1, len(data) - length + 1), 1 << 23)]
+            if len(data) >= 2 * BLOCK_BYTES:  # one very long text: in overlapping blocks, each with its own windows
+                blocks = [(a, min(len(data), a + BLOCK_BYTES + length - 1)) for a in range(0, max(1, len(data) - length + 1), BLOCK_BYTES)]
             else:
                 blocks = [(0, len(data))]
             k1, k2 = np.asarray(t["k1"]), np.asarray(t["k2"])
