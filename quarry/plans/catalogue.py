@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quarry.plans import event_queries, image_queries, similarity_queries, text_queries  # noqa: F401 - they register
+from quarry.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
