@@ -5,11 +5,11 @@
 2. Inverted lists of the retained values: a class keeps as keys only its rarest retained values - as many as
    guarantee that two sketches with the required overlap share a key - so common passages make no long lists.
    A value that only one class retains has no list at all.
-3. Each list ties its members to a hub of its own choice. Candidates pass if the sketch of the union - the k
-   least values of both sketches - estimates enough overlap; the best ones of each class are confirmed on the
-   full sets, and components form.
-4. What is left: pairs in a list whose members lie in different components. They meet (all of them, without a
-   cap) and go the same way. No pair of one component is ever looked at again.
+3. A few lists of each class tie it to a hub that the list chooses. If the sketch of the union - the k least
+   values of both sketches - estimates enough overlap, the pair is confirmed on the full sets. Components form.
+4. What is left: classes that lists join, whose components differ. They meet in blocks of bounded size, on
+   the full sets, each pair of blocks in one task, which returns a spanning forest of the links it finds.
+   Members of the largest component of what lists join never meet each other; no pair is a row of a table.
 5. Components by alternating large-star and small-star steps (Kiveris et al. 2014) on tables.
 """
 
@@ -28,8 +28,10 @@ from quarry.llm.common import Scratch, bytes_of, chunks, mix, small_batches, tex
 K = 64
 #: Share of the union sketch that must agree for a candidate: five standard deviations below 0.8 at k = 64.
 LEAST = 0.55
-#: Hub candidates of a class that are confirmed first.
-FIRST = 3
+#: Lists of a class whose hubs are tried first.
+FIRST = 4
+#: Classes and shingles in a block.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 250_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -166,6 +168,98 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state, edges = now, nxt
 
 
+def cross_links(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y of the sets with 100 * intersection >= 80 * union.
+
+    Values that few pairs share are counted pair by pair, the others by products of indicator matrices.
+    """
+    nx, ny = (np.fromiter(map(len, s), np.int64, len(s)) for s in (x, y))
+    vx, vy = np.concatenate(x), np.concatenate(y)
+    dx, dy = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    common = np.intersect1d(vx, vy)
+    if not len(common):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def coded(v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, v), len(common) - 1)
+        real = common[at] == v
+        order = np.argsort(at[real], kind="stable")
+        return at[real][order], d[real][order], np.bincount(at[real], minlength=len(common))
+
+    (cx, dx, fx), (cy, dy, fy) = coded(vx, dx), coded(vy, dy)
+    out = np.zeros((len(x), len(y)))
+    few = fx * fy <= 256
+    kx, ky = few[cx], few[cy]
+    sx, sy = np.cumsum(fx) - fx, np.cumsum(fy) - fy
+    # each entry of x meets the entries of y with its value
+    left = np.flatnonzero(kx)
+    n = fy[cx[left]]
+    right = np.repeat(sy[cx[left]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out += np.bincount(np.repeat(dx[left], n) * len(y) + dy[right], minlength=len(x) * len(y)).reshape(out.shape)
+    many = np.flatnonzero(~few)
+    for a in range(0, len(many), 4096):
+        part = many[a : a + 4096]
+        place = np.full(len(common), -1)
+        place[part] = np.arange(len(part))
+        mx, my = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        px, py = place[cx], place[cy]
+        mx[dx[px >= 0], px[px >= 0]] = 1
+        my[dy[py >= 0], py[py >= 0]] = 1
+        out += mx @ my.T
+    return np.nonzero(100 * out >= 80 * (nx[:, None] + ny[None, :] - out))
+
+
+def block_links(tied: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)``: links between classes of different components among those that lists join, enough to connect them."""
+    joined = components(tied.select(F.col("id").alias("a"), F.col("hub").alias("b")), scratch, "joined").withColumnRenamed("component", "pool")
+    joined = joined.unionByName(joined.select(F.col("pool").alias("id"), "pool").distinct()).distinct()
+    named = joined.join(comp, "id", "left").join(classes.select("id", "n"), "id").select("id", "pool", "n", F.coalesce("component", "id").alias("c"))
+    sizes = named.groupBy("pool", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("pool").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("pool", "main")
+    mixed = scratch.table(named.join(main, "pool").select("id", "pool", "n", "c", (F.col("c") == F.col("main")).alias("major")), "mixed")
+    blocks = mixed.groupBy("pool", "major").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    wide = blocks.groupBy("pool").agg(F.coalesce(F.max(F.when(F.col("major"), F.col("blocks"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(~F.col("major"), F.col("blocks"))), F.lit(0)).alias("q"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
+
+    full = docs.join(mixed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, full binary").dropDuplicates(["id"])
+    # blocks 0 to q - 1 hold the minor components, q to q + p - 1 the largest one; a minor block meets all blocks from itself on
+    count = F.when(F.col("major"), F.col("p")).otherwise(F.col("q"))
+    own = F.pmod(F.xxhash64("id"), count).cast("int") + F.when(F.col("major"), F.col("q")).otherwise(0)
+    placed = scratch.table(mixed.join(wide, "pool").withColumn("block", own).join(full, "id").select("id", "c", "pool", "p", "q", "block", "full"), "placed")
+    lower = F.transform(F.sequence(F.lit(0), F.least("block", F.col("q") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    upper = F.when(F.col("block") < F.col("q"), F.transform(F.sequence(F.col("block"), F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    dealt = placed.select("id", "c", "pool", "block", "full", F.explode(F.array_distinct(F.concat(lower, upper))).alias("t")).select("id", "c", "pool", "block", "full", "t.i", "t.j")
+
+    def run(key, t):
+        _, i, j = (k.as_py() for k in key)
+        block, ids, comps = (np.asarray(t[n]) for n in ("block", "id", "c"))
+        every = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["full"].combine_chunks()] if t.num_rows else []
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = []
+        if len(x) and len(y):
+            a, b = cross_links([every[k] for k in x], [every[k] for k in y])
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while root.setdefault(v, v) != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for u, v in zip(x[a].tolist(), y[b].tolist()):
+                p, q = find(int(comps[u])), find(int(comps[v]))
+                if p != q:
+                    root[p] = q
+                    links.append((int(ids[u]), int(ids[v])))
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    out = scratch.table(dealt.groupBy("pool", "i", "j").applyInArrow(run, "a long, b long"), "links2")
+    scratch.drop("placed", "mixed")
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
@@ -183,6 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc
     known = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     best = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.table(best, "classes")
+    every = scratch.table(every.select("doc_id", "n", "digest"), "members")
+    scratch.drop("sketches")
     texts = rows.where("doc_id IS NOT NULL")
 
     values = classes.select("id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
@@ -195,30 +291,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc
     keys = scratch.table(
         entries.withColumns({"place": F.row_number().over(rare), "listed": F.count("*").over(tally)})
         .where(F.col("size") - F.col("listed") + F.col("place") <= F.col("size") - must + 1)
-        .select("value", "id"),
+        .select("value", "id", "place"),
         "keys",
     )
     scratch.drop("entries")
 
-    hub = keys.groupBy("value").agg(F.min_by("id", F.xxhash64("value", "id")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    tied = keys.join(hub, "value").where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), "id").distinct()
-    hubs = scratch.table(estimate_pairs(tied.select("a", "b").distinct(), classes, k, LEAST), "hubs")
-    # each class confirms its best few as a member; a hub's ties are ranked at their members, not at the hub
-    mine = tied.join(hubs, ["a", "b"])
-    first = mine.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.col("est").desc(), "a", "b"))).where(F.col("place") <= FIRST)
-    links1 = confirm_pairs(scratch.table(first.select("a", "b").distinct(), "first"), texts, words, scratch, "1")
+    hub = keys.groupBy("value").agg(F.min_by("id", F.xxhash64("value", "id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("value", "hub")
+    tied = scratch.table(keys.join(hub, "value").where("id <> hub").select("id", "hub", "place"), "tied")
+    first = tied.where(F.col("place") <= FIRST).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    near = scratch.table(estimate_pairs(first, classes, k, LEAST), "near")
+    links1 = confirm_pairs(near, texts, words, scratch, "1")
     comp1 = components(links1, scratch, "stars1")
-
-    named = scratch.table(keys.join(comp1, "id", "left").select("value", "id", F.coalesce("component", "id").alias("c")), "named")
-    # in each list, the members outside its largest component meet all members of other components
-    sizes = named.groupBy("value", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("value").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = named.join(main, "value")
-    minor = mixed.where("c <> main").select("value", F.col("id").alias("x"), F.col("c").alias("cx"))
-    other = mixed.select("value", F.col("id").alias("y"), F.col("c").alias("cy"), "main")
-    left = minor.join(other, "value").where("cx <> cy AND (cy = main OR x < y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    passed = scratch.table(estimate_pairs(left, classes, k, LEAST), "passed")
-    links2 = confirm_pairs(passed, texts, words, scratch, "2")
+    links2 = block_links(tied, classes, comp1, texts, words, scratch)
     final = components(links1.unionByName(links2), scratch, "stars2")
 
     names = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
