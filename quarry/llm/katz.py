@@ -43,11 +43,27 @@ def held_out(doc: Column) -> Column:
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """Numbers by byte planes - first all lowest bytes, then all next - compressed."""
+    flat = np.ascontiguousarray(a).ravel()
+    return zlib.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes(), 1)
 
 
 def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_words(words: pa.Array) -> bytes:
+    """Words, which never hold a line end, one a line."""
+    data, offs = bytes_of(words)
+    return zlib.compress(np.insert(data, offs[1:], 10).tobytes(), 1)
+
+
+def unpack_words(raw: bytes) -> pa.Array:
+    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    offs = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data[data != 10]))])
 
 
 def discounts(of: np.ndarray, k: int = K) -> np.ndarray:
@@ -101,7 +117,7 @@ class Contexts:
         self.left = np.where(low, least, 1 - kept)
 
 
-_BLOCK = "block long, docs array<bigint>, held array<boolean>, sizes binary, tokens binary, words array<binary>"
+_BLOCK = "block long, docs array<bigint>, held array<boolean>, sizes binary, tokens binary, n_words long, words binary"
 
 
 def number_blocks(rows: DataFrame) -> DataFrame:
@@ -124,8 +140,9 @@ def number_blocks(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | seq], pa.int64()), pa.array([t["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([t["held"].to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([pack((sizes + 1).astype(np.int32))], pa.binary()), pa.array([pack(tokens)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                ], ["block", "docs", "held", "sizes", "tokens", "words"],
+                    pa.array([pack((sizes + 1).astype(np.int32))], pa.binary()), pa.array([pack(tokens)], pa.binary()),
+                    pa.array([len(words)], pa.int64()), pa.array([pack_words(words)], pa.binary()),
+                ], ["block", "docs", "held", "sizes", "tokens", "n_words", "words"],
             )
 
     return rows.mapInArrow(run, _BLOCK)
@@ -170,18 +187,16 @@ def send_words(blocks: DataFrame, parts: int) -> DataFrame:
                 one = b.slice(i, 1)
                 row = {n: one.column(one.schema.get_field_index(n)) for n in ("block", "held", "sizes", "tokens", "words")}
                 block = Block({n: row[n][0].as_py() for n in ("held", "sizes", "tokens")})
-                words = row["words"].flatten()
+                words = unpack_words(row["words"][0].as_py())
                 counts = np.bincount(block.tokens[block.learn], minlength=len(words) + 1)
                 every = pa.concat_arrays([pa.array([b""], pa.binary()), words])
                 out: list[list] = [[], [], [], []]
                 for part, members in _groups(_word_parts(words, parts), parts):
-                    for c, x in zip(out, (part, row["block"][0].as_py(), every.take(pa.array(members)), pack(counts[members]))):
+                    for c, x in zip(out, (part, row["block"][0].as_py(), pack_words(every.take(pa.array(members))), pack(counts[members]))):
                         c.append(x)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in out[2]])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays(out[2]))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), lists, pa.array(out[3], pa.binary())], ["part", "block", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 2 else pa.binary()) for n, c in enumerate(out)], ["part", "block", "words", "counts"])
 
-    return blocks.mapInArrow(run, "part long, block long, words array<binary>, counts binary")
+    return blocks.mapInArrow(run, "part long, block long, words binary, counts binary")
 
 
 _HIST = [f"h{r}" for r in range(1, K + 2)]
@@ -192,12 +207,12 @@ def count_words(sent: DataFrame, parts: int) -> DataFrame:
 
     def run(key, t):
         part = key[0].as_py()
-        words = t["words"].combine_chunks()
-        coded = words.flatten().dictionary_encode()
+        lists = [unpack_words(x) for x in t["words"].to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         which = np.asarray(coded.indices).astype(np.int64)
         counts = np.concatenate([unpack(x) for x in t["counts"].to_pylist()])
         total = np.bincount(which, counts, len(coded.dictionary)).astype(np.int64)  # exact below 2^53
-        bounds = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()))])
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         n = t.num_rows
         out = {"part": np.full(n, part), "block": np.asarray(t["block"])}
         ids, back = part + parts * which, total[which]
@@ -229,7 +244,7 @@ def _pair_parts(u: np.ndarray, v: np.ndarray, parts: int) -> np.ndarray:
 
 def _one(t: pa.Table) -> tuple[dict, pa.Array]:
     row = {n: t[n][0].as_py() for n in ("block", "docs", "held", "sizes", "tokens")}
-    return row, t["words"].combine_chunks().flatten()
+    return row, unpack_words(t["words"][0].as_py())
 
 
 def send_pairs(blocks: DataFrame, answers: DataFrame, word_parts: int, parts: int) -> DataFrame:
@@ -368,7 +383,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     scratch = Scratch(spark, "katz")
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), held_out(F.col(doc)).alias("held"), F.col(text).cast("string").alias("text"))
     blocks = scratch.table(number_blocks(rows), "blocks")
-    n_words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     word_parts = partitions(n_words, ENTRIES)
     words = scratch.table(count_words(send_words(blocks, word_parts), word_parts), "words")
     *of, types, total = words.agg(*(F.sum(c) for c in [*_HIST, "types", "total"])).first()
