@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     total = texts.count()
     place = (F.xxhash64("doc_id") / float(2**63) + 1) / 2  # even in 0 to 1
     share = lambda count: F.lit(min(1.0, sample / max(1, count)))
-    toxic = texts.join(marked.where("toxic = 1").where(place < share(n_toxic)), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "doc_id", "text")
+    chosen = F.broadcast(marked.where("toxic = 1").where(place < share(n_toxic)).select("doc_id"))  # about ``sample`` ids at most
+    toxic = texts.join(chosen, "doc_id", "left_semi").select(F.lit(1).alias("kind"), "doc_id", "text")
     plain = texts.where(place < share(total)).select(F.lit(0).alias("kind"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
