@@ -37,9 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.join(repeated, "doc_id", "left_anti").unionByName(best).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
+#: Bytes from which a passage that repeats is cut: what 50 words come to, less what short words may save.
+PASSAGE = 240
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without any byte that a 400-byte string covers which also starts elsewhere; ``n_chars`` follows the text."""
-    found = suffix_dedup.cleaned(docs.select(*COLUMNS))
+    """The documents without what strings of ``PASSAGE`` bytes cover that also start elsewhere; ``n_chars`` follows the text."""
+    found = suffix_dedup.cleaned(docs.select(*COLUMNS), PASSAGE)
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

@@ -64,11 +64,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def find_anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, print, two region hashes, first and last window start (in the row) of every anchor."""
+    """Row, print, region hash (of another base), first and last window start (in the row) of every anchor."""
     half = length // 2
     gram = min(GRAM, length - half)
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     prints, second = Prints(data, _BASES[0]), Prints(data, _BASES[1])
     at = np.arange(len(data) - gram + 1)
     # hash above, place below: the leftmost of equal hashes is least
@@ -79,17 +79,17 @@ def find_anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nd
     whole = start + length <= offs[row + 1]
     start, anchor, row = start[whole], anchor[whole], row[whole]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     lo, hi, a, r = start[first], start[last], anchor[first], row[first]
     signed = lambda h: mix(h).view(np.int64)
-    return r, signed(prints(a, a + half)), signed(prints(lo, hi + length)), signed(second(lo, hi + length)), lo - offs[r], hi - offs[r]
+    return r, signed(prints(a, a + half)), signed(second(lo, hi + length)), lo - offs[r], hi - offs[r]
 
 
 def anchors(rows: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, print, r1, r2, lo, hi)`` of every anchor of the rows ``(k1, k2, text)``."""
+    """``(k1, k2, print, r, lo, hi)`` of every anchor of the rows ``(k1, k2, text)``; (print, r) names a region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", BLOCK_BYTES):
@@ -101,11 +101,11 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
             k1, k2 = np.asarray(t["k1"]), np.asarray(t["k2"])
             for a, b in blocks:
                 inner = np.clip(offs, a, b) - a
-                r, p, r1, r2, lo, hi = find_anchors(data[a:b], inner, length)
+                r, p, region, lo, hi = find_anchors(data[a:b], inner, length)
                 shift = np.maximum(0, a - offs[:-1])[r] if len(r) else r
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[r], k2[r], p, r1, r2, lo + shift, hi + shift)], ["k1", "k2", "print", "r1", "r2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[r], k2[r], p, region, lo + shift, hi + shift)], ["k1", "k2", "print", "r", "lo", "hi"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, print long, r1 long, r2 long, lo long, hi long")
+    return rows.mapInArrow(run, "k1 long, k2 long, print long, r long, lo long, hi long")
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +287,7 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, shard_region
     """``(k1, k2, lo, hi)``: first and last starts of runs of repeated windows in the rows ``(k1, k2, text)``."""
     shard_regions = shard_regions or min(SHARD_REGIONS, (1 << 21) // (length + length // 2 + 1))
     marks = scratch.table(anchors(docs, length), "anchors")
-    region = ["print", "r1", "r2"]
+    region = ["print", "r"]
     # one copy of each region: all its columns come from one row
     distinct = scratch.table(marks.groupBy(*region).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi"))), "regions")
     wholes = distinct.where("n > 1").select(*region)
