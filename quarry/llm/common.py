@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass works on.
 CHUNK_BYTES = 6 << 20
+#: The same where words are hashed, which takes some 50 bytes for each.
+HASH_BYTES = 3 << 19
 #: Rows in an Arrow batch sent to Python; long texts make large batches.
 BATCH_ROWS = 512
 

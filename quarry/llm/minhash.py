@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, bytes_of, chunks, mix, small_batches, text_array, word_hashes, word_spans
+from quarry.llm.common import HASH_BYTES, Scratch, bytes_of, chunks, mix, small_batches, text_array, word_hashes, word_spans
 
 #: Values in a sketch.
 K = 64
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", HASH_BYTES):
             sets = shingle_sets(text_array(t["text"]), words)
             low = [s[:k].view(np.int64) for s in sets]
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
@@ -122,7 +122,7 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int, scratch: Scratc
     """``(a, b)`` of the pairs whose full sets have 100 * intersection >= 80 * union."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", HASH_BYTES):
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -221,7 +221,7 @@ def block_links(tied: DataFrame, classes: DataFrame, comp: DataFrame, docs: Data
     wide = blocks.groupBy("pool").agg(F.coalesce(F.max(F.when(F.col("major"), F.col("blocks"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(~F.col("major"), F.col("blocks"))), F.lit(0)).alias("q"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", HASH_BYTES):
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
 
     full = docs.join(mixed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, full binary").dropDuplicates(["id"])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import bytes_of, chunks, small_batches, text_array, word_hashes, word_spans
+from quarry.llm.common import HASH_BYTES, bytes_of, chunks, small_batches, text_array, word_hashes, word_spans
 
 #: Hash buckets of words, words that become features, and the bound on rows the fit takes of each kind.
 BUCKETS, FEATURES, SAMPLE = 1 << 20, 1000, 12_000
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     plain = texts.where(place < share(total)).select(F.lit(0).alias("kind"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", HASH_BYTES):
             flat, bounds = word_buckets(text_array(t["text"]))
             yield pa.RecordBatch.from_arrays([t["kind"].combine_chunks(), t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["kind", "doc_id", "words"])
 
@@ -144,7 +144,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
-        for t in chunks(batches, text):
+        for t in chunks(batches, text, HASH_BYTES):
             flat, bounds = word_buckets(text_array(t[text]))
             row = np.repeat(np.arange(t.num_rows), np.diff(bounds))
             z = np.bincount(row, table[flat].astype(np.float64), t.num_rows)  # row by row, in the buckets' order
