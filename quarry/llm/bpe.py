@@ -27,7 +27,7 @@ from quarry.llm.common import bytes_of, chunks, small_batches, text_array
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pre-tokens that one recursive query takes, and words a worker remembers before it starts anew.
-QUERY_BYTES, MEMO_WORDS = 1 << 20, 600_000
+QUERY_BYTES, MEMO_WORDS = 1 << 18, 400_000
 #: Words up to this many bytes contract one pair a round; longer ones every clear occurrence of the least pair.
 SHORT = 256
 
@@ -168,8 +168,8 @@ class Codec:
         ids, offs = bytes_of(raw.dictionary)
         ids, n = ids.view(np.int32), np.diff(offs) >> 2
         texts, sizes = [], []
-        for a in range(0, len(n), 50_000):
-            part = n[a : a + 50_000]
+        for a in range(0, len(n), 20_000):
+            part = n[a : a + 20_000]
             lo = int(offs[a] >> 2)
             hi = lo + int(part.sum())
             rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), part), "p": np.arange(hi - lo, dtype=np.int32), "id": ids[lo:hi]})

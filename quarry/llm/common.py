@@ -95,6 +95,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def offsets_of(arr: pa.Array) -> np.ndarray:
