@@ -40,6 +40,45 @@ def greedy_leaders(edges: DataFrame) -> DataFrame:
     return state.where("s = 2").join(claims, F.col("id") == F.col("i")).select("id", "keeper").unionByName(state.where("s = 1").select("id", F.col("id").alias("keeper")))
 
 
+def class_leaders(members: DataFrame, near: DataFrame, edges: DataFrame) -> DataFrame:
+    """``greedy_leaders`` of a graph whose edges are mostly those of whole classes, without writing these out.
+
+    ``members`` ``(id, k)`` puts a row in at most one class. Rows are tied if their classes are the same or tied
+    by ``near`` ``(i, j)``, or if ``edges`` ``(i, j)`` ties the rows themselves. Every row of a class has the same
+    neighbours by class, so the least open row and the least leader of each class decide for all of its rows.
+    """
+    spark = members.sparkSession
+    root = scratch_root(spark)
+    own = settle(_both_ways(edges), root, "own").where("j < i")
+    copies = members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.col("k").alias("k2"))
+    tied = near.select("i", "j").union(near.select("j", "i")).toDF("k", "k2").union(copies)
+    # a class is around itself too: of its rows only the least open one may lead
+    around = settle(tied.union(tied.select("k", F.col("k").alias("k2"))).distinct(), root, "around")
+    rows = members.join(around.select("k").distinct(), "k", "left_semi").select(F.col("id").cast("long").alias("id"), "k")
+    ends = own.select("i").union(own.select("j")).distinct().toDF("id")
+    state = settle(rows.join(ends, "id", "full").withColumn("s", F.lit(0)), root, "s0")  # 0 open, 1 leader, 2 member
+    step = 0
+
+    def by_class(state: DataFrame) -> DataFrame:
+        least = state.where("k IS NOT NULL AND s < 2").groupBy("k").agg(F.min(F.when(F.col("s") == 0, F.col("id"))).alias("open"), F.min(F.when(F.col("s") == 1, F.col("id"))).alias("lead"))
+        return around.join(least.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("open").alias("open"), F.min("lead").alias("lead"))
+
+    while True:
+        seen = own.join(state.select(F.col("id").alias("j"), F.col("s").alias("sj")), "j").groupBy("i").agg(F.bool_or(F.col("sj") == 1).alias("led"), F.bool_and(F.col("sj") == 2).alias("free"))
+        step += 1
+        led = F.coalesce(F.col("led"), F.lit(False)) | F.coalesce(F.col("lead") < F.col("id"), F.lit(False))
+        free = F.coalesce(F.col("free"), F.lit(True)) & F.coalesce(F.col("open") >= F.col("id"), F.lit(True))
+        both = state.join(by_class(state), "k", "left").join(seen.withColumnRenamed("i", "id"), "id", "left")
+        state = settle(both.select("id", "k", F.when(F.col("s") > 0, F.col("s")).when(led, 2).when(free, 1).otherwise(0).alias("s")), root, f"s{step}")
+        if state.where("s = 0").isEmpty():
+            break
+    leaders = state.where("s = 1")
+    claims = own.join(leaders.select(F.col("id").alias("j")), "j", "left_semi").groupBy(F.col("i").alias("id")).agg(F.min("j").alias("claim"))
+    taken = state.where("s = 2").join(by_class(leaders).select("k", "lead"), "k", "left").join(claims, "id", "left")
+    keeper = F.least(F.when(F.col("lead") < F.col("id"), F.col("lead")), "claim")
+    return taken.select("id", keeper.alias("keeper")).unionByName(leaders.select("id", F.col("id").alias("keeper")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id reachable, of every vertex with an edge.
 

@@ -27,13 +27,19 @@ class Report:
 
 
 def duplicate_keepers(features: DataFrame, vectors: DataFrame | None, max_bits: int = 4, least: float = 0.96) -> DataFrame:
-    """``(id, keeper)``: near-equal hashes or faces. Rows of one hash follow their first; first rows are linked by bands."""
-    same = features.where("phash IS NOT NULL").groupBy("phash").agg(F.min("image_id").alias("i"))
-    own = features.join(same, "phash").where("image_id <> i").select("i", c("image_id").alias("j"))
-    edges = own.unionByName(pairs.hamming_pairs(features, max_bits).select("i", "j"))
-    if vectors is not None:
-        edges = edges.unionByName(pairs.similar_pairs(vectors, least).select("i", "j"))
-    return graph.greedy_leaders(edges)
+    """``(id, keeper)``: near-equal hashes, or faces whose product is over ``least``. Every row is compared, by hash class.
+
+    A class has all rows of one hash and is named by its first; classes are tied by bands, faces row by row.
+    """
+    hashed = features.where("phash IS NOT NULL").select("image_id", "phash")
+    named = hashed.groupBy("phash").agg(F.min("image_id").alias("k"))
+    members = hashed.join(named, "phash").select(c("image_id").alias("id"), "k")
+    near = pairs.hamming_pairs(features, max_bits).select("i", "j")
+    if vectors is None:
+        faces = near.limit(0)
+    else:
+        faces = pairs.similar_pairs(vectors, least).where(c("sim") > least).select("i", "j")
+    return graph.class_leaders(members, near, faces)
 
 
 def analyze(features: DataFrame, vectors: DataFrame | None = None, legacy_stats: bool = False) -> Report:

@@ -104,6 +104,29 @@ def test_leaders_differ_from_components(spark):
     assert sorted(map(tuple, graph.greedy_leaders(star).collect())) == [(1, 1), (2, 2), (3, 3), (9, 1)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_duplicates_equal_the_sequential_loop(spark, seed):
+    from quarry.plans.analyze import duplicate_keepers
+
+    if seed:
+        rng = np.random.default_rng(seed)
+        pool = [0, 0b1, 0b111111, 0b1111, 1 << 40, 0xFF << 20]
+        rows = [(i, None if rng.random() < 0.1 else int(rng.choice(pool)) ^ int(rng.choice([0, 0, 0b11, 1 << 50]))) for i in range(1, 81)]
+        faces = [(i, [1.0, 0.0] if rng.random() < 0.05 else [0.0, 0.0]) for i in range(1, 81)]
+    else:  # copies of two near hashes: row 1 claims 5, 20 and 30
+        rows, faces = [(1, 0), (5, 0b11), (20, 0b11), (30, 0b11), (40, 0xFF << 30), (41, None)], [(40, [1.0, 0.0]), (41, [1.0, 0.0])]
+    v, keeper = dict(faces), {}
+    for n, (i, h) in enumerate(rows):
+        if i in keeper:
+            continue
+        for j, g in rows[n + 1 :]:
+            if j not in keeper and ((h is not None and g is not None and (h ^ g).bit_count() < 5) or np.dot(v.get(i, [0, 0]), v.get(j, [0, 0])) > 0.96):
+                keeper[j] = i
+    features, vectors = spark.createDataFrame(rows, "image_id long, phash long"), spark.createDataFrame(faces, "vec_id long, embedding array<double>")
+    got = {r.id: r.keeper for r in duplicate_keepers(features, vectors).collect() if r.id != r.keeper}
+    assert got == keeper and (seed or got == {5: 1, 20: 1, 30: 1, 41: 40})
+
+
 def test_hamming_bands(spark):
     rows = [(1, 0), (2, 0b1111), (3, 0b11111), (4, -1), (5, -1 ^ (1 << 40)), (6, None), (7, 0)]
     got = sorted(map(tuple, pairs.hamming_pairs(spark.createDataFrame(rows, "image_id long, phash long"), 4).collect()))
