@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import classify
+from quarry.functions import classify, text
 from quarry.functions.numeric import cascade, half_up, truthy_or
 
 c = F.col
@@ -68,9 +68,9 @@ def dataset_grade(n_yes: Column, coherence: Column) -> Column:
 def diversity(clusters: Column, total: Column, overfit_categories: Column) -> Column:
     """Mean of the cluster score and of what overfit categories leave of 100, rounded; parts that are null don't count."""
     clip = F.when(total > 0, F.least(F.lit(100), F.floor(clusters / total * 100)))
-    fit = F.greatest(F.lit(0), F.lit(100) - 15 * overfit_categories)
+    fit = F.when(overfit_categories.isNotNull(), F.greatest(F.lit(0), F.lit(100) - 15 * overfit_categories))
     parts = F.array_compact(F.array(clip.cast("double"), fit.cast("double")))
-    return half_up(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts), 0)
+    return half_up(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(parts), F.lit(0)), 0)
 
 
 def diversity_verdict(score: Column) -> Column:
@@ -208,6 +208,14 @@ def tag_frequency(rows: DataFrame, id: str, tags: str) -> DataFrame:
     return rows.select(F.explode(each).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def overfit_alerts(viable: DataFrame, least: float = 0.5, support: int = 5) -> DataFrame:
+    """``(tag, n, category, share)`` of accessory tags in at least ``least`` of the tagged rows; none below ``support`` such rows."""
+    tagged = viable.where(F.coalesce(c("tags"), F.lit("")) != "")
+    f = tag_frequency(tagged, "image_id", "tags").crossJoin(F.broadcast(tagged.agg(F.count("*").alias("total"))))  # one row
+    each = f.select("tag", "n", text.first_category(c("tag")).alias("category"), (c("n") / c("total")).alias("share"), "total")
+    return each.where(c("category").isNotNull() & (c("share") >= least) & (c("total") >= support)).drop("total")
+
+
 def identity_centroid(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """``(pos, x)`` of the mean vector brought to length one; as it is where it is zero."""
     mean = vectors.where(c(vec).isNotNull()).select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(c("x").cast("double")).alias("x"))

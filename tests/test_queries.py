@@ -45,6 +45,36 @@ def test_analysis_bundle(spark):
     assert total == report.images.count() and report.coverage.count() == 6 and report.aspects.count() == 5 and report.advice.count() > 0
 
 
+@pytest.fixture(scope="module")
+def small_set(spark):
+    """Twelve usable images of which all wear a hat, ten stand in a room, three look alike, and one that is not usable."""
+    from pyspark.sql import functions as F
+
+    from quarry.sources.adapters import images
+
+    base = images(spark, SF).limit(1).drop("image_id", "tags")
+    ids = spark.range(1, 14).select(F.col("id").alias("image_id"), F.when(F.col("id") <= 10, "red hat, a room").when(F.col("id") <= 12, "red hat").otherwise("neon").alias("tags"))
+    plain = {"w": 1024, "h": 1024, "sharp": 200.0, "bright": 100.0, "contrast": 50.0, "faces": 1, "prop": 10.0, "yaw": 0.0, "ref_sim": 0.9, "avg_sim": 0.9, "duplicate": False, "artifacts": "none", "ai_score": 0.0, "phash": None, "joy": "", "natural": None, "expression": "laughing"}
+    rows = ids.crossJoin(base).withColumns({k: F.lit(v).cast(base.schema[k].dataType) for k, v in plain.items()})
+    rows = rows.withColumn("sharp", F.when(F.col("image_id") == 13, 1.0).otherwise(F.col("sharp")))
+    bodies = [(i, [float(i == k) for k in range(13)]) for i in range(10)] + [(i, [1.0] + [0.0] * 12) for i in (10, 11)] + [(12, None)]
+    return rows, spark.createDataFrame(bodies, "vec_id long, embedding array<double>")
+
+
+def test_analysis_computes_diversity(spark, small_set):
+    from quarry.plans.analyze import analyze
+
+    rows, bodies = small_set
+    full, alone, legacy = analyze(rows, bodies=bodies), analyze(rows), analyze(rows, bodies=bodies, legacy_stats=True)
+    # 10 clusters of 12: 83; two overfit categories: 70
+    assert tuple(full.diversity.first()) == (10, 2, 77.0, "excellent") and tuple(alone.diversity.first()) == (None, 2, 70.0, "good")
+    score = [{r.family: r.score for r in x.scores.collect()} for x in (full, alone, legacy)]
+    # 15 of 77 and 14 of 70, with 10 for square images; legacy has 10 of 50 and none for these
+    assert [s["sdxl_classic"] - score[2]["sdxl_classic"] for s in score] == [15, 14, 0]
+    bare = analyze(rows.drop("tags").withColumn("tags", rows["joy"]))
+    assert tuple(bare.diversity.first()) == (None, None, None, None) and bare.scores.count() == 5
+
+
 def test_entry(spark):
     import __spark_entry__
 
