@@ -39,11 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 #: Bytes from which a passage that repeats is cut: what 50 words come to, less what short words may save.
 PASSAGE = 240
+#: More than 50 words are a passage even where they come to fewer bytes.
+WORDS = 51
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without what strings of ``PASSAGE`` bytes cover that also start elsewhere; ``n_chars`` follows the text."""
-    found = suffix_dedup.cleaned(docs.select(*COLUMNS), PASSAGE)
+    """The documents without what strings of ``PASSAGE`` bytes or ``WORDS`` words cover that also stand elsewhere; ``n_chars`` follows the text."""
+    found = suffix_dedup.cleaned(docs.select(*COLUMNS), PASSAGE, words=WORDS)
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

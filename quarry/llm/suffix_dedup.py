@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _BYTE_CODES, Scratch, _powers, bytes_of, chunks, mix, partitions, small_batches, text_array
+from quarry.llm.common import _BYTE_CODES, Scratch, _powers, bytes_of, chunks, mix, partitions, small_batches, text_array, word_spans
 
 LENGTH, GRAM = 400, 16
 #: Different regions in a shard; with at most 1.5 windows each, places stay below 2^21 at the standard length.
@@ -311,6 +311,32 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, shard_region
     return ranges
 
 
+def word_ranges(rows: DataFrame, words: int, length: int, scratch: Scratch) -> DataFrame:
+    """``(k1, k2, lo, hi)`` of runs of ``words`` words below ``length`` bytes that also stand elsewhere, byte by byte.
+
+    Longer runs hold a window of ``length`` bytes. ``hi`` is ``length`` before the end, as with windows.
+    """
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, "text", BLOCK_BYTES):
+            data, offs = bytes_of(text_array(t["text"]))
+            starts, ends, first = word_spans(data, offs)
+            n = max(0, len(starts) - words + 1)
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+            at = np.flatnonzero((row[:n] == row[words - 1 :]) & (ends[words - 1 :] - starts[:n] < length)) if n else np.zeros(0, np.int64)
+            lo, hi, r = starts[at], ends[at + words - 1], row[at] if n else at
+            raw = data.tobytes()
+            keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]
+            k1, k2 = np.asarray(t["k1"]), np.asarray(t["k2"])
+            cols = [pa.array(keys, pa.binary()), *(pa.array(x) for x in (k1[r], k2[r], lo - offs[r], hi - offs[r] - length))]
+            yield pa.RecordBatch.from_arrays(cols, ["run", "k1", "k2", "lo", "hi"])
+
+    marks = scratch.table(rows.mapInArrow(run, "run binary, k1 long, k2 long, lo long, hi long"), "words")
+    repeated = marks.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    return marks.join(repeated, "run", "left_semi").select("k1", "k2", "lo", "hi")
+
+
 def with_anchor(regions: DataFrame, length: int) -> DataFrame:
     """Adds ``anchor``, the place of the anchor that all windows of a region share."""
 
@@ -362,9 +388,11 @@ def on_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text", shard_regions: int | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text", shard_regions: int | None = None, words: int | None = None) -> DataFrame:
     """``docs`` with ``_ranges``: window starts (array of lo, hi; null for none) that repeat.
 
+    With ``words``, runs of so many words below ``length`` bytes repeat too.
+
     A text's own repeats count, overlapping ones too. Rows that are equal in id and text repeat each other.
     Null texts are empty; texts shorter than ``length`` bytes have no window; a null id is an id like others.
     """
@@ -374,8 +402,10 @@ def with_spans(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text:
     small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_k1": F.xxhash64(F.col(doc), F.col(doc).isNull(), whole), "_k2": F.xxhash64(F.lit(1), whole, F.col(doc))})
-    rows = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), whole.alias("text")).where(F.octet_length("text") >= length)
-    ranges = repeated_ranges(rows, length, Scratch(docs.sparkSession, "suffix"), shard_regions)
+    rows, scratch = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), whole.alias("text")), Scratch(docs.sparkSession, "suffix")
+    ranges = repeated_ranges(rows.where(F.octet_length("text") >= length), length, scratch, shard_regions)
+    if words:
+        ranges = ranges.unionByName(word_ranges(rows.where(F.octet_length("text") >= 2 * words - 1), words, length, scratch))
     each = ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))  # of one text
     return keyed.join(each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_ranges"), ["_k1", "_k2"], "left").select(*(keyed[c] for c in docs.columns), "_ranges")
 
@@ -396,8 +426,11 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, shard_regions: int |
     return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """``docs`` with repeated passages taken out of the text; characters that a removed run cuts stay whole."""
+def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text", words: int | None = None) -> DataFrame:
+    """``docs`` with repeated passages taken out of the text; characters that a removed run cuts stay whole.
+
+    A passage has ``length`` bytes, or is a run of ``words`` words where these come to less.
+    """
 
     @F.pandas_udf("string")
     def strip(texts, ranges):
@@ -407,7 +440,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
 
         return type(texts)([t if t is None or r is None else one(t, r) for t, r in zip(texts, ranges)])
 
-    found = with_spans(docs, length, text=text)
+    found = with_spans(docs, length, text=text, words=words)
     return found.withColumn(text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(strip(F.col(text), F.col("_ranges")))).select(*docs.columns)
 
 

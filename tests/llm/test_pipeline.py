@@ -48,6 +48,21 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in last} == set(kept[3]) and all(r["n_tokens"] > 0 for r in last if kept[3][r["doc_id"]])
 
 
+def test_short_words(spark):
+    """A passage of over 50 words goes even below ``PASSAGE`` bytes; one of 50 words stays."""
+    rnd = random.Random(3)
+    words = lambda n, a, b: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randrange(a, b))) for _ in range(n))
+    long, short, own = words(53, 2, 4), words(50, 2, 4), [words(30, 4, 8) for _ in range(5)]
+    assert len(long) < cp.PASSAGE
+    texts = [f"{own[0]} {long} end", f"{long}\n{own[1]}", f"{own[2]} {short} this", f"{short} that {own[3]}", own[4], None, ""]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.cut_repeats(spark, df, "").collect()}
+    want = [f"{own[0]}  end", f"\n{own[1]}", *texts[2:]]
+    assert got == {i: (t, len(t or "")) for i, t in enumerate(want)}
+    twice = spark.createDataFrame([(7, long, "en", "s", 0), (7, long, "en", "s", 0), (8, "a " * 60, "en", "s", 0)], df.schema)
+    assert sorted(r.text for r in cp.cut_repeats(spark, twice, "").collect()) == ["", "", " "]
+
+
 def test_registry():
     assert sorted(registry.queries()) == sorted(f"op{n}_{x}" for n, x in ((1, "topk_search"), (2, "byte_bpe"), (3, "lm_scoring"), (4, "token_counts"), (5, "perspective_rotation"), (6, "minhash_dedup"), (7, "wavelet_tokens"), (8, "suffix_dedup"), (9, "toxicity"), (10, "decontamination")))
     assert zlib.crc32(b"0") and set(registry.oracle_sql()) == {"op1_topk_search", "op5_perspective_rotation"}
