@@ -9,6 +9,7 @@ from quarry.functions import classify, text
 from quarry.functions.numeric import cascade, half_up, truthy_or
 
 c = F.col
+FAMILIES = ("sdxl_classic", "sdxl_anime", "flux", "wan_video", "other_video")
 ASPECTS = ("square", "portrait", "tall_portrait", "landscape", "wide_landscape")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import half_up
 from quarry.operators import aggregates, graph, pairs
+from quarry.plans.advice import advice
 from quarry.sources.adapters import judged
 from quarry.sources.scratch import scratch_root, settle
 
@@ -86,4 +87,5 @@ def analyze(features: DataFrame, vectors: DataFrame | None = None, legacy_stats:
     tied = settle(looks(bodies, spark), root, "looks")
     mix = settle(diversity(bodies, tied, overfit), root, "diversity")
     scores = aggregates.target_scores(images, F.lit(mix.first()["score"]).cast("double"), legacy_stats)
-    return Report(images, aggregates.summary_counts(images), aggregates.aspect_histogram(usable), aggregates.coverage_panel(usable), scores, aggregates.recommendations(images), aggregates.next_shots(images), mix)
+    shots = aggregates.next_shots(images)
+    return Report(images, aggregates.summary_counts(images), aggregates.aspect_histogram(usable), aggregates.coverage_panel(usable), scores, advice(images, vectors, bodies, scores, mix, tied, overfit, shots), shots, mix)

@@ -75,6 +75,21 @@ def test_analysis_computes_diversity(spark, small_set):
     assert tuple(bare.diversity.first()) == (None, None, None, None) and bare.scores.count() == 5
 
 
+def test_analysis_gives_all_advice(spark, small_set):
+    from quarry.plans.advice import ORDER
+    from quarry.plans.analyze import analyze
+
+    rows, bodies = small_set
+    got = [tuple(r) for r in analyze(rows, bodies, bodies=bodies).advice.orderBy("ord").collect()]
+    assert [r[0] for r in got] == list(range(1, len(got) + 1)) and {r[1] for r in got} <= set(ORDER)
+    want = [
+        ("duplicates", 2, None), ("captions", 13, None), ("reference_ok", 13, "0.9"), ("face_coherence_low", 12, "0.045"), ("body_coherence_low", 11, "0.018"), ("blurry", 1, None), ("sharp_fair", 13, None), ("viability", 10, "10/0/3"),
+        ("too_few_viable", 10, None), ("expressions", 1, "laughing"), ("expression_dominant", 10, "laughing"), ("small_set", 13, None), ("best_target", 82, "sdxl_classic A"), ("diversity_ok", 77, "excellent: accessory, background"),
+        ("cluster", 3, "0, 10, 11"), ("square_only", 10, None), ("overfit", 1, "accessory: red hat (100%)"), ("overfit", 1, "background: a room (90%)"),
+    ]
+    assert [r[1:] for r in got if r[1] != "next_shot"] == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
