@@ -58,6 +58,31 @@ def similar_pairs(vectors: DataFrame, least: float, id: str = "vec_id", vec: str
     return _meet(rows, rows, kernel, "i long, j long, sim double")
 
 
+def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """``(i, j, sim)``, i < j, of the k pairs of greatest dot product, in order; of equals the smaller ids.
+
+    Each pair of blocks gives its own k best, and these merge.
+    """
+    rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+
+    def kernel(left, right):
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            x, y = np.asarray(left["id"]), np.asarray(right["id"])
+            sim = _matrix(left["v"]) @ _matrix(right["v"]).T
+            sim[x[:, None] >= y[None, :]] = -np.inf
+            most = sim.max(1)
+            # k rows reach the k-th greatest of the rows' maxima, so no pair below it is among the k best
+            bound = np.partition(most, len(most) - k)[len(most) - k] if len(most) > k else -np.inf
+            i, j = np.nonzero((sim >= bound) & (sim > -np.inf))
+            s = sim[i, j]
+            best = np.lexsort((y[j], x[i], -s))[:k]
+            out = [x[i][best], y[j][best], s[best]]
+        return pa.table(dict(zip(("i", "j", "sim"), out)))
+
+    return _meet(rows, rows, kernel, "i long, j long, sim double").orderBy(F.col("sim").desc(), "i", "j").limit(k)
+
+
 def pair_extremes(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(id, least, greatest)`` dot product of each vector with any other; rows without partner are absent."""
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")

@@ -32,8 +32,7 @@ def roles(spark, sf):
 
 @query("q11_face_pairs_topk", _P + f" SELECT i, j, {r_sql('s', 3)} AS sim FROM p ORDER BY s DESC, i, j LIMIT 20")
 def top_pairs(spark, sf):
-    found = pairs.similar_pairs(vectors(spark, sf), EDGE)
-    return found.orderBy(c("sim").desc(), "i", "j").limit(20).select("i", "j", half_up(c("sim"), 3).alias("sim"))
+    return pairs.top_pairs(vectors(spark, sf), 20).select("i", "j", half_up(c("sim"), 3).alias("sim"))
 
 
 _LOO = _P + ", b AS (SELECT i AS id, s FROM p UNION ALL SELECT j, s FROM p)"

@@ -147,6 +147,16 @@ def test_pairs_in_blocks(spark, monkeypatch):
     assert pairs.global_coherence(df).first()["coherence"] == pytest.approx(sim[np.triu_indices(30, 1)].mean())
 
 
+def test_top_pairs_need_no_threshold(spark, monkeypatch, tmp_path):
+    from quarry.plans.similarity_queries import top_pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    v = {i: [0.25 if k == i % 5 else 0.0 for k in range(8)] + [0.01 * (i % 3)] for i in range(1, 19)}  # no product reaches 0.30
+    spark.createDataFrame([*v.items(), (99, None)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted(((i, j, float(np.dot(v[i], v[j]))) for i in v for j in v if i < j), key=lambda p: (-round(p[2], 9), p[0], p[1]))[:20]
+    assert [(r.i, r.j) for r in top_pairs(spark, str(tmp_path)).collect()] == [p[:2] for p in want]
+
+
 def test_cache_and_edits(spark):
     scan = spark.createDataFrame([("a|1|1",), ("b|1|2",)], "file_key string")
     cache = spark.createDataFrame([("a|1|1", 5, 2), ("b|1|1", 6, 2), ("b|1|2", 7, 1)], "file_key string, f int, version int")
