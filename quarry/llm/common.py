@@ -6,9 +6,11 @@ tables below ``spark.checkpoint.dir`` and never in executor-local storage.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +25,39 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in a local session without it, a folder of our own.
+
+    On a cluster the setting must be there, as a folder of one machine would lose what other machines write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Parquet tables of one operator run, in the shared folder."""
+    """Parquet tables of one operator run, in the shared folder.
+
+    Steps drop what no later step reads. What a result still reads goes with ``clear_scratch``, or when the
+    driver's program ends.
+    """
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.live.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage and computes it once."""
@@ -50,10 +69,40 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def clear_scratch() -> None:
+    """Delete all scratch tables of this program; results not yet written or collected can't be read after it."""
+    while Scratch.live:
+        one = Scratch.live.pop()
+        try:
+            _delete(one.spark, one.root)
+        except Exception:  # the session has ended
+            continue
+
+
+atexit.register(clear_scratch)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives freed memory back at its end: workers wait for more tasks, and hold what they have."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -66,6 +115,14 @@ def partitions(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // each))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many more underscores before it as no column has (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_array(column) -> pa.Array:
     """A null-free string array from an Arrow column."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,7 +152,6 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def offsets_of(arr: pa.Array) -> np.ndarray:
@@ -133,17 +189,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Keeps the first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word that are hashed together with other words.
+LONG_WORD = 64
 #: 1 for the bytes that part words: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64))])[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), "<u8", padded, strides=(1,))
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,12 +219,24 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, lower-cased in A-Z: a polynomial in random byte codes, then mixed."""
-    codes = _BYTE_CODES[_LOWER[data]]
-    with np.errstate(over="ignore"):
-        # sum of code * base^position; dividing by base^start (base is odd, so it has an inverse) frees it of the place
-        up = _powers(len(data), _ODD)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up)])
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        down = _powers(len(data), inverse)
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word, lower-cased in A-Z: eight bytes a round, mixed in turn; long words by xxh3."""
+    import xxhash
+
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    low = _LOWER[data]
+    eight = eights(low)
+    left = ends - starts
+    out = mix(left.astype(np.uint64) + _ODD)
+    at, place = np.arange(len(starts)), starts
+    for _ in range(LONG_WORD // 8):
+        part = eight[place] & _FIRST[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ part)
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+        if not len(at):
+            return out
+    raw = memoryview(low)
+    for i in at.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out

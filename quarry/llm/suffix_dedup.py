@@ -6,16 +6,19 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    its first half. It lies in the window and depends on the window's bytes alone, so equal windows have
    equal anchors, with equal bytes (half a window) after them: the anchor's print. The windows of one anchor
    start side by side; what they cover is its region.
-2. Regions whose print is unique can't hold a repeated window. Regions that occur twice and more as a whole
-   are repeated in all windows. Both follow from counts that combine before they are shuffled.
+2. A region whose print is unique can't hold a repeated window. Regions that occur twice and more as a whole -
+   told by 128-bit digests of their bytes - are repeated in all windows. Counts tell both, and these combine
+   before they are shuffled.
 3. For what is left - prints with several different regions - one copy of each different region goes to a
    shard chosen by the print, so that all possible partners of a window meet. A shard sorts all suffixes of
    its regions by Larsson-Sadakane refinement in numpy and gets the common prefixes of neighbours by Kasai's
    algorithm, all regions in step; a window is repeated if either neighbour shares ``length`` bytes.
-4. A print with more different regions than a shard takes is spread over many shards, and these merge by
-   binary search: an interval of window starts (relative to the anchor) has a core, common to its windows,
-   and a hull, which they cover. Nobody shares the core: none of them repeats. Somebody shares the hull: all
-   do. Otherwise both halves of the interval are searched.
+4. A print with more different regions than a shard takes goes to many shards, which binary search over the
+   window starts merges: an interval of starts (relative to the anchor) has a core, common to its windows,
+   and a hull, which they cover. Equal windows have equal cores, so each core is a group by itself. Nobody
+   shares the core: none of the windows repeats. Somebody shares the hull: all do, and one copy stands for
+   them. Otherwise a group that fits a shard is sorted there, and a larger one has its interval halved.
+   Each region with a window in question gives two halves a step at most, however many share its core.
 """
 
 from __future__ import annotations
@@ -25,33 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _BYTE_CODES, Scratch, _powers, bytes_of, chunks, mix, partitions, small_batches, text_array, word_spans
+from quarry.llm.common import Scratch, bytes_of, chunks, eights, mix, partitions, release, small_batches, text_array, tidy, unused, word_spans
 
 LENGTH, GRAM = 400, 16
-#: Different regions in a shard; with at most 1.5 windows each, places stay below 2^21 at the standard length.
-SHARD_REGIONS = 2000
+#: Different regions in a shard; with at most 1.5 windows each, places stay below ``PLACES`` at the standard length.
+SHARD_REGIONS = 1000
+#: Symbols that one suffix array takes.
+PLACES = 1 << 20
 #: Text bytes that one numpy pass looks for anchors in.
-BLOCK_BYTES = 3 << 19
-
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
-
-class Prints:
-    """Hashes of any byte ranges of a block of text, from running sums."""
-
-    def __init__(self, data: np.ndarray, base: np.uint64):
-        codes = _BYTE_CODES[data]
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(len(data), base))])
-        self.down = _powers(len(data) + 1, inverse)
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[end] - self.sums[start]) * self.down[start]
+BLOCK_BYTES = 1 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -64,32 +52,53 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def find_anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, print, region hash (of another base), first and last window start (in the row) of every anchor."""
+    """Row, anchor, first and last window start of every region; places count from the start of ``data``."""
     half = length // 2
     gram = min(GRAM, length - half)
-    if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    prints, second = Prints(data, _BASES[0]), Prints(data, _BASES[1])
-    at = np.arange(len(data) - gram + 1)
+    windows = len(data) - length + 1
+    if windows <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    eight, n = eights(data), len(data) - gram + 1
+    if gram < 8:
+        key = mix(eight[:n] & np.uint64((1 << 8 * gram) - 1))
+    else:
+        key = mix(eight[:n])
+        key ^= eight[gram - 8 : gram - 8 + n]
+        key = mix(key)
     # hash above, place below: the leftmost of equal hashes is least
-    key = (mix(prints(at, at + gram)) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
-    anchor = (sliding_min(key, half) & np.uint64((1 << 24) - 1)).astype(np.int64)[: len(data) - length + 1]
-    start = np.arange(len(anchor))
-    row = np.searchsorted(offs, start, side="right") - 1
-    whole = start + length <= offs[row + 1]
-    start, anchor, row = start[whole], anchor[whole], row[whole]
+    key &= ~np.uint64((1 << 24) - 1)
+    key |= np.arange(n, dtype=np.uint64)
+    key = sliding_min(key[: windows + half - 1], half)
+    key &= np.uint64((1 << 24) - 1)
+    anchor = key.astype(np.int32)
+    del key
+    row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))[:windows]
+    start = np.flatnonzero(np.arange(length, length + windows) <= offs[1:][row])
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-    first = np.flatnonzero(new)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    anchor, row = anchor[start], row[start]
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
     last = np.append(first[1:], len(start)) - 1
-    lo, hi, a, r = start[first], start[last], anchor[first], row[first]
-    signed = lambda h: mix(h).view(np.int64)
-    return r, signed(prints(a, a + half)), signed(second(lo, hi + length)), lo - offs[r], hi - offs[r]
+    return tuple(x.astype(np.int64) for x in (row[first], anchor[first], start[first], start[last]))
+
+
+#: ``at`` packs a region's place in its text: first window start, windows less one, distance from there to the anchor.
+_MARK = {"k1": "long", "k2": "long", "print": "long", "r1": "long", "r2": "long", "at": "long"}
+
+
+def _lo(at: str = "at") -> Column:
+    return F.shiftright(at, 32)
+
+
+def _span(at: str = "at") -> Column:
+    return F.shiftright(at, 16).bitwiseAND(F.lit(0xFFFF))
 
 
 def anchors(rows: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, print, r, lo, hi)`` of every anchor of the rows ``(k1, k2, text)``; (print, r) names a region."""
+    """A mark ``(k1, k2, print, r1, r2, at)`` for each anchor of the rows ``(k1, k2, text)``; (r1, r2) digests the region."""
+    import xxhash
+
+    half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", BLOCK_BYTES):
@@ -100,23 +109,26 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
                 blocks = [(0, len(data))]
             k1, k2 = np.asarray(t["k1"]), np.asarray(t["k2"])
             for a, b in blocks:
-                inner = np.clip(offs, a, b) - a
-                r, p, region, lo, hi = find_anchors(data[a:b], inner, length)
-                shift = np.maximum(0, a - offs[:-1])[r] if len(r) else r
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[r], k2[r], p, region, lo + shift, hi + shift)], ["k1", "k2", "print", "r", "lo", "hi"])
+                part = data[a:b]
+                r, anchor, lo, hi = find_anchors(part, np.clip(offs, a, b) - a, length)
+                raw = memoryview(np.ascontiguousarray(part))
+                prints = np.fromiter((xxhash.xxh3_64_intdigest(raw[x : x + half]) for x in anchor.tolist()), np.uint64, len(r))
+                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist())]), np.int64).reshape(-1, 2)
+                at = (lo + a - offs[r]) << 32 | (hi - lo) << 16 | (anchor - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (k1[r], k2[r], prints.view(np.int64), digests[:, 0], digests[:, 1], at)], [*_MARK])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, print long, r long, lo long, hi long")
+    return rows.mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in _MARK.items()))
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse of up to 2^21 symbols of which the last differs from all others.
+    """Suffix array and its inverse of up to ``PLACES`` symbols of which the last differs from all others.
 
     Larsson and Sadakane: sort by a few symbols, then refine only groups that are still tied, by the rank of
     the suffix as far ahead as the order is known, doubling it each time. Keys are packed with the place into
     one 64-bit number, so that a plain sort does.
     """
     n = len(symbols)
-    if n > 1 << 21:
+    if n > PLACES:
         raise ValueError("too many symbols for one shard")
     bits = max(1, int(symbols.max()).bit_length()) if n else 1
     known = max(1, min(4, 43 // bits))
@@ -202,113 +214,168 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 _RANGES = "k1 long, k2 long, lo long, hi long"
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("k1", "k2", "lo", "hi"))})
+#: Regions on their way to a shard: ``group`` of possible partners, ``lo`` first window start, ``raw`` bytes.
+_DEALT = ("group", "k1", "k2", "lo", "single", "raw")
 
 
 def shard_ranges(regions: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, lo, hi)``: repeated window starts of the regions ``(shard, k1, k2, lo, single, bytes)`` marked as single."""
+    """``(k1, k2, lo, hi)``: repeated window starts of the regions ``(shard, group, k1, k2, lo, single, raw)`` marked as single."""
 
     def run(key, t):
         t = t.sort_by([("k1", "ascending"), ("k2", "ascending"), ("lo", "ascending")])
-        rows, out = t.to_pydict(), []
-        texts = rows["bytes"]
-        # shards are dealt by hash: one with more places than fit (unlikely) goes print by print
-        parts = [list(range(len(texts)))]
-        if sum(map(len, texts)) + len(texts) > 1 << 21:
-            by: dict[int, list[int]] = {}
-            for i, p in enumerate(rows["print"]):
-                by.setdefault(p, []).append(i)
-            parts = [*by.values()]
+        k1, k2, lo, single = (t[n].to_pylist() for n in ("k1", "k2", "lo", "single"))
+        texts, groups, out = t["raw"].to_pylist(), t["group"].to_pylist(), []
+        del t
+        # whole groups together, as many as fit one suffix array
+        by: dict[bytes, list[int]] = {}
+        for i, g in enumerate(groups):
+            by.setdefault(g, []).append(i)
+        parts, size = [[]], 0
+        for members in by.values():
+            n = sum(len(texts[i]) + 1 for i in members)
+            if parts[-1] and size + n > PLACES:
+                parts.append([])
+                size = 0
+            parts[-1] += members
+            size += n
         for part in parts:
-            flags, starts = repeated_windows([texts[i] for i in part], length)
-            for i, s in zip(part, starts.tolist()):
-                if rows["single"][i]:
-                    base = rows["lo"][i]
-                    out += [(rows["k1"][i], rows["k2"][i], base + a, base + b) for a, b in runs(flags[s : s + len(texts[i])])]
-        return _table(out)
+            if part:
+                flags, starts = repeated_windows([texts[i] for i in part], length)
+                for i, s in zip(part, starts.tolist()):
+                    if single[i]:
+                        out += [(k1[i], k2[i], lo[i] + a, lo[i] + b) for a, b in runs(flags[s : s + len(texts[i])])]
+                del flags
+        release()
+        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("k1", "k2", "lo", "hi"))})
 
     return regions.groupBy("shard").applyInArrow(run, _RANGES)
 
 
-def search_ranges(regions: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """The same for prints with more regions than a shard takes: ``(print, k1, k2, lo, single, anchor, bytes)``.
+def region_bytes(regions: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """``(group, m, k1, k2, single, place, e0, e1, raw)`` of the regions ``(print, k1, k2, at, single, m)``: their bytes, from the texts.
+
+    ``place`` is where the anchor is in the text, ``e0`` and ``e1`` the least and greatest distance of a window start
+    before it. A row of ``texts`` that repeats another counts once.
+    """
+    asked = regions.groupBy("k1", "k2").agg(F.collect_list(F.struct("print", "at", "single", "m")).alias("asked"))  # of one text
+    own = texts.join(asked.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    fields = {"group": pa.binary(), "m": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "single": pa.bool_(), "place": pa.int64(), "e0": pa.int32(), "e1": pa.int32(), "raw": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, k2, texts = np.asarray(b.column(0)), np.asarray(b.column(1)), text_array(b.column(2))
+            for i in range(b.num_rows):
+                raw, asked = memoryview(texts[i].as_buffer()), b.column(3)[i].values
+                prints, at = (np.asarray(asked.field(n)) for n in ("print", "at"))
+                lo, span, ahead = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
+                n = len(at)
+                pieces = [bytes(raw[x:y]) for x, y in zip(lo.tolist(), (lo + span + length).tolist())]
+                cols = ([p.tobytes() for p in prints], asked.field("m"), np.full(n, k1[i]), np.full(n, k2[i]), asked.field("single"), lo + ahead, (ahead - span).astype(np.int32), ahead.astype(np.int32), pieces)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(cols, fields.values())], [*fields])
+
+    both = own.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked")
+    return both.mapInArrow(tidy(run), "group binary, m long, k1 long, k2 long, single boolean, place long, e0 int, e1 int, raw binary")
+
 
-    Binary search over intervals [d0, d1] of distances from window start to anchor, which are alike in equal
-    windows; each round is a table. ``anchor`` is the anchor's place in the region.
+def halve(rows: DataFrame, length: int) -> DataFrame:
+    """Both halves of the rows' intervals of window starts, as far as a row has windows there, with digests of core and hull.
+
+    Rows are ``(group, d0, d1, k1, k2, single, place, e0, e1, raw)``: ``d0`` to ``d1`` are the group's distances from
+    window start to anchor, ``e0`` to ``e1`` the row's own, whose windows cover ``raw``.
     """
+    import xxhash
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in ("bytes", "anchor", "d0", "d1", "e0", "e1")}
-            core, hull = [], []
-            for raw, at, d0, d1, e0, e1 in zip(*c.values()):
-                core.append(hashlib.blake2b(raw[at - d0 : at - d1 + length], digest_size=16).digest())
-                hull.append(hashlib.blake2b(raw[at - e1 : at - e0 + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core, pa.binary()), pa.array(hull, pa.binary())], [*b.schema.names, "core", "hull"])
-
-    def clip(df: DataFrame) -> DataFrame:
-        """With the distances that the region has windows at."""
-        least = F.greatest("d0", F.col("anchor") + length - F.octet_length("bytes"))
-        return df.withColumns({"e0": least, "e1": F.least("d1", "anchor")}).where("e0 <= e1")
-
-    now = clip(regions.withColumns({"d0": F.lit(0), "d1": F.lit(length // 2 - 1)}))
-    step = 0
-    out: list[DataFrame] = []
+            d0, d1, e0, e1 = (np.asarray(b.column(b.schema.get_field_index(n))).astype(np.int64) for n in ("d0", "d1", "e0", "e1"))
+            middle = (d0 + d1) // 2
+            which, lo, hi = np.tile(np.arange(len(d0)), 2), np.concatenate([d0, middle + 1]), np.concatenate([middle, d1])
+            f0, f1 = np.maximum(np.tile(e0, 2), lo), np.minimum(np.tile(e1, 2), hi)
+            real = np.flatnonzero((f0 <= f1) & (lo <= hi))
+            which, lo, hi, f0, f1 = (x[real] for x in (which, lo, hi, f0, f1))
+            texts = b.column(b.schema.get_field_index("raw")).to_pylist()
+            core, hull, raw = [], [], []
+            for w, x, y, p, q, top in zip(which.tolist(), lo.tolist(), hi.tolist(), f0.tolist(), f1.tolist(), e1[which].tolist()):
+                one = texts[w]  # begins ``top`` before the anchor
+                core.append(b"%d,%d," % (x, y) + xxhash.xxh3_128_digest(one[top - x : top - y + length]))
+                raw.append(one[top - q : top - p + length])
+                hull.append(b"%d,%d," % (p, q) + xxhash.xxh3_128_digest(raw[-1]))
+            same = b.take(pa.array(which))
+            cols = {n: same.column(same.schema.get_field_index(n)) for n in ("k1", "k2", "single", "place")}
+            cols |= {"group": pa.array(core, pa.binary()), "hull": pa.array(hull, pa.binary()), "raw": pa.array(raw, pa.binary())}
+            cols |= {n: pa.array(x.astype(np.int32)) for n, x in (("d0", lo), ("d1", hi), ("e0", f0), ("e1", f1))}
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.mapInArrow(tidy(run), "k1 long, k2 long, single boolean, place long, group binary, hull binary, raw binary, d0 int, d1 int, e0 int, e1 int")
+
+
+def search_groups(rows: DataFrame, length: int, fit: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Binary search over the window starts of groups that no shard takes.
+
+    Gives the ranges found, and the regions of groups that shards take now. A group is named by its interval and core.
+    """
+    found, dealt, step = [], [], 0
+    now = rows.withColumns({"d0": F.lit(0), "d1": F.lit(length // 2 - 1)})
     while True:
-        schema = ", ".join(f"{n} {t}" for n, t in now.dtypes) + ", core binary, hull binary"
-        cutted = scratch.table(now.mapInArrow(cut, schema), f"cut{step}")
-        by_core, by_hull = ["print", "d0", "d1", "core"], ["print", "d0", "d1", "e0", "e1", "hull"]
-        cores = cutted.groupBy(*by_core).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        hulls = cutted.groupBy(*by_hull).agg((F.count("*") > 1).alias("all"))
-        known = scratch.table(cutted.join(cores, by_core, "left_semi").join(hulls, by_hull).drop("core", "hull"), f"known{step}")
-        scratch.drop(f"cut{step}", f"open{step}")
-        place = F.col("lo") + F.col("anchor")
-        out.append(scratch.table(known.where("`all` AND single").select("k1", "k2", (place - F.col("e1")).alias("lo"), (place - F.col("e0")).alias("hi")), f"found{step}"))
-        open_ = known.where("NOT `all`")
-        # partners that are settled stay, for those that are not
-        undecided = open_.select("print", "d0", "d1").distinct()
-        if undecided.isEmpty():
-            break
-        middle = ((F.col("d0") + F.col("d1")) / 2).cast("int")
-        halves = known.join(undecided, ["print", "d0", "d1"], "left_semi").withColumn("half", F.explode(F.array(F.struct(F.col("d0").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("d1").alias("y")))))
+        halves = scratch.table(halve(now, length), f"halves{step}")
+        own = F.struct("k1", "k2", "place")
+        hulls = halves.groupBy("group", "hull").agg(F.count("*").alias("n"), F.min(own).alias("own"), F.bool_or("single").alias("single"))
+        hulls = scratch.table(hulls, f"hulls{step}")
+        repeated = hulls.where("n > 1").select("group", "hull")
+        lo = F.col("place") - F.col("e1")
+        ends = [lo.alias("lo"), (F.col("place") - F.col("e0")).alias("hi")]
+        found.append(scratch.table(halves.where("single").join(repeated, ["group", "hull"], "left_semi").select("k1", "k2", *ends), f"found{step}"))
+        # windows are in question where a single hull that is none's copy meets others around its core
+        alone = (F.col("n") == 1) & F.col("single")
+        groups = hulls.groupBy("group").agg(F.count("*").alias("m"), F.count_if(alone).alias("open")).where("m > 1 AND open > 0").select("group", "m")
+        left = hulls.join(groups, "group").select("group", "hull", "own", "n", "m")
+        rest = scratch.table(halves.join(left, ["group", "hull"]).where(own == F.col("own")).withColumn("single", F.col("single") & (F.col("n") == 1)).drop("own", "n", "hull"), f"rest{step}")
+        dealt.append(rest.where(F.col("m") <= fit).withColumn("lo", lo).select(*_DEALT))
+        now = rest.where(F.col("m") > fit).drop("m")
+        scratch.drop(f"halves{step}", f"hulls{step}")
         step += 1
-        now = scratch.table(clip(halves.withColumns({"d0": F.col("half.x"), "d1": F.col("half.y")}).drop("half", "all", "e0", "e1")), f"open{step}")
-        scratch.drop(f"known{step - 1}")
-    found = out[0]
-    for df in out[1:]:
-        found = found.unionByName(df)
-    return found
+        if now.isEmpty():
+            return found, dealt
 
 
 def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, shard_regions: int | None = None) -> DataFrame:
     """``(k1, k2, lo, hi)``: first and last starts of runs of repeated windows in the rows ``(k1, k2, text)``."""
-    shard_regions = shard_regions or min(SHARD_REGIONS, (1 << 21) // (length + length // 2 + 1))
-    marks = scratch.table(anchors(docs, length), "anchors")
-    region = ["print", "r"]
+    if not 2 <= length <= 1 << 16:
+        raise ValueError("passages have 2 to 65536 bytes")
+    shard_regions = max(4, min(shard_regions or SHARD_REGIONS, PLACES // (length + length // 2 + 1)))
+    region = ["print", "r1", "r2"]
+    ends = [_lo().alias("lo"), (_lo() + _span()).alias("hi")]
+    marks = scratch.table(anchors(docs, length), "marks")
+    same = (F.min("r1") == F.max("r1")) & (F.min("r2") == F.max("r2"))
+    prints = marks.groupBy("print").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1").select("print", "same")
+    met = scratch.table(marks.join(prints, "print"), "met")
+    scratch.drop("marks")
+    ranges = [met.where("same").select("k1", "k2", *ends)]
+    mixed = met.where("NOT same").drop("same")
     # one copy of each region: all its columns come from one row
-    distinct = scratch.table(marks.groupBy(*region).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi"))), "regions")
-    wholes = distinct.where("n > 1").select(*region)
-    ranges = scratch.table(marks.join(wholes, region, "left_semi").select("k1", "k2", "lo", "hi"), "wholes")
-    prints = distinct.groupBy("print").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("print", "m")
-    open_ = distinct.join(prints, "print").select(*region, "k1", "k2", "lo", "hi", (F.col("n") == 1).alias("single"), "m")
-    # rows that are equal in id and text share k1 and k2; any of them gives the bytes
-    texts = docs.dropDuplicates(["k1", "k2"]).join(open_.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    raw = F.expr(f"substring(CAST(text AS BINARY), CAST(lo + 1 AS INT), CAST(hi - lo + {length} AS INT))")
-    full = scratch.table(open_.join(texts, ["k1", "k2"]).select("print", "k1", "k2", "lo", "hi", "single", "m", raw.alias("bytes")), "bytes")
-    scratch.drop("anchors", "regions")
-    large = shard_regions // 4
-    small = full.where(F.col("m") <= large)
-    shards = partitions(small.count() * 2, shard_regions)
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("print"), F.lit(shards))).select("shard", "print", "k1", "k2", "lo", "single", "bytes")
-    ranges = ranges.unionByName(scratch.table(shard_ranges(dealt, length), "sorted"))
-    wide = full.where(F.col("m") > large)
+    distinct = scratch.table(mixed.groupBy(*region).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at"))), "regions")
+    ranges.append(mixed.join(distinct.where("n > 1").select(*region), region, "left_semi").select("k1", "k2", *ends))
+    several = distinct.groupBy("print").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").select("print", "m")
+    open_ = distinct.join(several, "print").select("print", "k1", "k2", "at", (F.col("n") == 1).alias("single"), "m")
+    full = scratch.table(region_bytes(open_, docs, length), "bytes")
+    fit = shard_regions // 4  # shards are dealt by hash
+    lo = (F.col("place") - F.col("e1")).alias("lo")
+    dealt = [full.where(F.col("m") <= fit).withColumn("lo", lo).select(*_DEALT)]
+    wide = full.where(F.col("m") > fit)
     if not wide.isEmpty():
-        ranges = ranges.unionByName(search_ranges(with_anchor(wide, length).drop("hi", "m"), length, scratch))
-    scratch.drop("bytes")
-    return ranges
+        found, more = search_groups(wide.drop("group", "m"), length, fit, scratch)
+        ranges += found
+        dealt += more
+    every = dealt[0]
+    for df in dealt[1:]:
+        every = every.unionByName(df)
+    shards = partitions(every.count() * 2, shard_regions)
+    every = every.withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards)))
+    out = scratch.table(shard_ranges(every.select("shard", *_DEALT), length), "sorted")
+    scratch.drop("bytes", *(f"rest{i}" for i in range(length.bit_length() + 1)))
+    for df in ranges:
+        out = out.unionByName(df)
+    return out
 
 
 def word_ranges(rows: DataFrame, words: int, length: int, scratch: Scratch) -> DataFrame:
@@ -332,29 +399,11 @@ def word_ranges(rows: DataFrame, words: int, length: int, scratch: Scratch) -> D
             cols = [pa.array(keys, pa.binary()), *(pa.array(x) for x in (k1[r], k2[r], lo - offs[r], hi - offs[r] - length))]
             yield pa.RecordBatch.from_arrays(cols, ["run", "k1", "k2", "lo", "hi"])
 
-    marks = scratch.table(rows.mapInArrow(run, "run binary, k1 long, k2 long, lo long, hi long"), "words")
+    marks = scratch.table(rows.mapInArrow(tidy(run), "run binary, k1 long, k2 long, lo long, hi long"), "words")
     repeated = marks.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
     return marks.join(repeated, "run", "left_semi").select("k1", "k2", "lo", "hi")
 
 
-def with_anchor(regions: DataFrame, length: int) -> DataFrame:
-    """Adds ``anchor``, the place of the anchor that all windows of a region share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = []
-            for raw in b.column(b.schema.get_field_index("bytes")).to_pylist():
-                data = np.frombuffer(raw, np.uint8)[:length]
-                half, gram = length // 2, min(GRAM, length - length // 2)
-                place = np.arange(half)
-                key = (mix(Prints(data, _BASES[0])(place, place + gram)) & ~np.uint64((1 << 24) - 1)) | place.astype(np.uint64)
-                at.append(int(np.argmin(key)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "anchor"])
-
-    schema = ", ".join(f"{n} {t}" for n, t in regions.dtypes) + ", anchor int"
-    return regions.mapInArrow(run, schema)
-
-
 def cover(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     """Byte runs that windows starting in the ranges cover, merged."""
     out: list[list[int]] = []
@@ -388,42 +437,46 @@ def on_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text", shard_regions: int | None = None, words: int | None = None) -> DataFrame:
-    """``docs`` with ``_ranges``: window starts (array of lo, hi; null for none) that repeat.
+def with_spans(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text", shard_regions: int | None = None, words: int | None = None, out: str = "_ranges") -> DataFrame:
+    """``docs`` with a further column ``out``: window starts (array of lo, hi; null for none) that repeat.
 
     With ``words``, runs of so many words below ``length`` bytes repeat too.
 
     A text's own repeats count, overlapping ones too. Rows that are equal in id and text repeat each other.
     Null texts are empty; texts shorter than ``length`` bytes have no window; a null id is an id like others.
+    ``out`` must not be a column of ``docs``; other names don't matter.
     """
-    for c in ("_k1", "_k2", "_ranges"):
-        if c in docs.columns:
-            raise ValueError(f"column {c} is taken")
+    k1, k2 = unused("_k1", docs.columns), unused("_k2", docs.columns)
     small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k1": F.xxhash64(F.col(doc), F.col(doc).isNull(), whole), "_k2": F.xxhash64(F.lit(1), whole, F.col(doc))})
-    rows, scratch = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), whole.alias("text")), Scratch(docs.sparkSession, "suffix")
+    keyed = docs.withColumns({k1: F.xxhash64(F.col(doc), F.col(doc).isNull(), whole), k2: F.xxhash64(F.lit(1), whole, F.col(doc))})
+    rows, scratch = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), whole.alias("text")), Scratch(docs.sparkSession, "suffix")
     ranges = repeated_ranges(rows.where(F.octet_length("text") >= length), length, scratch, shard_regions)
     if words:
         ranges = ranges.unionByName(word_ranges(rows.where(F.octet_length("text") >= 2 * words - 1), words, length, scratch))
-    each = ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))  # of one text
-    return keyed.join(each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_ranges"), ["_k1", "_k2"], "left").select(*(keyed[c] for c in docs.columns), "_ranges")
+    each = ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias(out))  # of one text
+    return keyed.join(each.select(F.col("k1").alias(k1), F.col("k2").alias(k2), out), [k1, k2], "left").select(*(keyed[c] for c in docs.columns), out)
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, shard_regions: int | None = None) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per input row."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text)``, one row per input row.
+
+    ``kept_text`` is what remains; U+FFFD stands where a removed run cuts a character, of which the digest has
+    the bytes as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, r in zip(text_array(b.column(1)).to_pylist(), b.column(2).to_pylist()):
                 raw, spans = t.encode(), cover(r or [], length)
-                out.append((len(raw), sum(y - x for x, y in spans), len(spans), hashlib.sha256(remove(raw, spans)).hexdigest()))
-            cols = [*zip(*out)] if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = remove(raw, spans)
+                out.append((len(raw), sum(y - x for x, y in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
+            cols = [*zip(*out)] if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     found = with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), length, shard_regions=shard_regions)
-    return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text", words: int | None = None) -> DataFrame:
@@ -440,8 +493,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text", words: in
 
         return type(texts)([t if t is None or r is None else one(t, r) for t, r in zip(texts, ranges)])
 
-    found = with_spans(docs, length, text=text, words=words)
-    return found.withColumn(text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(strip(F.col(text), F.col("_ranges")))).select(*docs.columns)
+    ranges = unused("_ranges", docs.columns)
+    found = with_spans(docs, length, text=text, words=words, out=ranges)
+    return found.withColumn(text, F.when(F.col(ranges).isNull(), F.col(text)).otherwise(strip(F.col(text), F.col(ranges)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
