@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import pretoken
-from quarry.llm.common import bytes_of, chunks, small_batches, text_array
+from quarry.llm.common import bytes_of, chunks, small_batches, text_array, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pre-tokens that one recursive query takes, and words a worker remembers before it starts anew.
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str
 
     small_batches(docs.sparkSession)
     rows = docs.select(*_columns(doc, text))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -225,7 +225,7 @@ def decode_documents(encoded: DataFrame, path: str, doc: str = "doc_id", ids: st
 
     small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(doc).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_bytes binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_bytes binary")
 
 
 def roundtrip_digests(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def roundtrip_digests(docs: DataFrame, path: str, doc: str = "doc_id", text: str
 
     small_batches(docs.sparkSession)
     rows = docs.select(*_columns(doc, text))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, text_array
+from quarry.llm.common import small_batches, text_array, tidy
 
 WINDOW = 13
 #: Benchmark text that one automaton takes; larger benchmarks are scanned for in blocks of this many bytes.
@@ -140,7 +140,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                     cols[at[name]] = pa.array(values, kind)
                 yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidy(run), out.schema)
     return out
 
 

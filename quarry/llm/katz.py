@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, bytes_of, chunks, mix, partitions, small_batches, text_array, word_hashes
+from quarry.llm.common import Scratch, bytes_of, chunks, mix, partitions, small_batches, text_array, tidy, word_hashes
 
 #: Text bytes in a block; entries in a partition of the word and pair tables; counts that are discounted.
 BLOCK_BYTES, ENTRIES, K = 12 << 20, 400_000, 5
@@ -145,7 +145,7 @@ def number_blocks(rows: DataFrame) -> DataFrame:
                 ], ["block", "docs", "held", "sizes", "tokens", "n_words", "words"],
             )
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.mapInArrow(tidy(run), _BLOCK)
 
 
 def _word_parts(words: pa.Array, parts: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def send_words(blocks: DataFrame, parts: int) -> DataFrame:
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 2 else pa.binary()) for n, c in enumerate(out)], ["part", "block", "words", "counts"])
 
-    return blocks.mapInArrow(run, "part long, block long, words binary, counts binary")
+    return blocks.mapInArrow(tidy(run), "part long, block long, words binary, counts binary")
 
 
 _HIST = [f"h{r}" for r in range(1, K + 2)]

@@ -1,7 +1,7 @@
 """MinHash near-duplicates: bottom-k sketches from one hash function, and exact confirmation.
 
 1. Every text becomes a set of word shingles (64-bit hashes), its size, a digest of the set and a sketch: the
-   k least hashes. Texts of one set are one class from here on.
+   k least hashes. Texts of one set are one class from here on, whatever their ids; a class has a number of its own.
 2. Inverted lists of the retained values: a class keeps as keys only its rarest retained values - as many as
    guarantee that two sketches with the required overlap share a key - so common passages make no long lists.
    A value that only one class retains has no list at all.
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HASH_BYTES, Scratch, bytes_of, chunks, mix, small_batches, text_array, word_hashes, word_spans
+from quarry.llm.common import HASH_BYTES, Scratch, bytes_of, chunks, mix, small_batches, text_array, tidy, word_hashes, word_spans
 
 #: Values in a sketch.
 K = 64
@@ -60,8 +60,7 @@ def _signed(sets: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """``(doc_id, n, digest binary, sketch array<long>)`` of each text; digest is null for an empty set."""
-    import xxhash
+    """``(doc_id, k1, k2, n, digest binary, sketch array<long>)`` of each row; digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", HASH_BYTES):
@@ -70,12 +69,31 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    *(t[c].combine_chunks() for c in ("doc_id", "k1", "k2")), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))),
-                ], ["doc_id", "n", "digest", "sketch"],
+                ], ["doc_id", "k1", "k2", "n", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<bigint>")
+    return docs.mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, n long, digest binary, sketch array<bigint>")
+
+
+def digest_of(s: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``(id, full)``: the full set of each class of ``wanted`` (id), from a text of its least document id that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, "text", HASH_BYTES):
+            sets = shingle_sets(text_array(t["text"]), words)
+            own = [i for i, (s, d) in enumerate(zip(sets, t["digest"].to_pylist())) if digest_of(s) == d]  # the id may have other texts
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks().take(pa.array(own, pa.int64())), _signed([sets[i] for i in own])], ["id", "full"])
+
+    named = wanted.join(classes.select("id", "digest", F.col("least").alias("doc_id")), "id")
+    return docs.select("doc_id", "text").join(named, "doc_id").select("id", "digest", "text").mapInArrow(tidy(run), "id long, full binary").dropDuplicates(["id"])
 
 
 def union_overlap(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -115,18 +133,13 @@ def estimate_pairs(pairs: DataFrame, classes: DataFrame, k: int, least: float) -
                 keep = np.flatnonzero(est >= least)
                 yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(keep)), t.column(1).take(pa.array(keep)), pa.array(est[keep])], ["a", "b", "est"])
 
-    return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, est double")
+    return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80).select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long, est double")
 
 
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+def confirm_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
     """``(a, b)`` of the pairs whose full sets have 100 * intersection >= 80 * union."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text", HASH_BYTES):
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = scratch.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, full binary").dropDuplicates(["id"]), f"sets{name}")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    full = scratch.table(class_sets(wanted, classes, docs, words), f"sets{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -140,7 +153,7 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int, scratch: Scratc
             yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(keep, pa.int64())), t.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
     both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-    out = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"), f"links{name}")
+    out = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(tidy(run), "a long, b long"), f"links{name}")
     scratch.drop(f"sets{name}")
     return out
 
@@ -220,11 +233,7 @@ def block_links(tied: DataFrame, classes: DataFrame, comp: DataFrame, docs: Data
     blocks = mixed.groupBy("pool", "major").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
     wide = blocks.groupBy("pool").agg(F.coalesce(F.max(F.when(F.col("major"), F.col("blocks"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(~F.col("major"), F.col("blocks"))), F.lit(0)).alias("q"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text", HASH_BYTES):
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
-
-    full = docs.join(mixed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, full binary").dropDuplicates(["id"])
+    full = class_sets(mixed.select("id"), classes, docs, words)
     # blocks 0 to q - 1 hold the minor components, q to q + p - 1 the largest one; a minor block meets all blocks from itself on
     count = F.when(F.col("major"), F.col("p")).otherwise(F.col("q"))
     own = F.pmod(F.xxhash64("id"), count).cast("int") + F.when(F.col("major"), F.col("q")).otherwise(0)
@@ -260,24 +269,21 @@ def block_links(tied: DataFrame, classes: DataFrame, comp: DataFrame, docs: Data
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+def near_groups(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, k1, k2, n_shingles, component_id, group)``, one row per input row.
 
-    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of 0.8 or more;
-    ``component_id`` is the smallest id reachable over links, the own id included; ``kept`` marks the row whose
-    id it is. Words are parted by white space and lower-cased in A-Z. Null and empty texts have no shingles and
-    are linked to nothing. Rows that repeat an id with one text stay, each with the same result; rows of a null
-    id keep null as component and are kept. Further columns are ignored.
+    ``k1`` and ``k2`` (``text_keys``) tell the texts of an id apart. ``group`` numbers what links connect and is null
+    for rows without id or words; two groups share a ``component_id`` only if an id repeats with texts of both.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    every = scratch.table(sketches(rows, words, k), "sketches")
+    every = scratch.table(sketches(rows.select("*", *text_keys("text")), words, k), "sketches")
     known = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    best = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.table(best, "classes")
-    every = scratch.table(every.select("doc_id", "n", "digest"), "members")
+    best = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.table(best.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
+    every = scratch.table(every.select("doc_id", "k1", "k2", "n", "digest"), "members")
     scratch.drop("sketches")
     texts = rows.where("doc_id IS NOT NULL")
 
@@ -298,19 +304,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc
 
     hub = keys.groupBy("value").agg(F.min_by("id", F.xxhash64("value", "id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("value", "hub")
     tied = scratch.table(keys.join(hub, "value").where("id <> hub").select("id", "hub", "place"), "tied")
+    scratch.drop("keys")
     first = tied.where(F.col("place") <= FIRST).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     near = scratch.table(estimate_pairs(first, classes, k, LEAST), "near")
-    links1 = confirm_pairs(near, texts, words, scratch, "1")
+    links1 = confirm_pairs(near, classes, texts, words, scratch, "1")
     comp1 = components(links1, scratch, "stars1")
     links2 = block_links(tied, classes, comp1, texts, words, scratch)
     final = components(links1.unionByName(links2), scratch, "stars2")
 
-    names = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
-    component = F.coalesce("class_component", "doc_id")
-    return every.select("doc_id", "n", "digest").join(names, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept")
+    named = scratch.table(classes.select("id", "digest", "least").join(final, "id", "left").select("digest", "least", F.coalesce("component", "id").alias("group")), "named")
+    smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    names = named.join(smallest, "group").select("digest", "group", "component_id")
+    linked = F.col("doc_id").isNotNull()
+    return every.join(names, "digest", "left").select(
+        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(linked, F.col("group")).alias("group")
     )
 
 
+def text_keys(text: str) -> tuple[Column, Column]:
+    """128 bits that tell texts apart, as ``k1`` and ``k2``."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of 0.8 or more;
+    ``component_id`` is the smallest id reachable over links, the own id included; ``kept`` marks the row whose
+    id it is. Words are parted by white space and lower-cased in A-Z. Null and empty texts have no shingles and
+    are linked to nothing. Rows that repeat an id stay: with one text each has the same result, with different
+    texts each has that of its own text, whatever the order of rows. Rows of a null id keep null as component
+    and are kept. Further columns are ignored. A text of any length is one set, in one task's memory.
+    """
+    found = near_groups(docs, words, k, doc, text)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import pretoken
-from quarry.llm.common import bytes_of, chunks, small_batches, text_array
+from quarry.llm.common import bytes_of, chunks, small_batches, text_array, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Compiled transitions and counted words that a worker keeps before it starts anew.
@@ -220,7 +220,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, doc: str = "doc_id", te
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

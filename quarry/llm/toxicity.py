@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import HASH_BYTES, bytes_of, chunks, small_batches, text_array, word_hashes, word_spans
+from quarry.llm.common import HASH_BYTES, bytes_of, chunks, small_batches, text_array, tidy, word_hashes, word_spans
 
 #: Hash buckets of words, words that become features, and the bound on rows the fit takes of each kind.
 BUCKETS, FEATURES, SAMPLE = 1 << 20, 1000, 12_000
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             flat, bounds = word_buckets(text_array(t["text"]))
             yield pa.RecordBatch.from_arrays([t["kind"].combine_chunks(), t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["kind", "doc_id", "words"])
 
-    rows = toxic.unionByName(plain).mapInArrow(run, "kind int, doc_id long, words array<int>").toArrow()  # a bounded sample
+    rows = toxic.unionByName(plain).mapInArrow(tidy(run), "kind int, doc_id long, words array<int>").toArrow()  # a bounded sample
     rows = rows.sort_by([("kind", "ascending"), ("doc_id", "ascending")])
     lists = rows["words"].combine_chunks()
     kinds, flat, offs = np.asarray(rows["kind"]), np.asarray(lists.values), np.asarray(lists.offsets)
@@ -152,7 +152,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
             yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in t.column_names), pa.array(s)], [*t.column_names, score])
 
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

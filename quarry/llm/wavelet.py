@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import pretoken
 from quarry.llm.bpe import gather
-from quarry.llm.common import Scratch, bytes_of, chunks, partitions, small_batches, text_array
+from quarry.llm.common import Scratch, bytes_of, chunks, partitions, small_batches, text_array, tidy
 from quarry.llm.token_counts import segments
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, path: str, scratch: Scratch, end: int = 0, doc
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([t.num_rows], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
     ordered = rows.repartitionByRange(partitions(total, RANGE_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.table(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, payload binary"), "shards")
+    return scratch.table(ordered.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, payload binary"), "shards")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def read_digests(shards: DataFrame) -> DataFrame:
                     ], ["part", "seq", "doc_id", "in_shard", "n_tokens", "ids_crc32"],
                 )
 
-    found = shards.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "seq", "payload").mapInArrow(tidy(run), "part int, seq int, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 

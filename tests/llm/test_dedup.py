@@ -171,3 +171,42 @@ def test_cleaned_keeps_characters(spark):
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.cleaned(df, 12).collect()}
     assert got == {1: "éé", 2: "ü", 3: None}
     assert suffix_dedup.cleaned(df.limit(0), 12).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_repeated_ids_by_text(spark):
+    """An id with two texts: each text has its own links, in whatever order the rows come."""
+    rnd = random.Random(9)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    a, b = words(80), words(80)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (10, " ".join([*a[:-1], "near"])), (20, " ".join([*b[:-1], "near"]))]
+    for order in (rows, [rows[1], rows[0], *rows[2:]], rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), words=4).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (10, 1, False), (20, 1, False)]
+
+
+def test_texts_of_equal_polynomials_differ(spark):
+    """Thue-Morse strings and their mirror images defeat polynomials modulo 2^64."""
+    x = thue_morse(2048)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{x} one two three four five"), (2, f"{y} one two three four five"), (3, x), (4, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df, words=4).collect())) == near_brute(rows, 4)
+    got = suffix_dedup.removal_digests(df, 400).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == repeats_brute(rows, 400)
+
+
+def test_estimates_miss_no_similar_pair():
+    """Of 20,000 pairs right at the threshold the union sketch drops none."""
+    rnd = np.random.default_rng(6)
+    for n in (40, 90, 400):
+        common = round(n * 0.8)
+        values = rnd.integers(0, 1 << 63, (7000, n), dtype=np.int64).astype(np.uint64)
+        a, b = np.concatenate([values[:, :common], values[:, common::2]], 1), np.concatenate([values[:, :common], values[:, common + 1 :: 2]], 1)
+        import pyarrow as pa
+
+        lists = lambda x: pa.array(np.sort(x, 1)[:, : minhash.K].astype(np.int64).tolist(), pa.list_(pa.int64()))
+        assert minhash._estimates(lists(a), lists(b), minhash.K).min() >= minhash.LEAST

@@ -66,3 +66,25 @@ def test_short_words(spark):
 def test_registry():
     assert sorted(registry.queries()) == sorted(f"op{n}_{x}" for n, x in ((1, "topk_search"), (2, "byte_bpe"), (3, "lm_scoring"), (4, "token_counts"), (5, "perspective_rotation"), (6, "minhash_dedup"), (7, "wavelet_tokens"), (8, "suffix_dedup"), (9, "toxicity"), (10, "decontamination")))
     assert zlib.crc32(b"0") and set(registry.oracle_sql()) == {"op1_topk_search", "op5_perspective_rotation"}
+
+
+def test_rows_that_repeat_ids(spark):
+    """A text that nothing resembles stays, though its id repeats; of equal rows one stays; null ids, null and empty texts stay."""
+    rnd = random.Random(13)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(5)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, a, "en", "s", 3), (3, c, "en", "t", 4), (3, c, "en", "s", 4), (3, c, "en", "s", 4), (4, None, "en", "s", 0), (4, "", "en", "s", 0), (None, a, "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema)
+        got = sorted(map(tuple, cp.drop_near_duplicates(spark, df, "").collect()), key=str)
+        assert got == sorted([rows[0], rows[1], rows[4], rows[6], rows[7], rows[8]], key=str)
+
+
+def test_nothing_at_all(spark, tmp_path):
+    """Empty tables go through all stages."""
+    out = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    assert cp.run(spark, out).count() == 0

@@ -35,7 +35,7 @@ def test_topk_is_exact(spark):
 
 
 def test_few_and_none(spark):
-    assert search(spark, [(0, [1.0, 2.0], 0), (1, [0.5, 0.5], 0)], 5, 1) == [(0, 1, 1, 384), (1, 1, 0, 384)]
+    assert search(spark, [(0, [1.0, 2.0], 0), (1, [0.5, 0.5], 0)], 5, 1) == [(0, 1, 1, 98304), (1, 1, 0, 98304)]
     assert search(spark, [(0, [1.0], 0)], 5, 1) == []
     assert search(spark, [], 5, 1) == []
 
