@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, contamination, byte-level BPE.
 
 Each stage works on all documents that the one before kept and decides by its own input alone. Documents
-are told apart by ``doc_id``; rows that repeat an id with the same text are near-duplicates like others, of
-which one stays. All stages but the last return the columns of ``documents``.
+are told apart by ``doc_id`` and text; rows that repeat both are near-duplicates like others, of which one
+stays, and texts that share an id only are judged each by itself. Null texts and empty tables pass through.
+All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -25,16 +26,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similarity 0.8 or more of five-word shingle sets: the smallest id.
+    """One row of each group linked by similarity 0.8 or more of five-word shingle sets: of least id, then least text.
 
-    Of rows that repeat the id of a kept document the one of least text stays. Documents without words and
-    rows without id stay.
+    Where an id repeats, each of its texts belongs to its own group. Documents without words and rows without id stay.
     """
-    kept = minhash.near_duplicates(docs, words=5).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    best = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return named.join(repeated, "doc_id", "left_anti").unionByName(best).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    key = ["doc_id", "k1", "k2"]
+    scratch = Scratch(spark, "near")
+    found = scratch.table(minhash.near_groups(docs, words=5).where("`group` IS NOT NULL"), "found")
+    best = found.groupBy("group").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
+    rows = found.groupBy(*key).agg(F.count("*").alias("rows"))
+    judged = scratch.table(rows.join(best.withColumn("stays", F.lit(True)), key, "left"), "judged")
+    gone = judged.where("stays IS NULL OR rows > 1").select(*key)
+    named = docs.select(*COLUMNS, *minhash.text_keys("text"))
+    kept = named.join(gone, key, "left_anti").select(*COLUMNS)
+    repeated = judged.where("stays AND rows > 1").select(*key)
+    if repeated.isEmpty():
+        return kept
+    least = named.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return kept.unionByName(least)
 
 
 #: Bytes from which a passage that repeats is cut: what 50 words come to, less what short words may save.
