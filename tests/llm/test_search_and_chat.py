@@ -46,8 +46,36 @@ def test_lists_stop_early():
     rows = np.zeros((4096, 2))
     rows[:, 0] = np.arange(4096)
     lists = np.argsort(rows, axis=0, kind="stable")
-    ids, scores, depth = topk_search.threshold_topk(rows, np.arange(4096), lists, np.array([1.0, 0.0]), -1, 3)
-    assert ids.tolist() == [4095, 4094, 4093] and scores.tolist() == [4095, 4094, 4093] and depth < 200
+    queries = np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]])
+    ids, scores, scored = topk_search.threshold_topk(rows, np.arange(4096), lists, queries, np.array([-1, -1, 2]), 3)
+    assert ids[0].tolist() == [4095, 4094, 4093] and scores[0].tolist() == [4095, 4094, 4093] and scored[0] < 400
+    assert ids[1].tolist() == [0, 1, 2] and scored[1] < 400
+    assert ids[2].tolist() == [0, 1, 3]  # all scores alike: all rows are read, for the smallest ids
+    floor = topk_search.threshold_topk(rows, np.arange(4096), lists, queries[:1], np.array([-1]), 40, [4090])
+    assert floor[2][0] == 80
+
+
+def test_rows_are_spared_where_components_decide(spark):
+    """Rows with few large components, as of learned sparse vectors: most are never scored."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(3000):
+        v = [0.0] * 20
+        for d in rnd.sample(range(20), 2):
+            v[d] = rnd.random() ** 4
+        rows.append((i, v, 0))
+    v = topk_search.quantise(spark.createDataFrame(rows, F32), "vec_id", "embedding")
+    found = topk_search.search_shards(v, v.where("vec_id % 100 = 0"), 5, 1000).selectExpr("sum(scored) AS s").first().s
+    assert found < 0.6 * 30 * 3000
+    assert search(spark, rows, 5, 100, shard_rows=1000) == brute(rows, 5, 100)
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, [i / 8, 1.0], 0, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, q int, shard int, floor int")
+    v = topk_search.quantise(df, "vec_id", "embedding")
+    wide = v.selectExpr("*", "1 AS floor", "2 AS shard", "3 AS block", "4 AS dim")
+    assert sorted(map(tuple, topk_search.topk_inner_product(wide, wide.where("vec_id = 0"), 2).collect())) == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
 
 
 def test_large_components_stay_exact(spark):
