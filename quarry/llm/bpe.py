@@ -2,7 +2,11 @@
 
 Encoding: the distinct pre-tokens of a text block become token-position rows; a recursive query joins
 neighbouring positions to the merge table and contracts each word's leftmost pair of least rank until no
-pair merges. Decoding: token-position rows join the vocabulary and an ordered aggregation puts the bytes
+pair merges. A long word goes through the same query piece by piece, and its pieces are joined by encoding
+the seams: tokens are the encoding of their bytes if and only if each two neighbours are the encoding of
+theirs. (The first merge across a border between tokens would be the leftmost of least rank of the two
+neighbours alone too, as merges elsewhere touch neither; and no merge crosses the ends of a run of tokens of an
+encoding.) So two encodings that have a token in common can be joined at it. Decoding: token-position rows join the vocabulary and an ordered aggregation puts the bytes
 together. Both run in an in-process DuckDB in every Python worker, over blocks of bounded size; nothing is
 shuffled.
 """
@@ -28,11 +32,13 @@ from quarry.llm.common import bytes_of, chunks, small_batches, text_array, tidy
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pre-tokens that one recursive query takes, and words a worker remembers before it starts anew.
 QUERY_BYTES, MEMO_WORDS = 1 << 18, 400_000
-#: Words up to this many bytes contract one pair a round; longer ones every clear occurrence of the least pair.
-SHORT = 256
+#: Bytes of a word that one row state holds; longer words go in pieces of this size.
+PIECE = 64
+#: Tokens on each side of a border that its seam takes at first.
+SEAM = 8
 
-#: State of a word: its list of tokens. A round pairs neighbours (as token-position rows), takes the merge of
-#: least (rank, position) and contracts it. The last state of each word is its encoding.
+#: State of a word: its list of tokens, which each round replaces. A round pairs neighbours (as token-position rows),
+#: takes the merge of least (rank, position) and contracts it.
 _ENCODE = """
 WITH RECURSIVE s(w, ids, it) AS (
   SELECT w, list(t ORDER BY p), 0 FROM token_rows GROUP BY w
@@ -47,27 +53,6 @@ WITH RECURSIVE s(w, ids, it) AS (
 )
 SELECT w, arg_max(ids, it) AS ids FROM s GROUP BY w ORDER BY w
 """
-#: The same for long words. A round contracts all occurrences of the least pair that don't overlap, from the
-#: left: that equals contracting one after the other unless the new token can merge at a lower rank (unclear
-#: tokens), where only the leftmost is taken.
-_ENCODE_LONG = """
-WITH RECURSIVE s(w, p, t, it) AS (
-  SELECT w, p, t, 0 FROM token_rows
-  UNION ALL
-  SELECT w, p, CASE WHEN hit THEN least_m ELSE t END, it + 1
-  FROM (
-    SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM (
-      SELECT *, least_m IS NOT NULL AND m IS NOT DISTINCT FROM least_m AND nth % 2 = 1 AND (clear OR p = first_p) AS hit FROM (
-        SELECT *, row_number() OVER (PARTITION BY w, m IS NOT DISTINCT FROM least_m, i - j ORDER BY p) AS nth,
-               min(CASE WHEN m = least_m THEN p END) OVER (PARTITION BY w) AS first_p FROM (
-          SELECT *, row_number() OVER (PARTITION BY w, m IS NOT DISTINCT FROM least_m ORDER BY p) AS j FROM (
-            SELECT x.*, merges.m, merges.clear, min(merges.m) OVER (PARTITION BY x.w) AS least_m
-            FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt, row_number() OVER (PARTITION BY w ORDER BY p) AS i FROM s) x
-            LEFT JOIN merges ON merges.l = x.t AND merges.r = x.nt)))))
-  WHERE least_m IS NOT NULL AND NOT gone
-)
-SELECT w, list(t ORDER BY p) AS ids FROM (SELECT * FROM s QUALIFY it = max(it) OVER (PARTITION BY w)) GROUP BY w ORDER BY w
-"""
 _DECODE = "SELECT w, string_agg(s, '' ORDER BY p) AS text FROM id_rows JOIN vocab USING (id) GROUP BY w ORDER BY w"
 
 
@@ -82,10 +67,8 @@ class Codec:
             self.tokens[rank] = token
         rows = [(x, y, m) for token, m in self.ranks.items() for i in range(1, len(token)) if (x := self.ranks.get(token[:i])) is not None and (y := self.ranks.get(token[i:])) is not None]
         left, right, merged = (np.array(c, np.int32) for c in zip(*rows))
-        unclear = {t for l, r, m in rows for t in (l, r) if m <= t}
-        clear = np.array([m not in unclear for m in merged.tolist()])
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.con.register("merge_rows", pa.table({"l": left, "r": right, "m": merged, "clear": clear}))
+        self.con.register("merge_rows", pa.table({"l": left, "r": right, "m": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT *, (l::BIGINT << 32) + r AS lr FROM merge_rows")
         self.con.register("vocab_rows", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "s": [t.decode("latin-1") for t in self.ranks]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
@@ -106,42 +89,94 @@ class Codec:
         finally:
             self.con.unregister(view)
 
-    def _query(self, sql: str, words: list[bytes]) -> list[bytes]:
+    def _query(self, words: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"".join(words), np.uint8)
         n = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(n) - n
         rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "p": (np.arange(len(data)) - np.repeat(first, n)).astype(np.int32), "t": self.byte[data]})
-        ids = self._run(sql, "token_rows", rows)["ids"].combine_chunks()
+        ids = self._run(_ENCODE, "token_rows", rows)["ids"].combine_chunks()
         flat, offs = np.asarray(ids.values).astype(np.int32), np.asarray(ids.offsets)
-        return [flat[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]
+        return [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids (as int32 bytes) of non-empty words, in blocks of bounded size."""
-        out: list[bytes] = []
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of non-empty words, in queries of bounded size."""
+        out: list[np.ndarray] = []
         at = 0
         while at < len(words):
             size, end = 0, at
             while end < len(words) and (end == at or size + len(words[end]) <= QUERY_BYTES):
                 size += len(words[end])
                 end += 1
-            out += self._query(_ENCODE if max(map(len, words[at:end])) <= SHORT else _ENCODE_LONG, words[at:end])
+            out += self._query(words[at:end])
             at = end
         return out
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of a word of any length: pieces, joined one after the other at their seams."""
+        raw = np.frombuffer(word, np.uint8)
+        pieces: list[bytes] = []
+        cuts = [0, *(np.flatnonzero(~self.joins[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]  # no merge crosses these
+        first = []  # the pieces that begin after such a cut
+        for a, b in zip(cuts, cuts[1:]):
+            first.append(len(pieces))
+            pieces += [word[x : min(b, x + PIECE)] for x in range(a, b, PIECE)]
+        short: dict[bytes, np.ndarray] = {}
+
+        def learn(wanted: list[bytes]) -> None:
+            new = [w for w in dict.fromkeys(wanted) if w not in short]
+            short.update(zip(new, self._encode(new)))
+
+        def text(ids: np.ndarray) -> bytes:
+            return b"".join([self.tokens[i] for i in ids.tolist()])
+
+        learn(pieces)
+        free = set(first)
+        learn([text(short[a][-SEAM:]) + text(short[b][:SEAM]) for i, (a, b) in enumerate(zip(pieces, pieces[1:]), 1) if i not in free])
+        done, tail = [], short[pieces[0]]  # ``tail`` ends what is settled so far; ``done`` comes before it
+        for i, piece in enumerate(pieces[1:], 1):
+            right = short[piece]
+            if i in free:
+                done.append(tail)
+                tail = right
+                continue
+            n = SEAM
+            while True:
+                while len(tail) < n and done:
+                    tail = np.concatenate([done.pop(), tail])
+                left = tail[-n:]
+                before, after = text(left), text(right[:n])
+                learn([before + after])
+                joined = self._join(left, right[:n], short[before + after], len(before), len(left) == len(tail) and not done, n >= len(right))
+                if joined is not None:
+                    break
+                n *= 2
+            tail = np.concatenate([tail[: len(tail) - len(left)], joined, right[n:]])
+            if len(tail) > 4 * PIECE:
+                done.append(tail[: -2 * PIECE])
+                tail = tail[-2 * PIECE :]
+        return np.concatenate([*done, tail])
+
+    def _join(self, left: np.ndarray, right: np.ndarray, seam: np.ndarray, border: int, whole_left: bool, whole_right: bool) -> np.ndarray | None:
+        """``left`` and ``right`` joined by the encoding of their bytes, if that has a token of either - or an end - in common."""
+        ends = lambda ids: np.cumsum([len(self.tokens[t]) for t in ids.tolist()])
+        own, at, beyond = ends(left), ends(seam), border + ends(right)
+        span = lambda ids, end: {(e, int(t)): i for i, (e, t) in enumerate(zip(end.tolist(), ids.tolist()))}
+        seams = span(seam, at)
+        # the ends of a run of an encoding's tokens are borders for sure only where nothing comes before or after
+        a = max(((i, seams[k]) for k, i in span(left, own).items() if k in seams), default=(-1, -1) if whole_left else None)
+        b = min(((i, seams[k]) for k, i in span(right, beyond).items() if k in seams), default=(len(right), len(seam)) if whole_right else None)
+        if a is None or b is None or a[1] >= b[1] and len(seam):
+            return None
+        return np.concatenate([left[: a[0] + 1], seam[a[1] + 1 : b[1]], right[b[0] :]])
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids (as int32 bytes) of each pre-token; words seen before come from a bounded memory."""
-        new = [w for w in words if w not in self.memo]
+        """Ids (as int32 bytes) of each pre-token; short words seen before come from a bounded memory."""
+        new = [w for w in words if w not in self.memo and len(w) <= PIECE]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = words
-        short = [w for w in new if len(w) <= SHORT]
-        self.memo.update(zip(short, self._encode(short)))
-        for w in new:
-            if len(w) > SHORT:  # cut where no token can reach across
-                raw = np.frombuffer(w, np.uint8)
-                cuts = [0, *(np.flatnonzero(~self.joins[raw[:-1], raw[1:]]) + 1).tolist(), len(w)]
-                self.memo[w] = b"".join(self._encode([w[a:b] for a, b in zip(cuts, cuts[1:])]))
-        return [self.memo[w] for w in words]
+            new = [w for w in words if len(w) <= PIECE]
+        self.memo.update(zip(new, (ids.tobytes() for ids in self._encode(new))))
+        return [self.memo[w] if len(w) <= PIECE else self._long(w).tobytes() for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and each row's bounds in them."""

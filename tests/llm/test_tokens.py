@@ -65,6 +65,21 @@ def test_long_words_match_tiktoken():
     assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode_ordinary(w) for w in words]
 
 
+def test_a_word_of_a_megabyte(spark):
+    """Joined word pieces, and one letter over and over, within the memory of one query."""
+    path = public_tokenizers.path(bpe.RANKS)
+    codec = bpe.codec(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rnd = random.Random(4)
+    pieces = [t.decode() for t in codec.ranks if t.isalpha() and t.isascii()]
+    words = ["".join(rnd.choice(pieces) for _ in range(300_000))[: 1 << 20], "e" * 300_000]
+    want = [library._core_bpe.encode_single_piece(w.encode()) for w in words]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    for r in bpe.roundtrip_digests(rows, path).collect():
+        ids = ",".join(map(str, want[r.doc_id])).encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(words[r.doc_id].encode()).hexdigest())
+
+
 def test_counts_match_library(spark):
     rows, df = table(spark)
     path = public_tokenizers.path(token_counts.VOCABULARY)
