@@ -138,15 +138,3 @@ def select_tags(scored: Column, excluded: tuple[str, ...] = ("1girl", "1boy", "s
     kept = F.filter(scored, lambda t: (((t["category"] == 0) & (t["p"] > general)) | ((t["category"] == 4) & (t["p"] > character))) & ~F.lower(t["tag"]).isin(*excluded))
     ranked = F.array_sort(F.transform(kept, lambda t, i: F.struct((-t["p"]).alias("o"), i.alias("i"), t["tag"].alias("tag"))))
     return F.array_join(F.transform(ranked, lambda t: F.replace(F.replace(t["tag"], F.lit("("), F.lit("\\(")), F.lit(")"), F.lit("\\)"))), ", ")
-
-
-def sharpness_band(sharp: Column) -> Column:
-    return cascade((sharp >= 200, "good"), (sharp >= 100, "fair"), otherwise="poor")
-
-
-def ai_band(score: Column) -> Column:
-    return cascade((score > 0.7, "high"), (score > 0.4, "medium"), otherwise="low")
-
-
-def diversity_band(score: Column) -> Column:
-    return cascade((score >= 70, "good"), (score >= 50, "fair"), otherwise="poor")

@@ -121,7 +121,7 @@ def _family_sql() -> dict[str, str]:
 def target_scores(judged: DataFrame, diversity_score: Column, legacy: bool = False) -> DataFrame:
     """``(family, score, grade)`` of five target families; no rows without any viable image.
 
-    ``legacy`` takes the mix of formats as unknown and diversity as 50, whatever they are.
+    ``diversity_score`` is an aggregate over the judged rows, or a literal. ``legacy`` takes the mix of formats as unknown and diversity as 50, whatever they are.
     """
     v = judged.where("viable IN ('yes', 'borderline')")
     count = lambda cond, name: F.count_if(cond).cast("double").alias(name)
@@ -131,24 +131,23 @@ def target_scores(judged: DataFrame, diversity_score: Column, legacy: bool = Fal
     s = v.agg(
         F.count("*").alias("rows"), count(c("viable") == "yes", "n"), count((c("w") >= 1024) & (c("h") >= 1024), "r1024"), count((c("w") >= 512) & (c("h") >= 512), "r512"), count(F.coalesce(c("tags"), F.lit("")) != "", "tagged"),
         count(cap != "", "captioned"), count(F.coalesce(c("joy"), F.lit("")) != "", "joyed"), count(F.length(cap) >= 100, "longs"), count(known & (aspect == "square"), "sq"), count(known & aspect.isin("portrait", "tall_portrait"), "po"),
-        count(known & aspect.isin("landscape", "wide_landscape"), "la"), count(c("artifacts") == "high", "ah"),
+        count(known & aspect.isin("landscape", "wide_landscape"), "la"), count(c("artifacts") == "high", "ah"), diversity_score.cast("double").alias("d0"),
     ).where("rows > 0")
-    d = F.lit(50.0) if legacy else truthy_or(diversity_score, 50.0)
-    s = s.withColumns({"d": d.cast("double"), "ar": c("sq") + c("po") + c("la"), "kinds": (c("sq") > 0).cast("int") + (c("po") > 0).cast("int") + (c("la") > 0).cast("int")})
+    s = s.withColumns({"d": F.lit(50.0) if legacy else truthy_or(c("d0"), 50.0).cast("double"), "ar": c("sq") + c("po") + c("la"), "kinds": (c("sq") > 0).cast("int") + (c("po") > 0).cast("int") + (c("la") > 0).cast("int")})
     each = s.select(F.explode(F.array(*(F.struct(F.lit(k).alias("family"), F.expr(e).cast("long").alias("score")) for k, e in _family_sql().items()))).alias("r")).select("r.*")
     return each.withColumn("grade", classify.letter(c("score")))
 
 
-def target_scores_sql(judged: str) -> str:
+def target_scores_sql(judged: str, diversity: str = "50::DOUBLE") -> str:
     ratio = "w / CAST(h AS DOUBLE)"
     cap = "coalesce(nullif(joy, ''), nullif(\"natural\", ''), '')"
     stats = f"""SELECT count(*) FILTER (WHERE viable = 'yes')::DOUBLE AS n, count(*) FILTER (WHERE w >= 1024 AND h >= 1024)::DOUBLE AS r1024, count(*) FILTER (WHERE w >= 512 AND h >= 512)::DOUBLE AS r512, count(*) FILTER (WHERE coalesce(tags, '') <> '')::DOUBLE AS tagged,
  count(*) FILTER (WHERE {cap} <> '')::DOUBLE AS captioned, count(*) FILTER (WHERE coalesce(joy, '') <> '')::DOUBLE AS joyed, count(*) FILTER (WHERE length({cap}) >= 100)::DOUBLE AS longs, count(*) FILTER (WHERE {ratio} >= 0.9::DOUBLE AND {ratio} <= 1.1::DOUBLE)::DOUBLE AS sq,
- count(*) FILTER (WHERE {ratio} < 0.9::DOUBLE)::DOUBLE AS po, count(*) FILTER (WHERE {ratio} > 1.1::DOUBLE)::DOUBLE AS la, count(*) FILTER (WHERE artifacts = 'high')::DOUBLE AS ah, 50::DOUBLE AS d FROM j WHERE viable <> 'no'"""
+ count(*) FILTER (WHERE {ratio} < 0.9::DOUBLE)::DOUBLE AS po, count(*) FILTER (WHERE {ratio} > 1.1::DOUBLE)::DOUBLE AS la, count(*) FILTER (WHERE artifacts = 'high')::DOUBLE AS ah, {diversity} AS d FROM j WHERE viable <> 'no'"""
     more = "SELECT *, sq + po + la AS ar, (sq > 0)::INTEGER + (po > 0)::INTEGER + (la > 0)::INTEGER AS kinds FROM s0"
     rows = " UNION ALL ".join(f"SELECT '{k}' AS family, CAST({e} AS BIGINT) AS score FROM s1" for k, e in _family_sql().items())
     grade = "CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN score >= 60 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
-    return f"{judged}, s0 AS ({stats}), s1 AS ({more}), r AS ({rows}) SELECT family, score, {grade} AS grade FROM r"
+    return f"{judged}, s0 AS ({stats}), s1 AS ({more}), ts AS ({rows}) SELECT family, score, {grade} AS grade FROM ts"
 
 
 def recommendations(judged: DataFrame) -> DataFrame:
@@ -217,6 +216,41 @@ def overfit_alerts(viable: DataFrame, least: float = 0.5, support: int = 5) -> D
     return each.where(c("category").isNotNull() & (c("share") >= least) & (c("total") >= support)).drop("total")
 
 
+def overfit_by_category(alerts: DataFrame) -> DataFrame:
+    """``(category, n_tags, top, alert)``: the three most frequent tags of each category, and whether one of them is in 75 % of rows."""
+    best = alerts.groupBy("category").agg(F.count("*").alias("n_tags"), F.slice(F.array_sort(F.collect_list(F.struct((-c("n")).alias("o"), "tag", "share"))), 1, 3).alias("t"))  # tags of accessories are few
+    return best.select("category", "n_tags", F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("top"), F.exists("t", lambda x: x["share"] >= 0.75).alias("alert"))
+
+
+def overfit_categories(alerts: DataFrame) -> DataFrame:
+    """One row ``(categories, names)``: the distinct categories of alerts; null without any, which diversity leaves out."""
+    n = F.count_distinct("category")
+    return alerts.agg(F.when(n > 0, n).alias("categories"), F.array_sort(F.collect_set("category")).alias("names"))
+
+
+#: Usable images that a stable and an ideal set have.
+SET_LEAST, SET_IDEAL = 20, 30
+
+
+def action_plan(judged: DataFrame) -> DataFrame:
+    """Ordered ``(ord, code, n)``: what to remove, then what to add, or that the set is large enough."""
+    s = judged.agg(F.count_if(c("viable") == "no").alias("n_no"), F.count_if(c("viable") == "yes").alias("n_yes"))
+    more = cascade((c("n_yes") < SET_LEAST, "generate"), (c("n_yes") < SET_IDEAL, "add_optional"), otherwise="ready")
+    short = cascade((c("n_yes") < SET_LEAST, F.lit(SET_LEAST) - c("n_yes")), (c("n_yes") < SET_IDEAL, F.lit(SET_IDEAL) - c("n_yes")), otherwise=F.lit(0))
+    rows = F.array(F.when(c("n_no") > 0, F.struct(F.lit(1).alias("ord"), F.lit("remove").alias("code"), c("n_no").cast("long").alias("n"))), F.struct(F.lit(2).alias("ord"), more.alias("code"), short.cast("long").alias("n")))
+    return s.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+
+
+def action_gates(judged: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """One row of booleans: which further steps a set allows."""
+    kept = F.count_if(c("viable").isin("yes", "borderline"))
+    gates = judged.agg(
+        (kept >= 10).alias("can_export"), (kept >= 1).alias("can_mask"), (F.count_if(c("viable") == "no") > 0).alias("can_move"),
+        (F.count_if(classify.upscale_candidate(c("sharp"), c("faces"))) > 0).alias("can_upscale"),
+    )
+    return gates.crossJoin(suggestions.agg((F.count("*") > 0).alias("can_generate")))  # one row each
+
+
 def identity_centroid(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """``(pos, x)`` of the mean vector brought to length one; as it is where it is zero."""
     mean = vectors.where(c(vec).isNotNull()).select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(c("x").cast("double")).alias("x"))
@@ -224,6 +258,12 @@ def identity_centroid(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     return mean.crossJoin(F.broadcast(length)).select("pos", F.when(c("len") > 0, c("x") / c("len")).otherwise(c("x")).alias("x"))
 
 
+def reference_use(references: DataFrame, vec: str = "embedding", names: int = 5) -> DataFrame:
+    """One row: how many references have a vector, how many have none, and the first names of those without."""
+    failed = references.where(c(vec).isNull()).orderBy("name").limit(names).agg(F.array_sort(F.collect_list("name")).alias("failed_first"))
+    return references.agg(F.count(vec).alias("used"), F.count_if(c(vec).isNull()).alias("failed")).crossJoin(failed)  # one row each
+
+
 def evaluator_score(mean: Column, std: Column, copycats: Column, with_face: Column, total: Column, top_ratio: Column) -> Column:
     """The verdict's score from statistics rounded before; null mean scores 0."""
     base = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (mean - 0.3) * 200))

@@ -54,3 +54,33 @@ def export_plan(judged: DataFrame, target: dict, persona: str, boxes: Column | N
     caption = text.build_caption(F.lit(target["captioner"]), F.col("tags"), F.col("joy"), F.col("natural"), F.lit(persona), F.lit(target["quality_prefix"]))
     out = numbered(kept, "image_id", persona).withColumn("caption", caption)
     return out.withColumn("box", boxes) if boxes is not None else out
+
+
+def training_files(plan: DataFrame, target: dict, persona: str, folder: str) -> DataFrame:
+    """``(path, content, box, size)`` for ``write_training_images``, from an export plan with ``content`` and ``box``."""
+    repeats = target["repeats"] or 10
+    home = f"{folder}/{repeats}_{persona}" if target["folder_naming"] == "kohya" else f"{folder}/images"
+    first = target["resolutions"][0]
+    size = F.col("size") if "size" in plan.columns else F.struct(F.lit(first["w"]).alias("w"), F.lit(first["h"]).alias("h"))
+    return plan.select(F.concat(F.lit(f"{home}/"), F.col("out_name"), F.lit(".png")).alias("path"), "content", "box", size.alias("size"))
+
+
+def export_states(judged: DataFrame, present: Column, viable_only: bool = True) -> DataFrame:
+    """Adds ``state``: skipped, ``error`` where the file is not ``present``, or written."""
+    out = F.lit(viable_only) & F.col("viable").eqNullSafe("no")
+    return judged.withColumn("state", F.when(out, "skipped").when(~F.coalesce(present, F.lit(False)), "error").otherwise("written"))
+
+
+def export_counters(states: DataFrame) -> DataFrame:
+    """One row: ``written``, ``skipped`` and ``errors``."""
+    n = lambda state, name: F.count_if(F.col("state") == state).alias(name)
+    return states.agg(n("written", "written"), n("skipped", "skipped"), F.count_if(F.col("state").isin("error", "unreadable")).alias("errors"))
+
+
+def upscale_moves(rows: DataFrame, folder: str, order: str, file: str) -> DataFrame:
+    """Where blurry pictures go that can be saved, and their captions: ``target`` and ``sidecar``, names made unique."""
+    from quarry.functions import classify
+
+    plan = move_plan(rows.where(classify.upscale_candidate(F.col("sharp"), F.col("faces"))), order, file)
+    target = F.concat(F.lit(f"{folder}/"), F.col("target"))
+    return plan.withColumns({"target": target, "sidecar": F.regexp_replace(target, r"\.[^./]*$", ".txt")})

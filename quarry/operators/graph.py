@@ -22,8 +22,9 @@ def greedy_leaders(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     root = scratch_root(spark)
-    adjacent = settle(_both_ways(edges), root, "adjacent").where("j < i")  # i's smaller neighbours
-    vertices = _both_ways(edges).select(F.col("i").alias("id")).distinct()
+    both = settle(_both_ways(edges), root, "adjacent")  # the edges are computed once
+    adjacent = both.where("j < i")  # i's smaller neighbours
+    vertices = both.select(F.col("i").alias("id")).distinct()
     state = settle(vertices.withColumn("s", F.lit(0)), root, "s0")  # 0 open, 1 leader, 2 member
     step = 0
     while True:

@@ -18,6 +18,12 @@ def cache_merge(scan: DataFrame, cache: DataFrame, key: str = "file_key", versio
     return scan.join(known, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def cache_counters(merged: DataFrame, cache: DataFrame, key: str = "file_key", version: int = VERSION) -> DataFrame:
+    """One row: ``reused`` and ``fresh`` files of a scan, and ``dropped`` cache entries that it doesn't hold."""
+    gone = cache.where(F.col("version") == version).select(key).distinct().join(merged.select(key), key, "left_anti").agg(F.count("*").alias("dropped"))
+    return merged.agg(F.count_if("hit").alias("reused"), F.count_if(~F.col("hit")).alias("fresh")).crossJoin(gone)  # one row each
+
+
 def cache_next(merged: DataFrame, fresh: DataFrame, version: int = VERSION) -> DataFrame:
     """The next cache: hits of this run and fresh rows; files that are gone drop out."""
     kept = merged.where("hit").drop("hit")

@@ -42,20 +42,40 @@ def _meet(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
     return a.groupBy("bi", "bj").cogroup(b.groupBy("ri", "rj")).applyInArrow(named, schema)
 
 
+def _meet_self(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """Every two blocks of ``(id, v)``, and each block with itself, meet once: (blocks) * (blocks + 1) / 2 groups."""
+    n = _blocks(rows.count())
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("bi"), F.greatest(k, F.col("block")).alias("bj")))
+    dealt = rows.select("id", "v", block.alias("block")).select("id", "v", "block", F.explode(met).alias("t")).select("id", "v", "block", "t.bi", "t.bj")
+
+    def named(key, t):
+        i, j = (k.as_py() for k in key)
+        of = np.asarray(t["block"])
+        one = t.take(pa.array(np.flatnonzero(of == i)))
+        return kernel(one, one if i == j else t.take(pa.array(np.flatnonzero(of == j))), i == j)
+
+    return dealt.groupBy("bi", "bj").applyInArrow(named, schema)
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(x, y), np.maximum(x, y)
+
+
 def similar_pairs(vectors: DataFrame, least: float, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(i, j, sim)``, i < j, of all pairs with a dot product of at least ``least``. Null vectors take no part."""
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
-    def kernel(left, right):
+    def kernel(left, right, same):
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             x, y = np.asarray(left["id"]), np.asarray(right["id"])
             sim = _matrix(left["v"]) @ _matrix(right["v"]).T
-            i, j = np.nonzero((sim >= least) & (x[:, None] < y[None, :]))
-            out = [x[i], y[j], sim[i, j]]
+            i, j = np.nonzero((sim >= least) & (x[:, None] < y[None, :]) if same else sim >= least)
+            out = [*_ordered(x[i], y[j]), sim[i, j]]
         return pa.table(dict(zip(("i", "j", "sim"), out)))
 
-    return _meet(rows, rows, kernel, "i long, j long, sim double")
+    return _meet_self(rows, kernel, "i long, j long, sim double")
 
 
 def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -65,40 +85,43 @@ def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedd
     """
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
-    def kernel(left, right):
+    def kernel(left, right, same):
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             x, y = np.asarray(left["id"]), np.asarray(right["id"])
             sim = _matrix(left["v"]) @ _matrix(right["v"]).T
-            sim[x[:, None] >= y[None, :]] = -np.inf
+            if same:
+                sim[x[:, None] >= y[None, :]] = -np.inf
             most = sim.max(1)
             # k rows reach the k-th greatest of the rows' maxima, so no pair below it is among the k best
             bound = np.partition(most, len(most) - k)[len(most) - k] if len(most) > k else -np.inf
             i, j = np.nonzero((sim >= bound) & (sim > -np.inf))
-            s = sim[i, j]
-            best = np.lexsort((y[j], x[i], -s))[:k]
-            out = [x[i][best], y[j][best], s[best]]
+            s, (first, second) = sim[i, j], _ordered(x[i], y[j])
+            best = np.lexsort((second, first, -s))[:k]
+            out = [first[best], second[best], s[best]]
         return pa.table(dict(zip(("i", "j", "sim"), out)))
 
-    return _meet(rows, rows, kernel, "i long, j long, sim double").orderBy(F.col("sim").desc(), "i", "j").limit(k)
+    return _meet_self(rows, kernel, "i long, j long, sim double").orderBy(F.col("sim").desc(), "i", "j").limit(k)
 
 
 def pair_extremes(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(id, least, greatest)`` dot product of each vector with any other; rows without partner are absent."""
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
-    def kernel(left, right):
+    def kernel(left, right, same):
         empty = {"id": np.zeros(0, np.int64), "lo": np.zeros(0), "hi": np.zeros(0)}
         if not (left.num_rows and right.num_rows):
             return pa.table(empty)
         x, y = np.asarray(left["id"]), np.asarray(right["id"])
         sim = _matrix(left["v"]) @ _matrix(right["v"]).T
         own = x[:, None] == y[None, :]
-        lo, hi = np.where(own, np.inf, sim).min(1), np.where(own, -np.inf, sim).max(1)
+        low, high = np.where(own, np.inf, sim), np.where(own, -np.inf, sim)
+        sides = [(x, low.min(1), high.max(1))] if same else [(x, low.min(1), high.max(1)), (y, low.min(0), high.max(0))]
+        ids, lo, hi = (np.concatenate(c) for c in zip(*sides))
         real = np.isfinite(lo)
-        return pa.table({"id": x[real], "lo": lo[real], "hi": hi[real]})
+        return pa.table({"id": ids[real], "lo": lo[real], "hi": hi[real]})
 
-    return _meet(rows, rows, kernel, "id long, lo double, hi double").groupBy("id").agg(F.min("lo").alias("least"), F.max("hi").alias("greatest"))
+    return _meet_self(rows, kernel, "id long, lo double, hi double").groupBy("id").agg(F.min("lo").alias("least"), F.max("hi").alias("greatest"))
 
 
 def leave_one_out(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -167,10 +190,13 @@ def hamming_pairs(hashes: DataFrame, max_distance: int, id: str = "image_id", bi
     """``(i, j, distance, n_i, n_j)``: pairs of hash classes that differ in 1 to ``max_distance`` bits.
 
     A class has all rows of one 64-bit hash; its smallest id stands for it and ``n`` counts it. Two such hashes
-    agree in one of max_distance + 1 bands, so an equi-join on bands misses none.
+    agree in one of max_distance + 1 bands, so an equi-join on bands misses none. The bands share out the bits that
+    differ anywhere in the table: bits that all hashes have alike would tie all classes in one band.
     """
     classes = hashes.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(id).alias("rep"), F.count("*").alias("n"))
-    cut = classes.select("h", "rep", "n", F.explode(bands(F.col("h"), max_distance)).alias("b")).select("h", "rep", "n", "b.band", "b.value")
+    seen = hashes.agg(F.bit_or(bits).alias("any"), F.bit_and(bits).alias("all")).first()
+    varying = [b for b in range(64) if ((seen["any"] or 0) ^ (seen["all"] or 0)) >> b & 1]
+    cut = classes.select("h", "rep", "n", F.explode(bands(F.col("h"), max_distance, varying)).alias("b")).select("h", "rep", "n", "b.band", "b.value")
     other = cut.select(F.col("h").alias("g"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), "band", "value")
     near = cut.join(other, ["band", "value"]).where("rep < rep2").withColumn("distance", hamming(F.col("h"), F.col("g"))).where(F.col("distance") <= max_distance)
     return near.select(F.col("rep").alias("i"), F.col("rep2").alias("j"), "distance", F.col("n").alias("n_i"), F.col("n2").alias("n_j")).distinct()

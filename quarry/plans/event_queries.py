@@ -156,7 +156,7 @@ def json_rows(spark, sf):
     return parsed.select("event_id", "k", F.to_json(F.struct(c("event_id").alias("id"), "k")).alias("doc"))
 
 
-@query("q64_stream_incremental")
+@query("q64_stream_incremental", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_incremental(spark, sf):
     from quarry.streaming.progress import available_now
 

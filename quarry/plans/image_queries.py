@@ -146,11 +146,6 @@ def dataset_grade(spark, sf):
     return counts.crossJoin(coherence).withColumn("grade", aggregates.dataset_grade(c("n_yes"), c("coherence")))  # one row each
 
 
-@query("q41_target_family_scores", aggregates.target_scores_sql(JUDGED_SQL))
-def target_scores(spark, sf):
-    return aggregates.target_scores(judged(images(spark, sf)), F.lit(50.0))
-
-
 _REC = JUDGED_SQL + """, s AS (SELECT count(*) AS total, count(*) FILTER (WHERE viable = 'yes') AS n_yes, count(*) FILTER (WHERE duplicate) AS dup, count(*) FILTER (WHERE artifacts = 'high') AS ah, count(*) FILTER (WHERE artifacts = 'medium') AS am,
  count(*) FILTER (WHERE faces = 0) AS f0, count(*) FILTER (WHERE faces > 1) AS f2, count(*) FILTER (WHERE ai_score >= 0.5) AS ai, count(*) FILTER (WHERE sharp < 100) AS blurry, count(*) FILTER (WHERE bright < 40) AS dark, count(*) FILTER (WHERE bright > 220) AS over,
  avg(sharp) AS ms, max(w) - min(w) AS dw, max(h) - min(h) AS dh, count(*) FILTER (WHERE sharp >= 50 AND sharp < 100 AND faces > 0) AS up FROM j)

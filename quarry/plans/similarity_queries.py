@@ -162,23 +162,13 @@ def verdict(spark, sf):
     return evaluate(gen, ref, train).verdict
 
 
-@query("q40_diversity_score", _COMP + f""", n AS (SELECT count(*) AS total FROM v), k AS (SELECT (SELECT total FROM n) - (SELECT count(DISTINCT id) FROM r) + (SELECT count(DISTINCT x) FROM (SELECT id, min(x) AS x FROM r GROUP BY id)) AS clusters)
-SELECT clusters, floor((least(100, floor(clusters / total::DOUBLE * 100)) + 100) / 2 + 0.5::DOUBLE) AS score, CASE WHEN floor((least(100, floor(clusters / total::DOUBLE * 100)) + 100) / 2 + 0.5::DOUBLE) >= 75 THEN 'excellent' WHEN floor((least(100, floor(clusters / total::DOUBLE * 100)) + 100) / 2 + 0.5::DOUBLE) >= 55 THEN 'good' ELSE 'fair' END AS verdict FROM n, k""")
-def diversity(spark, sf):
-    v = vectors(spark, sf)
-    comp = graph.connected_components(pairs.similar_pairs(v, EDGE)).agg(F.count("*").alias("linked"), F.count_distinct("component").alias("comps"))
-    k = v.agg(F.count("*").alias("total")).crossJoin(comp).withColumn("clusters", c("total") - c("linked") + c("comps"))  # one row each
-    score = aggregates.diversity(c("clusters"), c("total"), F.lit(0))
-    return k.withColumn("score", score).select("clusters", "score", aggregates.diversity_verdict(c("score")).alias("verdict"))
-
-
 @query("q62_expression_argmax", f"WITH {_V}, x AS (SELECT vec_id, unnest(range(0, 7)) AS k, unnest(e[1:7]) AS s FROM v), b AS (SELECT vec_id, first(k ORDER BY s DESC, k) AS best, max(s) AS s FROM x GROUP BY vec_id) SELECT vec_id, best::INTEGER AS best, {r_sql('s', 3)} AS confidence FROM b")
 def expression(spark, sf):
     each = F.transform(F.slice("embedding", 1, 7), lambda x, i: F.struct(x.cast("double").alias("s"), (-i).alias("o")))
     return vectors(spark, sf).select("vec_id", F.array_max(each).alias("b")).select("vec_id", (-c("b.o")).cast("int").alias("best"), half_up(c("b.s"), 3).alias("confidence"))
 
 
-@query("q63_model_udf_stub")
+@query("q63_model_udf_stub", f"WITH {_V} SELECT vec_id, embedding, {r_sql('sqrt(list_dot_product(e, e))', 3)} AS length FROM v JOIN embeddings USING (vec_id)")
 def model_stub(spark, sf):
     from quarry.functions.providers import REGISTRY, features
 

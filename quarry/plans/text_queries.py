@@ -122,9 +122,14 @@ SELECT image_id, key, md5(concat_ws(', ', nullif(lead, ''), CASE WHEN body = ''
 
 @query("q33_caption_build", _CAP)
 def captions(spark, sf):
-    rows = images(spark, sf).select("image_id", "tags", "joy", "natural").crossJoin(F.broadcast(targets(spark).select("key", "captioner", "quality_prefix")))  # 19 rows
-    cap = text.build_caption(c("captioner"), c("tags"), c("joy"), c("natural"), F.lit("The"), c("quality_prefix"))
-    return rows.select("image_id", "key", F.md5(cap.cast("binary")).alias("caption_md5"))
+    # a body for each captioner, a caption for each captioner and prefix, then the targets that share it
+    kinds = targets(spark).groupBy("captioner", "quality_prefix").agg(F.collect_list("key").alias("keys")).groupBy("captioner").agg(F.collect_list(F.struct("quality_prefix", "keys")).alias("leads"))
+    rows = images(spark, sf).select("image_id", "tags", "joy", "natural").crossJoin(F.broadcast(kinds))  # a row a captioner
+    name = F.lit("The")
+    bodies = rows.select("image_id", "leads", text.caption_body(c("captioner"), c("tags"), c("joy"), c("natural"), name).alias("body"))
+    words = bodies.select("image_id", "body", text.trigger_word(c("body"), name).alias("word"), F.explode("leads").alias("lead"))
+    caps = words.select("image_id", "lead.keys", F.md5(text.led_caption(c("body"), c("word"), name, c("lead.quality_prefix")).cast("binary")).alias("caption_md5"))
+    return caps.select("image_id", F.explode("keys").alias("key"), "caption_md5")
 
 
 _SUGGESTIONS = ["Generate 2-3 side profile shots", "Add 4 three-quarter views, yaw 30", "only 1 wide shot, full body", "another profile, yaw 60", "vary the smile", "nothing here 7"]

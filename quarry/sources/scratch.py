@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LIVE: list[tuple[SparkSession, str]] = []
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, below one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext._jsc.sc()
-        if not context.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        base = context.getCheckpointDir().get()
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; in a local session without it, a folder of our own.
+
+    On a cluster the setting must be there, as a folder of one machine would lose what other machines write.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch_root(spark: SparkSession, name: str = "quarry") -> str:
+    """A new folder below the shared one, deleted by ``clear_scratch`` or when the driver's program ends."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _LIVE.append((spark, root))
+    return root
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch() -> None:
+    """Delete all tables between steps; results not yet written or collected can't be read after it."""
+    while _LIVE:
+        try:
+            delete(*_LIVE.pop())
+        except Exception:  # the session has ended
+            continue
+
+
+atexit.register(clear_scratch)
 
 
 def settle(df: DataFrame, root: str, name: str) -> DataFrame:
