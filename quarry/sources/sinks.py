@@ -246,19 +246,33 @@ def launch_text(target: dict, persona: str, folder: str) -> str:
     return "\n".join(lines) + "\n"
 
 
-def config_files(targets: DataFrame, folder: str, persona: str) -> DataFrame:
-    """``(path, body)`` of the configuration and the launch text of every target: a catalogue of 19 rows."""
+def _catalogue_files(targets: DataFrame, folder: str, each) -> DataFrame:
+    """``(path, body)`` of a file for each target that ``each`` gives name and body for: a catalogue of 19 rows."""
     rows = []
     for row in targets.collect():
         target = row.asDict(recursive=True)
         home = f"{folder}/{target['key']}"
-        body = config_text(target, persona, home)
+        name, body = each(target, home)
         if body is not None:
-            rows.append((f"{home}/{CONFIG_FILES[target['config_format']]}", body))
-        rows.append((f"{home}/README.txt", launch_text(target, persona, home)))
+            rows.append((f"{home}/{name}", body))
     return targets.sparkSession.createDataFrame(rows, "path string, body string")
 
 
+def config_files(targets: DataFrame, folder: str, persona: str) -> DataFrame:
+    """``(path, body)`` of the configuration of every target that has a file."""
+
+    def each(target: dict, home: str) -> tuple[str | None, str | None]:
+        body = config_text(target, persona, home)
+        return CONFIG_FILES.get(target["config_format"]), body and f'# target = "{target["key"]}", trigger = "{persona}"\n{body}'
+
+    return _catalogue_files(targets, folder, each)
+
+
+def launch_files(targets: DataFrame, folder: str, persona: str) -> DataFrame:
+    """``(path, body)`` of the launch text of every target."""
+    return _catalogue_files(targets, folder, lambda target, home: ("README.txt", launch_text(target, persona, home)))
+
+
 def workflow_documents(suggestions: DataFrame, persona: str, reference: str) -> DataFrame:
     """``(category, document)``: a JSON workflow of reference, prompt and sampler nodes for each suggestion."""
     prompt = F.concat_ws(", ", F.lit(persona), c("fragment"))
