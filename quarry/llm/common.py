@@ -6,16 +6,15 @@ tables below ``spark.checkpoint.dir`` and never in executor-local storage.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.scratch import delete, scratch_root
+
 #: Text bytes that one numpy pass works on.
 CHUNK_BYTES = 6 << 20
 #: The same where words are hashed, which takes some 50 bytes for each.
@@ -24,40 +23,15 @@ HASH_BYTES = 3 << 19
 BATCH_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; in a local session without it, a folder of our own.
-
-    On a cluster the setting must be there, as a folder of one machine would lose what other machines write.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class Scratch:
     """Parquet tables of one operator run, in the shared folder.
 
-    Steps drop what no later step reads. What a result still reads goes with ``clear_scratch``, or when the
-    driver's program ends.
+    Steps drop what no later step reads; the rest goes with ``clear_scratch``, or when the driver's program ends.
     """
 
-    live: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.live.append(self)
+        self.root = scratch_root(spark, name)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage and computes it once."""
@@ -70,20 +44,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
-
-
-def clear_scratch() -> None:
-    """Delete all scratch tables of this program; results not yet written or collected can't be read after it."""
-    while Scratch.live:
-        one = Scratch.live.pop()
-        try:
-            _delete(one.spark, one.root)
-        except Exception:  # the session has ended
-            continue
-
-
-atexit.register(clear_scratch)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

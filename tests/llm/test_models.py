@@ -170,3 +170,38 @@ def test_empty_benchmark(spark):
     (r,) = decontam.judge(decontam.scan_documents(docs, spark.createDataFrame([], "item_id long, text string"))).collect()
     assert (r["_n_words"], r["_n_hit"], list(r["_items"]), r["_contaminated"]) == (2, 0, [], False)
     assert decontam.scan_documents(docs.limit(0), docs.selectExpr("doc_id AS item_id", "text")).count() == 0
+
+
+def test_many_items_in_one_scan(spark):
+    """Items that share passages, repeat, overlap and end short, against all windows one by one."""
+    rnd = random.Random(21)
+    word = lambda: rnd.choice("ab") + rnd.choice("cdefg")
+    base = [[word() for _ in range(40)] for _ in range(5)]
+    items = []
+    for i in range(300):
+        b = rnd.choice(base)
+        a = rnd.randrange(30)
+        items.append((i, " ".join([*(word() for _ in range(rnd.randrange(3))), *b[a : a + rnd.randrange(1, 30)], *(word() for _ in range(rnd.randrange(4)))])))
+    items += [(400, items[3][1]), (None, " ".join(base[0])), (401, None), (402, "--")]
+    machine, single = decontam.Automaton(items), {}
+    for i, t in items:
+        w = decontam.words_of((t or "").encode())
+        for k in range(max(1, len(w) - 12) if w else 0):
+            single.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    for _ in range(300):
+        b = rnd.choice(base)
+        text = [*(word() for _ in range(rnd.randrange(6))), *b[rnd.randrange(20) :][: rnd.randrange(40)], *(word() for _ in range(rnd.randrange(20)))]
+        words = [w.encode() for w in text]
+        hit, who = set(), set()
+        for size in range(1, 14):
+            for k in range(len(words) - size + 1):
+                if found := single.get(tuple(words[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    who |= found - {None}
+        spans, items_found = machine.scan(words)
+        assert {x for a, b in spans for x in range(a, b)} == hit and items_found == who
+    docs = spark.createDataFrame([(1, " ".join(base[1]), "x", 2)], "doc_id long, text string, _spans string, _n_hit int")
+    got = decontam.judge(decontam.scan_documents(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert got.columns[:4] == docs.columns and got.first()["__contaminated"] and got.first()["_spans"] == "x"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
