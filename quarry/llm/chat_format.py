@@ -1,10 +1,13 @@
 """Chat formatting: multi-party perspective rotation, in DataFrame operations only.
 
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant
-and everybody else as a named user. The result has one row per conversation, perspective and turn: the
-rendered piece and the span of it that training may learn from. A dialogue is the concatenation of its
-pieces by ``piece``-independent order (turn, speaker, content); pieces keep any one conversation, however
-long, spread over tasks. ``assemble`` joins pieces to one text where conversations are known to be short.
+and everybody else as a named user, with the spans that training may learn from. ``dialogues`` gives one row
+for each conversation, perspective and part: a part holds the turns of one range of turn numbers, so that a
+conversation of any length is spread over rows; its dialogue is the parts in order, and a conversation of fewer
+turns is one part. ``rotate_perspectives`` gives one row for each turn instead, of which ``assemble`` makes whole
+dialogues where conversations are known to be short.
+
+Marks inside texts and names are broken by a backslash, so that no text ends its turn or begins another's.
 """
 
 from __future__ import annotations
@@ -16,6 +19,72 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 #: What a row without a role is called; it is never a perspective.
 NOBODY = "unknown"
+#: Turn numbers in a part of a dialogue.
+PART_TURNS = 256
+
+
+def safe(content: Column) -> Column:
+    """A text without marks of the template."""
+    return F.replace(content, F.lit("<|"), F.lit("<\\|"))
+
+
+def safe_name(name: Column) -> Column:
+    """A name that stays on its line and inside its mark."""
+    return F.replace(F.replace(safe(name), F.lit("|>"), F.lit("|\\>")), F.lit("\n"), F.lit(" "))
+
+
+def _rows(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """``(conv_id, turn, speaker, named, content)`` of the rows that take part."""
+    return turns.select(
+        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.nullif(F.col(role), F.lit("")), F.lit(NOBODY)).alias("speaker"),
+        (F.coalesce(F.col(role), F.lit("")) != "").alias("named"), safe(F.coalesce(F.col(text), F.lit(""))).alias("content"),
+    ).where(F.col("conv_id").isNotNull())
+
+
+def _people(rows: DataFrame) -> DataFrame:
+    return rows.where("named").select("conv_id", F.col("speaker").alias("perspective")).distinct()
+
+
+def _head(target: Column, speaker: Column) -> Column:
+    return F.when(target, F.lit(f"{OPEN}assistant{CLOSE}\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), safe_name(speaker), F.lit(f"{CLOSE}\n")))
+
+
+def dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
+    """``(conv_id, perspective, part, n_turns, n_target, dialogue, mask_spans)``.
+
+    ``mask_spans`` lists the 0-based character bounds (``start-end``, joined by commas) in ``dialogue`` of what the
+    model is trained to produce: content and end mark of the assistant's turns; empty for none. Turns are in order
+    of turn number, speaker and content; ``part`` is the turn number over ``part_turns``. Rows without conversation
+    id take no part; a null or empty role is a user named ``unknown`` and no perspective, so a conversation of only
+    such rows gives nothing; null text is empty; a null turn number comes first, in part 0; repeated rows stay
+    repeated; further columns are ignored. Empty tables give an empty result.
+
+    Parts are gathered before they meet the participants, so that texts are shuffled as they are and not once for
+    each perspective; the participants' side is pre-aggregated, and AQE splits a hot conversation on the parts' side.
+    Rows that share conversation and turn number are one part, in one task's memory.
+    """
+    rows = _rows(turns, conv, turn, role, text)
+    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long")
+    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content", "named"))).alias("turns"))
+    met = parts.join(_people(rows), "conv_id")
+
+    def rendered(t: Column) -> Column:
+        target = t["named"] & (t["speaker"] == F.col("perspective"))
+        head = _head(target, t["speaker"])
+        return F.struct(head.alias("head"), F.concat(t["content"], F.lit(END)).alias("body"), target.alias("target"))
+
+    def add(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["head"])
+        end = start + F.length(p["body"])
+        span = F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
+        return F.struct(end.alias("at"), F.when(p["target"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    pieces = met.withColumn("pieces", F.transform("turns", rendered))
+    return pieces.select(
+        "conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), F.size(F.filter("pieces", lambda p: p["target"])).cast("long").alias("n_target"),
+        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("dialogue"), F.array_join(F.aggregate("pieces", none, add)["spans"], ",").alias("mask_spans"),
+    )
 
 
 def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -30,17 +99,13 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
     Turns meet the participants of their conversation in an equi-join on the conversation: the
     participants side is pre-aggregated, and AQE splits a hot conversation on the turns' side.
     """
-    rows = turns.select(
-        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.nullif(F.col(role), F.lit("")), F.lit(NOBODY)).alias("speaker"),
-        (F.coalesce(F.col(role), F.lit("")) != "").alias("named"), F.coalesce(F.col(text), F.lit("")).alias("content"),
-    ).where(F.col("conv_id").isNotNull())
-    people = rows.where("named").select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    rows = _rows(turns, conv, turn, role, text)
     target = F.col("named") & (F.col("speaker") == F.col("perspective"))
-    head = F.when(target, F.lit(f"{OPEN}assistant{CLOSE}\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("speaker"), F.lit(f"{CLOSE}\n")))
+    head = _head(target, F.col("speaker"))
     zero = F.lit(0).cast("long")
     long: Column = F.length("rendered").cast("long")
     return (
-        rows.join(people, "conv_id")
+        rows.join(_people(rows), "conv_id")
         .withColumns({"is_target": target, "head": head})
         .withColumns({"rendered": F.concat("head", "content", F.lit(END))})
         .select(
@@ -66,22 +131,25 @@ def assemble(pieces: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return dialogues(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 SQL = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(role, '') <> '' AS named, coalesce(text, '') AS content
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(role, '') <> '' AS named, replace(coalesce(text, ''), '<|', '<\|') AS content,
+    coalesce(CAST(floor(turn / 256.0) AS BIGINT), 0) AS part
   FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE named),
 j AS (
-  SELECT r.conv_id, perspective, turn, speaker, content, named AND speaker = perspective AS is_target,
-    CASE WHEN named AND speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+  SELECT r.conv_id, perspective, part, turn, speaker, content, named, named AND speaker = perspective AS target,
+    CASE WHEN named AND speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(replace(speaker, '<|', '<\|'), '|>', '|\>'), chr(10), ' ') || '|>' END || chr(10) AS head,
+    content || '<|end|>' || chr(10) AS body
   FROM r JOIN p ON r.conv_id = p.conv_id
+), k AS (
+  SELECT *, row_number() OVER w AS n, sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM j
+  WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, content, named)
 )
-SELECT conv_id, perspective, turn, speaker, CASE WHEN is_target THEN 'assistant' ELSE 'user' END AS chat_role,
-  head || content || '<|end|>' || chr(10) AS rendered,
-  CASE WHEN is_target THEN length(head) ELSE 0 END AS mask_start,
-  CASE WHEN is_target THEN length(head || content || '<|end|>' || chr(10)) ELSE 0 END AS mask_end, is_target
-FROM j
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE target) AS n_target, string_agg(head || body, '' ORDER BY n) AS dialogue,
+  coalesce(string_agg(CAST(ends - length(body) AS VARCHAR) || '-' || CAST(ends AS VARCHAR), ',' ORDER BY n) FILTER (WHERE target), '') AS mask_spans
+FROM k GROUP BY conv_id, perspective, part
 """

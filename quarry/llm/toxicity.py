@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import HASH_BYTES, bytes_of, chunks, small_batches, text_array, tidy, word_hashes, word_spans
+from quarry.llm.common import HASH_BYTES, Scratch, bytes_of, chunks, small_batches, text_array, tidy, word_hashes, word_spans
 
 #: Hash buckets of words, words that become features, and the bound on rows the fit takes of each kind.
 BUCKETS, FEATURES, SAMPLE = 1 << 20, 1000, 12_000
@@ -56,22 +56,23 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys % BUCKETS, np.searchsorted(keys, np.arange(len(offs)) * BUCKETS)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 400, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights and the bias of a non-negative PU logistic classifier.
+def choose_features(counts: DataFrame, n_p: int, n_u: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets whose share in positives exceeds that in unlabelled text most clearly, in ascending order.
 
-    Features are the buckets whose share in positives exceeds that in unlabelled text most clearly.
+    ``counts`` is ``(bucket, in_p, in_u)``; no more than ``features`` buckets reach the driver.
     """
+    share, base = F.col("in_p") / F.lit(float(n_p)), F.col("in_u") / F.lit(float(n_u))
+    spread = F.sqrt((base * (1 - base) + F.lit(1.0 / n_u)) / F.lit(float(n_p)))
+    best = counts.where("in_p >= 3").withColumn("clear", (share - base) / spread).where("clear > 4").orderBy(F.col("clear").desc(), "bucket").limit(features)
+    return np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))
+
+
+def fit(chosen: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets, their weights and the bias of a non-negative PU logistic classifier on the ``chosen`` buckets."""
     if not positive or not unlabelled or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p)))
     n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(np.concatenate(positive), minlength=BUCKETS).astype(float)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS).astype(float)
-    share, base = in_p / n_p, in_u / n_u
-    spread = np.sqrt((base * (1 - base) + 1 / n_u) / n_p)
-    clear = np.where(in_p >= 3, (share - base) / spread, 0)
-    chosen = np.argsort(-clear, kind="stable")[:features]
-    chosen = np.sort(chosen[clear[chosen] > 4])
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -108,7 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     The prior is the toxic share of labelled training documents. At most about ``sample`` confirmed and
     ``sample`` unlabelled documents - of least hash of their id - enter the fit; labels that disagree on a
-    document count as toxic; labels without document, or null, count for nothing.
+    document count as toxic; labels without document, or null, count for nothing. The sample's words stay in a
+    table: the driver gets the features, and which of them each row of the sample has. A row that repeats an id
+    counts as often as it stands.
     """
     small_batches(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -126,16 +129,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             flat, bounds = word_buckets(text_array(t["text"]))
             yield pa.RecordBatch.from_arrays([t["kind"].combine_chunks(), t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["kind", "doc_id", "words"])
 
-    rows = toxic.unionByName(plain).mapInArrow(tidy(run), "kind int, doc_id long, words array<int>").toArrow()  # a bounded sample
-    rows = rows.sort_by([("kind", "ascending"), ("doc_id", "ascending")])
-    lists = rows["words"].combine_chunks()
-    kinds, flat, offs = np.asarray(rows["kind"]), np.asarray(lists.values), np.asarray(lists.offsets)
-    each = [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
-    return fit([x for x, kind in zip(each, kinds) if kind], [x for x, kind in zip(each, kinds) if not kind], n_toxic / n if n else 0.0)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.table(toxic.unionByName(plain).mapInArrow(tidy(run), "kind int, doc_id long, words array<int>"), "sample")
+    n_p, n_u = rows.agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 0)).first()
+    prior = n_toxic / n if n else 0.0
+    if not n_p or not n_u:
+        return fit(np.zeros(0, np.int64), [], [], prior)
+    each = rows.select("kind", F.explode("words").alias("bucket")).groupBy("bucket")
+    chosen = choose_features(each.agg(F.count_if(F.col("kind") == 1).alias("in_p"), F.count_if(F.col("kind") == 0).alias("in_u")), n_p, n_u)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat = np.asarray(lists.flatten())
+            kept = np.isin(flat, chosen)
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[kept].astype(np.int32)))], ["kind", "doc_id", "words"])
+
+    found = rows.mapInArrow(tidy(features), "kind int, doc_id long, words array<int>").where(F.size("words") > 0).toArrow()  # rows of the sample, features of a thousand
+    found = found.sort_by([("kind", "ascending"), ("doc_id", "ascending")])
+    lists, kinds = found["words"].combine_chunks(), np.asarray(found["kind"])
+    flat, offs = np.asarray(lists.values), np.asarray(lists.offsets)
+    words = [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
+    of = lambda kind, count: [w for w, k in zip(words, kinds) if k == kind] + [np.zeros(0, np.int32)] * (count - int((kinds == kind).sum()))
+    scratch.drop("sample")
+    return fit(chosen, of(1, n_p), of(0, n_u), prior)
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in one more column. Null and empty texts have the bias's score."""
+    """``docs`` with a score from 0 to 1 in one more column, which replaces one of that name.
+
+    Null and empty texts have the bias's score; rows that repeat stay, with equal scores for equal texts.
+    """
+    docs = docs.drop(score)
     chosen, weights, bias = model
     table = np.zeros(BUCKETS, np.float32)
     table[chosen] = weights
