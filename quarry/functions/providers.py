@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,13 @@ class Provider:
 
 def features(rows: DataFrame, provider: Provider) -> DataFrame:
     """``rows`` with the provider's columns."""
-    names = [part.strip().split()[0] for part in provider.schema.split(",")]
     added = rows.sparkSession.createDataFrame([], provider.schema).schema
+    names = added.names
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     schema = StructType([*rows.schema.fields, *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -40,7 +43,7 @@ def features(rows: DataFrame, provider: Provider) -> DataFrame:
             model = None
         for b in batches:
             got = model(b) if model else {n: [None] * b.num_rows for n in names}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[n]) if model else pa.nulls(b.num_rows) for n in names)], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[n], kind) for n, kind in zip(names, kinds))], [*b.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -56,6 +59,43 @@ def _unit_norm():
     return run
 
 
+def _library(module: str, function: str) -> Callable[[], Callable[[pa.RecordBatch], dict]]:
+    """Loads ``function`` of a module that the user's cluster has: a function from a record batch to a dict of columns."""
+
+    def load() -> Callable[[pa.RecordBatch], dict]:
+        from importlib import import_module
+
+        return getattr(import_module(module), function)
+
+    return load
+
+
+#: What each kind of model gives. The modules are the user's: without them the columns are null.
+_BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
+BOUNDARIES = {
+    "faces": f"faces array<struct<box:{_BOX},pose:double,nose_x:double,left_eye_x:double,right_eye_x:double>>, face_embedding array<float>",
+    "image_encoder": "image_embedding array<float>",
+    "tagger": "scored_tags array<struct<tag:string,category:int,p:double>>",
+    "ai_classifier": "predictions array<struct<label:string,score:double>>",
+    "captioner": "caption string",
+    "mask": "height int, width int, mask array<float>",
+    "sound": "wave array<double>, sample_rate int",
+}
+
+
+def boundary(kind: str, module: str = "quarry_models", required: bool = False) -> Provider:
+    """The provider of a kind of model: the function of that name in the user's ``module``."""
+    return Provider(kind, BOUNDARIES[kind], _library(module, kind), required)
+
+
+def two_phase(rows: DataFrame, pending: Column, provider: Provider) -> DataFrame:
+    """``rows`` with the provider's columns, which only ``pending`` rows cost; the others have nulls."""
+    due = F.coalesce(pending, F.lit(False))
+    done = features(rows.where(due), provider)
+    rest = rows.where(~due).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema.fields[len(rows.columns) :]))
+    return done.unionByName(rest)
+
+
 REGISTRY = {"unit_norm": Provider("unit_norm", "length double", _unit_norm)}
 
 

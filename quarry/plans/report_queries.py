@@ -265,3 +265,37 @@ def upscale_moves(spark, sf):
 def reference_names(spark, sf):
     ref = table(spark, sf, "embeddings").where("label IN (0, 1, 2)").select(F.concat(F.lit("ref_"), c("vec_id")).alias("name"), F.when(c("vec_id") % 9 != 0, c("embedding")).alias("embedding"))
     return aggregates.reference_use(ref).select("used", "failed", F.array_join("failed_first", ",").alias("failed_first"))
+
+
+@query("q100_two_phase", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, CASE WHEN label < 5 THEN {r_sql('sqrt(list_dot_product(e, e))', 3)} END AS length FROM v")
+def two_phase(spark, sf):
+    from quarry.functions.providers import REGISTRY
+    from quarry.functions.providers import two_phase as phases
+
+    return phases(vectors(spark, sf).select("vec_id", "embedding", "label"), c("label") < 5, REGISTRY["unit_norm"]).select("vec_id", "length")
+
+
+@query("q101_absent_models", "SELECT doc_id, CAST(NULL AS VARCHAR) AS caption, true AS no_tags FROM documents")
+def absent_models(spark, sf):
+    from quarry.functions.providers import boundary, features
+
+    rows = features(features(table(spark, sf, "documents").select("doc_id"), boundary("captioner", "no_such_models")), boundary("tagger", "no_such_models"))
+    return rows.select("doc_id", "caption", c("scored_tags").isNull().alias("no_tags"))
+
+
+@query("q102_event_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%d/%m') AS day FROM events")
+def event_times(spark, sf):
+    ts = F.col("ts").cast("timestamp_ntz")
+    return table(spark, sf, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd HH:mm").alias("minute"), F.date_format(ts, "dd/MM").alias("day"))
+
+
+_TAGGED = """WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')[1:12]) AS tags FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(list_sort(tags)) AS tag, unnest(range(1, len(tags) + 1)) AS pos FROM t),
+k AS (SELECT doc_id, tag, pos, CASE WHEN pos % 5 = 0 THEN 4 ELSE 0 END AS category, ((length(tag) * 17 + pos * 7) % 100) / 100::DOUBLE AS p FROM u)
+SELECT doc_id, coalesce(string_agg(replace(replace(tag, '(', '\\('), ')', '\\)'), ', ' ORDER BY p DESC, pos) FILTER (WHERE (category = 0 AND p > 0.35::DOUBLE OR category = 4 AND p > 0.85::DOUBLE) AND tag NOT IN ('1girl', '1boy', 'solo')), '') AS tags FROM k GROUP BY doc_id"""
+
+
+@query("q103_tag_selection", _TAGGED)
+def tag_selection(spark, sf):
+    tags = F.array_sort(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 12)))
+    scored = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.when((i + 1) % 5 == 0, 4).otherwise(0).alias("category"), (((F.length(t) * 17 + (i + 1) * 7) % 100) / F.lit(100.0)).alias("p")))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", classify.select_tags(scored).alias("tags"))

@@ -36,6 +36,17 @@ def image_files(spark: SparkSession, folder: str, content: bool = False) -> Data
     return ranked(media_files(spark, folder, IMAGES, content=content), "path", "image_id")
 
 
+def mask_inputs(spark: SparkSession, folder: str, names: DataFrame | None = None, content: bool = False) -> DataFrame:
+    """The images of a folder to make masks of: all, or those whose name is in ``names`` (name)."""
+    found = image_files(spark, folder, content)
+    return found if names is None else found.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def reference_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """The reference: one file, or the images of a folder."""
+    return ranked(media_files(spark, path, IMAGES, content=content), "path", "image_id")
+
+
 def evaluation_files(spark: SparkSession, generated: str, references: str, training: str | None = None) -> DataFrame:
     """The files of all roles; raises without generated files or with fewer than three references."""
     roles = [("gen", generated), ("ref", references), *([("train", training)] if training else [])]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from quarry.functions.numeric import half_up
 from quarry.sources.scratch import scratch_root
@@ -46,6 +47,24 @@ def latest_events(events: DataFrame, run: str, ts: str, columns: list[str]) -> D
     return events.groupBy(run).agg(last).select(run, *(c(f"e.{n}") for n in (*columns, ts)))
 
 
+class Progress(StreamingQueryListener):
+    """Calls ``callback(done, total, name)`` after each micro-batch of a named stream with the rows read so far."""
+
+    def __init__(self, callback, total: int, name: str | None = None):
+        self.callback, self.total, self.name, self.done = callback, total, name, 0
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        if self.name in (None, event.progress.name):
+            self.done += event.progress.numInputRows
+            self.callback(min(self.done, self.total), self.total, event.progress.name)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
 def available_now(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Counts by ``key`` from a file stream run to the end of what is there; state and output are in shared tables."""
     root = scratch_root(spark)
