@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.sources.scratch import delete, scratch_root
 
@@ -66,6 +67,19 @@ def release() -> None:
         pass
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` whose column ``n`` tells how many of the ``total`` rows each of its entries meets.
+
+    Entries that meet more than a thousandth of the rows would fill single tasks. There are less than a thousand of
+    them, so these go to the rows instead of the rows to them; all others meet in a shuffle.
+    """
+    limit = max(1000, total // 1000)
+    hot, cold = table.where(F.col("n") > limit).drop("n"), table.where(F.col("n") <= limit).drop("n")
+    near = rows.join(F.broadcast(hot), on, how)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return near.unionByName(rest.join(cold, on, how))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

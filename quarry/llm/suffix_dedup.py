@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, bytes_of, chunks, eights, mix, partitions, release, small_batches, text_array, tidy, unused, word_spans
+from quarry.llm.common import Scratch, bytes_of, chunks, eights, mix, partitions, release, small_batches, spread_join, text_array, tidy, unused, word_spans
 
 LENGTH, GRAM = 400, 16
 #: Different regions in a shard; with at most 1.5 windows each, places stay below ``PLACES`` at the standard length.
@@ -321,10 +321,10 @@ def search_groups(rows: DataFrame, length: int, fit: int, scratch: Scratch) -> t
         own = F.struct("k1", "k2", "place")
         hulls = halves.groupBy("group", "hull").agg(F.count("*").alias("n"), F.min(own).alias("own"), F.bool_or("single").alias("single"))
         hulls = scratch.table(hulls, f"hulls{step}")
-        repeated = hulls.where("n > 1").select("group", "hull")
+        repeated = hulls.where("n > 1").select("group", "hull", "n")
         lo = F.col("place") - F.col("e1")
         ends = [lo.alias("lo"), (F.col("place") - F.col("e0")).alias("hi")]
-        found.append(scratch.table(halves.where("single").join(repeated, ["group", "hull"], "left_semi").select("k1", "k2", *ends), f"found{step}"))
+        found.append(scratch.table(spread_join(halves.where("single"), repeated, ["group", "hull"], halves.count(), "left_semi").select("k1", "k2", *ends), f"found{step}"))
         # windows are in question where a single hull that is none's copy meets others around its core
         alone = (F.col("n") == 1) & F.col("single")
         groups = hulls.groupBy("group").agg(F.count("*").alias("m"), F.count_if(alone).alias("open")).where("m > 1 AND open > 0").select("group", "m")
@@ -347,14 +347,14 @@ def repeated_ranges(docs: DataFrame, length: int, scratch: Scratch, shard_region
     ends = [_lo().alias("lo"), (_lo() + _span()).alias("hi")]
     marks = scratch.table(anchors(docs, length), "marks")
     same = (F.min("r1") == F.max("r1")) & (F.min("r2") == F.max("r2"))
-    prints = marks.groupBy("print").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1").select("print", "same")
-    met = scratch.table(marks.join(prints, "print"), "met")
-    scratch.drop("marks")
+    prints = scratch.table(marks.groupBy("print").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1"), "prints")
+    met = scratch.table(spread_join(marks, prints, ["print"], marks.count()), "met")
+    scratch.drop("marks", "prints")
     ranges = [met.where("same").select("k1", "k2", *ends)]
     mixed = met.where("NOT same").drop("same")
     # one copy of each region: all its columns come from one row
     distinct = scratch.table(mixed.groupBy(*region).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at"))), "regions")
-    ranges.append(mixed.join(distinct.where("n > 1").select(*region), region, "left_semi").select("k1", "k2", *ends))
+    ranges.append(spread_join(mixed, distinct.where("n > 1").select(*region, "n"), region, met.count(), "left_semi").select("k1", "k2", *ends))
     several = distinct.groupBy("print").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").select("print", "m")
     open_ = distinct.join(several, "print").select("print", "k1", "k2", "at", (F.col("n") == 1).alias("single"), "m")
     full = scratch.table(region_bytes(open_, docs, length), "bytes")
@@ -400,8 +400,8 @@ def word_ranges(rows: DataFrame, words: int, length: int, scratch: Scratch) -> D
             yield pa.RecordBatch.from_arrays(cols, ["run", "k1", "k2", "lo", "hi"])
 
     marks = scratch.table(rows.mapInArrow(tidy(run), "run binary, k1 long, k2 long, lo long, hi long"), "words")
-    repeated = marks.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    return marks.join(repeated, "run", "left_semi").select("k1", "k2", "lo", "hi")
+    repeated = scratch.table(marks.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "runs")
+    return spread_join(marks, repeated, ["run"], marks.count(), "left_semi").select("k1", "k2", "lo", "hi")
 
 
 def cover(ranges: list[dict], length: int) -> list[tuple[int, int]]:

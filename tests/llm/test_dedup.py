@@ -210,3 +210,13 @@ def test_estimates_miss_no_similar_pair():
 
         lists = lambda x: pa.array(np.sort(x, 1)[:, : minhash.K].astype(np.int64).tolist(), pa.list_(pa.int64()))
         assert minhash._estimates(lists(a), lists(b), minhash.K).min() >= minhash.LEAST
+
+
+def test_a_passage_in_most_texts(spark):
+    """One passage in 1,500 texts with different neighbours, and 1,200 copies of one text: more than single entries take."""
+    rnd = random.Random(17)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    own = lambda: "".join(rnd.choice("uvwxyz") for _ in range(rnd.randrange(12)))
+    rows = [(i, own() + passage + own()) for i in range(1500)] + [(2000 + i, "copied " * 9) for i in range(1200)]
+    got = suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string"), 40, 100).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == repeats_brute(rows, 40)
