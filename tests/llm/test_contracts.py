@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
-    rows = [(i, text(rnd.randrange(0, 90))) for i in range(60)]
+    rows = [(i, text(60 if i in (3, 5) else rnd.randrange(0, 90))) for i in range(60)]
     passage = text(120)
     rows += [(100, f"{text(20)} {passage}"), (101, f"{passage}\n{text(30)}"), (102, rows[3][1]), (103, rows[3][1] + " more"), (104, None), (105, ""), (106, " \t"), (107, "Ünï " * 40 + "日本語" * 30)]
     rows += [(200 + i, text(12) + " idiot " + text(4)) for i in range(30)]
