@@ -31,7 +31,9 @@ from quarry.llm.common import bytes_of, chunks, small_batches, text_array, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pre-tokens that one recursive query takes, and words a worker remembers before it starts anew.
-QUERY_BYTES, MEMO_WORDS = 1 << 18, 400_000
+QUERY_BYTES, MEMO_WORDS = 1 << 18, 300_000
+#: Text bytes that are encoded at once.
+BLOCK_BYTES = 2 << 20
 #: Bytes of a word that one row state holds; longer words go in pieces of this size.
 PIECE = 64
 #: Tokens on each side of a border that its seam takes at first.
@@ -236,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str
     """``(doc_id, ids array<int>)``, one row per input row. Null text has no ids, as the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", BLOCK_BYTES):
             flat, bounds = codec(path).encode(text_array(t["text"]))
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
@@ -272,7 +274,7 @@ def roundtrip_digests(docs: DataFrame, path: str, doc: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i).encode() for i in range(len(codec(path).tokens))]
-        for t in chunks(batches, "text"):
+        for t in chunks(batches, "text", BLOCK_BYTES):
             flat, bounds = codec(path).encode(text_array(t["text"]))
             data, ends = codec(path).decode(flat, bounds)
             words = [names[i] for i in flat.tolist()]
