@@ -193,13 +193,13 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, lower-cased in A-Z: eight bytes a round, mixed in turn; long words by xxh3."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, lower-cased in A-Z if ``fold``: eight bytes a round, mixed in turn; long words by xxh3."""
     import xxhash
 
     if not len(starts):
         return np.zeros(0, np.uint64)
-    low = _LOWER[data]
+    low = _LOWER[data] if fold else np.ascontiguousarray(data)
     eight = eights(low)
     left = ends - starts
     out = mix(left.astype(np.uint64) + _ODD)

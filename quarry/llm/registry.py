@@ -16,6 +16,8 @@ MODULES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op3_lm_scoring": "katz",
     "op5_perspective_rotation": "chat_format",
+    "op11_quality_rules": "quality_rules",
+    "op12_vector_codes": "vector_codes",
 }
 
 
