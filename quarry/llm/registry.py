@@ -18,6 +18,7 @@ MODULES = {
     "op5_perspective_rotation": "chat_format",
     "op11_quality_rules": "quality_rules",
     "op12_vector_codes": "vector_codes",
+    "op13_feature_history": "feature_history",
 }
 
 
