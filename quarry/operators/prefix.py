@@ -49,10 +49,11 @@ def ranges(rows: DataFrame, order: list[str | Column], parts: int | None = None)
     return settle(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), scratch_root(spark, "ranges"), "rows")
 
 
-def running_count(rows: DataFrame, key: str, order: list[str], name: str = "done", total: str | None = None, parts: int | None = None) -> DataFrame:
+def running_count(rows: DataFrame, key: str, order: list[str | Column], name: str = "done", total: str | None = None, ties: list[str | Column] = [], parts: int | None = None) -> DataFrame:
     """``rows`` with the number of rows up to each in its key by ``order``, and with ``total`` the key's rows.
 
-    Equal rows count one after the other. A null key is a key.
+    Rows equal in ``order`` stay in one range, there in the order of ``ties``, and else one after the other.
+    A null key is a key. Nulls come first.
     """
     dealt = ranges(rows, [key, *order], parts)
     sums = dealt.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_part")).agg(F.count("*").alias("_n"))
@@ -60,6 +61,6 @@ def running_count(rows: DataFrame, key: str, order: list[str], name: str = "done
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select("_key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))  # a row for each range of a key
     both = dealt.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_part")))
-    local = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
+    local = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order, *ties))
     extra = {total: F.col("_total")} if total else {}
     return both.withColumns({name: F.col("_before") + local, **extra}).drop("_key", "_part", "_range", "_before", "_total")
