@@ -2,9 +2,8 @@
 
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant
 and everybody else as a named user, with the spans that training may learn from. ``dialogues`` gives one row
-for each conversation, perspective and part: a part holds the turns of one range of turn numbers, so that a
-conversation of any length is spread over rows; its dialogue is the parts in order, and a conversation of fewer
-turns is one part. ``rotate_perspectives`` gives one row for each turn instead, of which ``assemble`` makes whole
+for each conversation and perspective; a conversation of more turns than a row should hold goes on in further
+parts, by the count of its turns, whatever their numbers. ``rotate_perspectives`` gives one row for each turn instead, of which ``assemble`` makes whole
 dialogues where conversations are known to be short.
 
 Marks inside texts and names are broken by a backslash, so that no text ends its turn or begins another's.
@@ -15,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import prefix
+
 #: Template of a piece: <|role|>[ name=NAME] newline content <|end|> newline.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 #: What a row without a role is called; it is never a perspective.
 NOBODY = "unknown"
-#: Turn numbers in a part of a dialogue.
+#: Turns in a part of a dialogue.
 PART_TURNS = 256
 
 
@@ -54,17 +55,17 @@ def dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     ``mask_spans`` lists the 0-based character bounds (``start-end``, joined by commas) in ``dialogue`` of what the
     model is trained to produce: content and end mark of the assistant's turns; empty for none. Turns are in order
-    of turn number, speaker and content; ``part`` is the turn number over ``part_turns``. Rows without conversation
-    id take no part; a null or empty role is a user named ``unknown`` and no perspective, so a conversation of only
-    such rows gives nothing; null text is empty; a null turn number comes first, in part 0; repeated rows stay
-    repeated; further columns are ignored. Empty tables give an empty result.
-
-    Parts are gathered before they meet the participants, so that texts are shuffled as they are and not once for
-    each perspective; the participants' side is pre-aggregated, and AQE splits a hot conversation on the parts' side.
-    Rows that share conversation and turn number are one part, in one task's memory.
+    of turn number, speaker and content, and ``part`` counts ``part_turns`` of them, from 0. Rows without
+    conversation id take no part; a null or empty role is a user named ``unknown`` and no perspective, so a
+    conversation of only such rows gives nothing; null text is empty; a null turn number comes first; repeated rows
+    stay repeated; further columns are ignored. Empty tables give an empty result.
+
+    Turns are numbered by ranges and sums over ranges, so that no conversation fills a task. Parts are gathered before
+    they meet the participants, so that texts are shuffled as they are and not once for each perspective; the
+    participants' side is pre-aggregated, and AQE splits a hot conversation on the parts' side.
     """
-    rows = _rows(turns, conv, turn, role, text)
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long")
+    rows = prefix.running_count(_rows(turns, conv, turn, role, text), "conv_id", ["turn", "speaker"], "place", ties=["content", "named"])
+    part = F.floor((F.col("place") - 1) / part_turns).cast("long")
     parts = rows.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content", "named"))).alias("turns"))
     met = parts.join(_people(rows), "conv_id")
 
@@ -136,15 +137,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(role, '') <> '' AS named, replace(coalesce(text, ''), '<|', '<\|') AS content,
-    coalesce(CAST(floor(turn / 256.0) AS BIGINT), 0) AS part
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(role, '') <> '' AS named, replace(coalesce(text, ''), '<|', '<\|') AS content
   FROM conversations WHERE conv_id IS NOT NULL
-), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE named),
+), o AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, content, named) - 1) // 256 AS part FROM r), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE named),
 j AS (
   SELECT r.conv_id, perspective, part, turn, speaker, content, named, named AND speaker = perspective AS target,
     CASE WHEN named AND speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(replace(speaker, '<|', '<\|'), '|>', '|\>'), chr(10), ' ') || '|>' END || chr(10) AS head,
     content || '<|end|>' || chr(10) AS body
-  FROM r JOIN p ON r.conv_id = p.conv_id
+  FROM o AS r JOIN p ON r.conv_id = p.conv_id
 ), k AS (
   SELECT *, row_number() OVER w AS n, sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM j
   WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, content, named)

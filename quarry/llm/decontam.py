@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quarry.llm.common import small_batches, text_array, tidy, unused
 
@@ -144,6 +145,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterato
 
 
 _ADDED = {"n_words": "long", "spans": "array<struct<a:int,b:int>>", "items": "array<bigint>"}
+_RANGES = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 _PAIRS = lambda x, y: pa.list_(pa.struct([(x, pa.int32()), (y, pa.int32())]))
 
 
@@ -204,7 +206,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                     cols, names = [*cols, pa.array(places, _PAIRS("start", "end"))], [*names, f"{lead}bytes"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-        schema = out.schema.add(f"{lead}bytes", "array<struct<start:int,end:int>>") if with_bytes else out.schema
+        schema = StructType([*out.schema.fields, StructField(f"{lead}bytes", _RANGES)]) if with_bytes else out.schema
         out = out.mapInArrow(tidy(run), schema)
         if following is None:
             return out

@@ -84,16 +84,17 @@ def digest_of(s: np.ndarray) -> bytes | None:
 
 
 def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``(id, full)``: the full set of each class of ``wanted`` (id), from a text of its least document id that has it."""
+    """``(id, full)``: the full set of each class of ``wanted`` (id), from its representative text.
+
+    ``docs`` is ``(doc_id, k1, k2, text)``: id and text's keys name one text, however often either repeats.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", HASH_BYTES):
-            sets = shingle_sets(text_array(t["text"]), words)
-            own = [i for i, (s, d) in enumerate(zip(sets, t["digest"].to_pylist())) if digest_of(s) == d]  # the id may have other texts
-            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks().take(pa.array(own, pa.int64())), _signed([sets[i] for i in own])], ["id", "full"])
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), _signed(shingle_sets(text_array(t["text"]), words))], ["id", "full"])
 
-    named = wanted.join(classes.select("id", "digest", F.col("least").alias("doc_id")), "id")
-    return docs.select("doc_id", "text").join(named, "doc_id").select("id", "digest", "text").mapInArrow(tidy(run), "id long, full binary").dropDuplicates(["id"])
+    named = wanted.join(classes.select("id", "rep.*"), "id")
+    return docs.join(named, ["doc_id", "k1", "k2"]).select("id", "text").mapInArrow(tidy(run), "id long, full binary").dropDuplicates(["id"])
 
 
 def union_overlap(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -281,11 +282,11 @@ def near_groups(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id"
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     every = scratch.table(sketches(rows.select("*", *text_keys("text")), words, k), "sketches")
     known = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    best = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    best = known.groupBy("digest").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.table(best.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
     every = scratch.table(every.select("doc_id", "k1", "k2", "n", "digest"), "members")
     scratch.drop("sketches")
-    texts = rows.where("doc_id IS NOT NULL")
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", *text_keys("text"), "text")
 
     values = classes.select("id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -312,7 +313,7 @@ def near_groups(docs: DataFrame, words: int = 5, k: int = K, doc: str = "doc_id"
     links2 = block_links(tied, classes, comp1, texts, words, scratch)
     final = components(links1.unionByName(links2), scratch, "stars2")
 
-    named = scratch.table(classes.select("id", "digest", "least").join(final, "id", "left").select("digest", "least", F.coalesce("component", "id").alias("group")), "named")
+    named = scratch.table(classes.select("id", "digest", F.col("rep.doc_id").alias("least")).join(final, "id", "left").select("digest", "least", F.coalesce("component", "id").alias("group")), "named")
     smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
     names = named.join(smallest, "group").select("digest", "group", "component_id")
     linked = F.col("doc_id").isNotNull()

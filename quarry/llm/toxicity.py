@@ -110,8 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     The prior is the toxic share of labelled training documents. At most about ``sample`` confirmed and
     ``sample`` unlabelled documents - of least hash of their id - enter the fit; labels that disagree on a
     document count as toxic; labels without document, or null, count for nothing. The sample's words stay in a
-    table: the driver gets the features, and which of them each row of the sample has. A row that repeats an id
-    counts as often as it stands.
+    table: the driver gets the features, and which of them each row of the sample has. Rows that repeat an id with one
+    text count once; where an id has so many texts that the sample is passed, hashes of id and text thin them out.
     """
     small_batches(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -127,11 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", HASH_BYTES):
             flat, bounds = word_buckets(text_array(t["text"]))
-            yield pa.RecordBatch.from_arrays([t["kind"].combine_chunks(), t["doc_id"].combine_chunks(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["kind", "doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([*(t[n].combine_chunks() for n in ("kind", "doc_id", "key")), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["kind", "doc_id", "key", "words"])
 
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.table(toxic.unionByName(plain).mapInArrow(tidy(run), "kind int, doc_id long, words array<int>"), "sample")
-    n_p, n_u = rows.agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 0)).first()
+    taken = toxic.unionByName(plain).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = scratch.table(taken.mapInArrow(tidy(run), "kind int, doc_id long, key long, words array<int>").dropDuplicates(["kind", "doc_id", "key"]), "sample")
+    count = lambda: rows.agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 0)).first()
+    n_p, n_u = count()
+    if max(n_p, n_u) > 1.5 * sample:  # ids with many texts
+        even = (F.xxhash64(F.lit(1), "key") / float(2**63) + 1) / 2
+        rows = rows.where(even < F.when(F.col("kind") == 1, share(n_p)).otherwise(share(n_u)))
+        n_p, n_u = count()
     prior = n_toxic / n if n else 0.0
     if not n_p or not n_u:
         return fit(np.zeros(0, np.int64), [], [], prior)
