@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import prefix
 from quarry.sources.scratch import scratch_root, settle
 
 
@@ -32,13 +33,15 @@ def numbered(rows: DataFrame, order: str, persona: str) -> DataFrame:
 
 
 def move_plan(rows: DataFrame, order: str, file: str) -> DataFrame:
-    """Adds ``target``: the file name, with ``_<moved so far>`` before its ending where the name is taken."""
-    from pyspark.sql import Window
+    """Adds ``target``: the file name, with ``_<moved so far>`` before its ending where the name is taken.
 
-    n = F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1
+    A name that any share of the rows has is counted by ranges and sums over ranges.
+    """
+    counted = prefix.running_count(rows, file, [order], "_n")
+    n = F.col("_n") - 1
     clash = F.regexp_replace(F.col(file), r"\.([^.]*)$", "")
     ending = F.regexp_extract(F.col(file), r"(\.[^.]*)$", 1)
-    return rows.withColumn("_n", n).withColumn("target", F.when(F.col("_n") == 0, F.col(file)).otherwise(F.concat(clash, F.lit("_"), F.col("_n").cast("string"), ending))).drop("_n")
+    return counted.withColumn("target", F.when(n == 0, F.col(file)).otherwise(F.concat(clash, F.lit("_"), n.cast("string"), ending))).drop("_n")
 
 
 def caption_pending(judged: DataFrame, joy_active: bool, florence_active: bool) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import event_queries, image_queries, report_queries, similarity_queries, text_queries  # noqa: F401 - they register
+from quarry.plans import event_queries, image_queries, report_queries, similarity_queries, stream_queries, text_queries  # noqa: F401 - they register
 from quarry.plans.registry import ORACLES, QUERIES
 
 

@@ -154,8 +154,9 @@ def catalogue(spark, sf):
 
 @query("q57_caption_priority", "SELECT conv_id, coalesce(arg_min(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' AND text <> '' THEN turn END), arg_min(text, CASE WHEN text <> '' THEN turn END), '') AS caption FROM conversations GROUP BY conv_id")
 def caption_priority(spark, sf):
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("text <> ''")
-    first = lambda cond: F.min_by(F.when(cond, c("text")), F.when(cond, c("turn")))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    said = c("text") != ""  # a conversation without any has the empty caption
+    first = lambda cond: F.min_by(F.when(cond & said, c("text")), F.when(cond & said, c("turn")))
     return rows.groupBy("conv_id").agg(F.coalesce(first(c("role") == "assistant"), first(F.lit(True)), F.lit("")).alias("caption"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from quarry.functions.numeric import half_up
+from quarry.operators import prefix
 from quarry.sources.scratch import scratch_root
 
 c = F.col
@@ -24,15 +24,22 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.withColumns({"kind": kind, "done": number(1), "total": F.coalesce(number(2), number(3)), "detail": detail}).where("kind <> ''")
 
 
-def progress_eta(events: DataFrame, run: str, ts: str, order: str) -> DataFrame:
-    """``(event, done, percent, eta_s)`` of each event of a run by its pace so far; whole seconds."""
-    w = Window.partitionBy(run).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(run)
-    elapsed = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.min(F.unix_micros(F.col(ts).cast("timestamp"))).over(whole)) / 1_000_000)
-    r = events.select(order, F.count("*").over(w).alias("done"), F.count("*").over(whole).alias("total"), elapsed.alias("elapsed"))
+def _pace(rows: DataFrame, order: str) -> DataFrame:
+    """``(order, done, percent, eta_s)`` from ``done``, ``total`` and whole seconds ``elapsed``."""
     pace = c("done") / c("elapsed").cast("double")
     eta = F.when(c("elapsed") > 0, F.floor((c("total") - c("done")) / pace + F.lit(0.5)).cast("long"))
-    return r.select(order, "done", (F.floor(c("done") * 1000 / c("total") + F.lit(0.5)) / F.lit(10.0)).alias("percent"), eta.alias("eta_s"))
+    return rows.select(order, "done", (F.floor(c("done") * 1000 / c("total") + F.lit(0.5)) / F.lit(10.0)).alias("percent"), eta.alias("eta_s"))
+
+
+def progress_eta(events: DataFrame, run: str, ts: str, order: str) -> DataFrame:
+    """``(event, done, percent, eta_s)`` of each event of a run by its pace so far; whole seconds.
+
+    Events are counted by ranges and sums over ranges, so that a run of any length is spread over tasks.
+    """
+    counted = prefix.running_count(events.select(run, ts, order), run, [ts, order], "done", total="total")
+    first = events.groupBy(c(run).alias("_run")).agg(F.min(F.unix_micros(c(ts).cast("timestamp"))).alias("_first"))
+    elapsed = F.floor((F.unix_micros(c(ts).cast("timestamp")) - c("_first")) / 1_000_000)
+    return _pace(counted.join(first, c(run).eqNullSafe(c("_run"))).withColumn("elapsed", elapsed), order)
 
 
 def inactivity_sessions(events: DataFrame, run: str, ts: str, gap: str = SILENCE) -> DataFrame:
