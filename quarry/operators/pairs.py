@@ -6,23 +6,28 @@ partners need no pairs: they follow from the sum of the vectors.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import bands, dot, hamming
+from quarry.functions.vectors import dot, hamming
+from quarry.sources.scratch import scratch_root, settle
 
-#: Vectors in a block.
-BLOCK = 2048
+#: Vectors in a block, pivots that neighbours are dealt by, and bytes of block centres that the driver holds at most.
+BLOCK, PIVOTS, SUMMARY_BYTES = 2048, 256, 64 << 20
+#: Hash classes with one band's value from which their further bits are cut into bands.
+CROWD = 2000
 
 
 def _blocks(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
 
-def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
-    a = lists.combine_chunks()
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    a = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     offs = np.asarray(a.offsets)
     return np.asarray(a.values)[offs[0] : offs[-1]].astype(np.float64).reshape(len(a), -1)
 
@@ -62,8 +67,119 @@ def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(x, y), np.maximum(x, y)
 
 
+@dataclass
+class Blocks:
+    """Vectors in blocks of neighbours: ``rows`` ``(id, v, block)``, and each block's centre, radius and greatest length."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    radii: np.ndarray
+    lengths: np.ndarray
+
+    def bounds(self, which: np.ndarray, other: Blocks) -> np.ndarray:
+        """At least the dot product of any vector in the blocks ``which`` and any in each block of ``other``."""
+        c, d = self.centres[which], other.centres
+        r, s = self.radii[which][:, None], other.radii[None, :]
+        inner = c @ d.T
+        near = inner + np.linalg.norm(c, axis=1)[:, None] * s + np.linalg.norm(d, axis=1)[None, :] * r + r * s
+        apart = np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2 * inner))
+        longest = (self.lengths[which][:, None] ** 2 + other.lengths[None, :] ** 2) / 2
+        far = longest - np.maximum(0, apart - r - s) ** 2 / 2
+        return np.minimum(near, far) + 1e-9 * (1 + longest)
+
+
+def neighbourhoods(rows: DataFrame, each: int = BLOCK // 4, pivots: int = PIVOTS) -> Blocks | None:
+    """``rows`` ``(id, v)`` by their nearest pivot, in blocks of about ``each``; None where too few rows or too many blocks.
+
+    Pivots are taken from a bounded sample of least hash of their id, each the farthest from those before it, so that
+    clusters get one before any gets a second. A pivot with many vectors has several blocks. The driver holds a centre
+    for each block, up to ``SUMMARY_BYTES``.
+    """
+    n = rows.count()
+    if n <= 4 * BLOCK:
+        return None
+    sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).toArrow()["v"])
+    chosen, gap = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < min(pivots, -(-2 * n // each)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    centres = sample[chosen]
+    if -(-n // each) * centres.shape[1] * 8 > SUMMARY_BYTES:
+        return None
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(centres)  # a bounded number
+
+    def assign(batches):
+        for b in batches:
+            v, p = _matrix(b.column(1)), shared.value
+            best = ((p * p).sum(1)[None, :] - 2 * v @ p.T).argmin(1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int32())], ["id", "v", "pivot"])
+
+    root = scratch_root(spark, "pairs")
+    kind = rows.schema["v"].dataType.simpleString()
+    near = settle(rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(assign, f"id long, v {kind}, pivot int"), root, "near")
+    counts = {r["pivot"]: r["count"] for r in near.groupBy("pivot").count().collect()}
+    many = np.array([-(-counts.get(p, 0) // each) for p in range(len(centres))])
+    first = np.cumsum(many) - many
+    at = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("pivot") + 1)
+    block = at(first) + F.pmod(F.xxhash64("id"), at(np.maximum(1, many))).cast("int")
+    dealt = settle(near.select("id", "v", block.alias("block")), root, "blocks")
+
+    def centre(key, t):
+        v = _matrix(t["v"])
+        mean = v.mean(0)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "centre": pa.array([mean.tolist()]), "radius": [float(np.linalg.norm(v - mean, axis=1).max())], "length": [float(np.linalg.norm(v, axis=1).max())]})
+
+    summary = dealt.groupBy("block").applyInArrow(centre, "block int, centre array<double>, radius double, length double").toArrow().sort_by("block")
+    full = np.zeros((int(many.sum()), centres.shape[1])), np.full(int(many.sum()), -np.inf), np.zeros(int(many.sum()))
+    index = np.asarray(summary["block"])
+    full[0][index], full[1][index], full[2][index] = _matrix(summary["centre"]), np.asarray(summary["radius"]), np.asarray(summary["length"])
+    return Blocks(dealt, *full)
+
+
+def _kept(left: Blocks, right: Blocks, least, same: bool = False) -> DataFrame:
+    """``(bi, bj)``: the pairs of blocks whose bound reaches ``least`` (a number, or one for each left block)."""
+    spark = left.rows.sparkSession
+    shared = spark.sparkContext.broadcast((Blocks(None, left.centres, left.radii, left.lengths), Blocks(None, right.centres, right.radii, right.lengths), np.broadcast_to(least, len(left.radii))))
+
+    def run(batches):
+        one, two, least = shared.value
+        for b in batches:
+            which = np.asarray(b.column(0))
+            bound = np.where((one.radii[which] >= 0)[:, None] & (two.radii >= 0)[None, :], one.bounds(which, two), -np.inf)
+            i, j = np.nonzero(bound >= least[which][:, None])
+            keep = which[i] <= j if same else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array(which[i][keep], pa.int32()), pa.array(j[keep], pa.int32())], ["bi", "bj"])
+
+    return spark.range(len(left.radii)).mapInArrow(run, "bi int, bj int")
+
+
+def pruned_share(vectors: DataFrame, least: float, id: str = "vec_id", vec: str = "embedding") -> float:
+    """The share of block pairs that ``similar_pairs`` skips; 0 where all meet."""
+    found = neighbourhoods(vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL"))
+    if found is None:
+        return 0.0
+    n = int((found.radii >= 0).sum())
+    return 1 - _kept(found, found, least, True).count() / (n * (n + 1) / 2)
+
+
+def _dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
+    """The kernel on each pair of blocks in ``pairs``."""
+    a = left.join(pairs.withColumnRenamed("bi", "block"), "block").select("id", "v", F.col("block").alias("bi"), "bj")
+    b = right.join(pairs.withColumnRenamed("bj", "block"), "block").select(F.col("id").alias("rid"), F.col("v").alias("w"), F.col("bi").alias("ri"), F.col("block").alias("rj"))
+
+    def named(key, one, two):
+        return kernel(one, pa.table({"id": two["rid"], "v": two["w"]}), key[0].as_py() == key[1].as_py())
+
+    return a.groupBy("bi", "bj").cogroup(b.groupBy("ri", "rj")).applyInArrow(named, schema)
+
+
 def similar_pairs(vectors: DataFrame, least: float, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """``(i, j, sim)``, i < j, of all pairs with a dot product of at least ``least``. Null vectors take no part."""
+    """``(i, j, sim)``, i < j, of all pairs with a dot product of at least ``least``. Null vectors take no part.
+
+    Vectors are dealt to blocks of neighbours; blocks whose centres and radii show that no pair can reach ``least``
+    never meet. A few blocks all meet.
+    """
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
     def kernel(left, right, same):
@@ -75,7 +191,9 @@ def similar_pairs(vectors: DataFrame, least: float, id: str = "vec_id", vec: str
             out = [*_ordered(x[i], y[j]), sim[i, j]]
         return pa.table(dict(zip(("i", "j", "sim"), out)))
 
-    return _meet_self(rows, kernel, "i long, j long, sim double")
+    schema = "i long, j long, sim double"
+    found = neighbourhoods(rows)
+    return _meet_self(rows, kernel, schema) if found is None else _dealt(_kept(found, found, least, True), found.rows, found.rows, kernel, schema)
 
 
 def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -163,8 +281,21 @@ def nearest(left: DataFrame, right: DataFrame, id: str = "vec_id", vec: str = "e
         best = sim.argmax(1)
         return pa.table({"id": np.asarray(a["id"]), "nearest_id": np.asarray(b["id"])[order][best], "sim": sim[np.arange(len(best)), best]})
 
-    found = _meet(side(left), side(right), kernel, "id long, nearest_id long, sim double")
-    return found.groupBy("id").agg(F.max(F.struct("sim", (-F.col("nearest_id")).alias("o"))).alias("b")).select("id", (-F.col("b.o")).alias("nearest_id"), F.col("b.sim").alias("sim"))
+    schema = "id long, nearest_id long, sim double"
+    one, two = neighbourhoods(side(left)), neighbourhoods(side(right))
+    best = lambda df: df.groupBy("id").agg(F.max(F.struct("sim", (-F.col("nearest_id")).alias("o"))).alias("b")).select("id", (-F.col("b.o")).alias("nearest_id"), F.col("b.sim").alias("sim"))
+    if one is None or two is None:
+        return best(_meet(side(left), side(right), kernel, schema))
+    # each block meets the block of greatest bound first; what it finds tells which others can hold better ones
+    spark = left.sparkSession
+    first = np.concatenate([one.bounds(np.arange(a, min(a + 64, len(one.radii))), two).argmax(1) for a in range(0, len(one.radii), 64)])
+    start = spark.createDataFrame([(i, int(j)) for i, j in enumerate(first.tolist())], "bi int, bj int")
+    known = settle(_dealt(start, one.rows, two.rows, lambda a, b, same: kernel(a, b), schema), scratch_root(spark, "pairs"), "first")
+    floors = np.full(len(one.radii), -np.inf)
+    for r in one.rows.join(known.select("id", "sim"), "id", "left").groupBy("block").agg(F.min(F.coalesce("sim", F.lit(float("-inf")))).alias("least")).collect():  # a row for each block
+        floors[r["block"]] = r["least"]
+    rest = _kept(one, two, floors).join(start, ["bi", "bj"], "left_anti")
+    return best(known.unionByName(_dealt(rest, one.rows, two.rows, lambda a, b, same: kernel(a, b), schema)))
 
 
 def reference_stats(generated: DataFrame, references: DataFrame, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -186,19 +317,46 @@ def reference_stats(generated: DataFrame, references: DataFrame, id: str = "vec_
     ).select("id", "average", "greatest", "least", (-F.col("b.o")).alias("nearest_id"))
 
 
-def hamming_pairs(hashes: DataFrame, max_distance: int, id: str = "image_id", bits: str = "phash") -> DataFrame:
+def _masks(varying: Column, parts: int) -> Column:
+    """Masks of ``parts`` runs of the bits that are set in ``varying``, as even as can be."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(varying, b) == 1)
+    n = F.size(places)
+    ends = [F.floor(n * k / parts).cast("int") for k in range(parts + 1)]
+    run = lambda k: F.slice(places, ends[k] + 1, ends[k + 1] - ends[k])
+    return F.array(*(F.aggregate(run(k), F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))) for k in range(parts)))
+
+
+def hamming_pairs(hashes: DataFrame, max_distance: int, id: str = "image_id", bits: str = "phash", crowd: int = CROWD) -> DataFrame:
     """``(i, j, distance, n_i, n_j)``: pairs of hash classes that differ in 1 to ``max_distance`` bits.
 
     A class has all rows of one 64-bit hash; its smallest id stands for it and ``n`` counts it. Two such hashes
     agree in one of max_distance + 1 bands, so an equi-join on bands misses none. The bands share out the bits that
-    differ anywhere in the table: bits that all hashes have alike would tie all classes in one band.
+    differ anywhere in the table. Where more than ``crowd`` classes have one band's value, the bits that still differ
+    among these are cut into bands again, and so on: two of them must agree in one of those too. Only classes that
+    differ in ``max_distance`` bits at most stay together in any number, as all of their pairs belong to the result.
     """
-    classes = hashes.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(id).alias("rep"), F.count("*").alias("n"))
-    seen = hashes.agg(F.bit_or(bits).alias("any"), F.bit_and(bits).alias("all")).first()
-    varying = [b for b in range(64) if ((seen["any"] or 0) ^ (seen["all"] or 0)) >> b & 1]
-    cut = classes.select("h", "rep", "n", F.explode(bands(F.col("h"), max_distance, varying)).alias("b")).select("h", "rep", "n", "b.band", "b.value")
-    other = cut.select(F.col("h").alias("g"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), "band", "value")
-    near = cut.join(other, ["band", "value"]).where("rep < rep2").withColumn("distance", hamming(F.col("h"), F.col("g"))).where(F.col("distance") <= max_distance)
+    spark = hashes.sparkSession
+    root = scratch_root(spark, "hamming")
+    classes = settle(hashes.where(F.col(bits).isNotNull()).groupBy(F.col(bits).cast("long").alias("h")).agg(F.min(id).alias("rep"), F.count("*").alias("n")), root, "classes")
+    varying = F.bit_or("h").bitwiseXOR(F.bit_and("h"))
+    held, found, level = classes.withColumn("key", F.lit("")), [], 0
+    while True:
+        groups = held.groupBy("key").agg(F.count("*").alias("size"), varying.alias("varying"))
+        dense = F.bit_count("varying") <= max_distance
+        groups = settle(groups.withColumn("crowded", (F.lit(level == 0) | (F.col("size") > crowd)) & ~dense), root, f"groups{level}")
+        found.append(held.join(groups.where(~F.col("crowded")).select("key"), "key", "left_semi"))
+        crowded = groups.where("crowded").select("key", _masks(F.col("varying"), max_distance + 1).alias("masks"))
+        if crowded.isEmpty():
+            break
+        cut = F.posexplode(F.transform("masks", lambda m: F.col("h").bitwiseAND(m))).alias("band", "value")
+        held = held.join(crowded, "key").select("h", "rep", "n", "key", cut).select("h", "rep", "n", F.concat_ws("/", "key", "band", "value").alias("key"))
+        level += 1
+        held = settle(held, root, f"held{level}")
+    near = None
+    for rows in found:
+        other = rows.select(F.col("h").alias("g"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), "key")
+        part = rows.join(other, "key").where("rep < rep2").withColumn("distance", hamming(F.col("h"), F.col("g"))).where(F.col("distance") <= max_distance)
+        near = part if near is None else near.unionByName(part)
     return near.select(F.col("rep").alias("i"), F.col("rep2").alias("j"), "distance", F.col("n").alias("n_i"), F.col("n2").alias("n_j")).distinct()
 
 
