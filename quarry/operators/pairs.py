@@ -88,14 +88,14 @@ class Blocks:
         return np.minimum(near, far) + 1e-9 * (1 + longest)
 
 
-def neighbourhoods(rows: DataFrame, each: int = BLOCK // 4, pivots: int = PIVOTS) -> Blocks | None:
-    """``rows`` ``(id, v)`` by their nearest pivot, in blocks of about ``each``; None where too few rows or too many blocks.
+def neighbourhoods(rows: DataFrame, each: int | None = None, pivots: int = PIVOTS) -> Blocks | None:
+    """``rows`` ``(id, v)`` by their nearest pivot, in blocks of about ``each`` (a quarter of ``BLOCK``); None where too few rows or too many blocks.
 
     Pivots are taken from a bounded sample of least hash of their id, each the farthest from those before it, so that
     clusters get one before any gets a second. A pivot with many vectors has several blocks. The driver holds a centre
     for each block, up to ``SUMMARY_BYTES``.
     """
-    n = rows.count()
+    n, each = rows.count(), each or max(1, BLOCK // 4)
     if n <= 4 * BLOCK:
         return None
     sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).toArrow()["v"])

@@ -167,27 +167,28 @@ class Incremental:
         self.table = Snapshots(spark, f"{self.root}/analysis", [key])
 
     def _drain(self, schema) -> int:
-        source = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1)
-        if not exists(self.spark, f"{self.root}/inbox"):
+        """Analyses what is in the inbox, and empties it; returns the files that were in it."""
+        inbox = f"{self.root}/inbox"
+        if not exists(self.spark, inbox):
             return 0
+        source = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1)
+        waiting = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(inbox).count()
 
         def sink(rows: DataFrame, batch: int) -> None:
             self.table.commit(self.analyse(rows), "inbox", batch)
 
-        return run_to_end(source.parquet(f"{self.root}/inbox"), self.root, sink)
+        if waiting:
+            run_to_end(source.parquet(inbox), self.root, sink)
+        delete(self.spark, inbox)
+        return waiting
 
     def run(self, scan: DataFrame) -> tuple[DataFrame, int]:
         """What the table has of the files in ``scan``, and how many files this call read. Files that are gone drop out."""
         read = self._drain(scan.schema)  # of a call that did not end
         known = self.table.read()
         new = scan if known is None else scan.join(known.select(self.key, "file_key"), [self.key, "file_key"], "left_anti")
-        version = self.table.version
-        inbox = f"{self.root}/inbox/after={version:012d}"
-        new.write.mode("overwrite").option("maxRecordsPerFile", self.batch_rows).parquet(inbox)
-        if self.spark.read.schema(scan.schema).parquet(inbox).isEmpty():
-            delete(self.spark, inbox)
-        else:
-            read += self._drain(scan.schema)
+        new.write.mode("overwrite").option("maxRecordsPerFile", self.batch_rows).parquet(f"{self.root}/inbox/after={self.table.version:012d}")
+        read += self._drain(scan.schema)
         known = self.table.read()
         if known is None:
             return self.analyse(scan.limit(0)), read
