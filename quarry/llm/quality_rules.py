@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quarry.llm.common import HASH_BYTES, Scratch, bytes_of, chunks, mix, small_batches, text_array, tidy, unused, word_hashes, word_spans
 
@@ -222,8 +223,8 @@ def estimates(stats: DataFrame, least: int = LEAST) -> DataFrame:
         each = cells.groupBy(*keys, *names).agg(F.sum("n").alias("n")).groupBy(*keys)
         # the cells of a group are bounded by the grid
         rows = each.agg(F.sum("n").alias("texts"), F.collect_list(F.struct(*names, "n")).alias("cells"))
-        schema = rows.drop("cells").withColumns({"centre": F.array(F.lit(0.0)), "inverse": F.array(F.lit(0.0))}).schema
-        return rows.mapInArrow(tidy(run), schema)
+        numbers = [StructField(n, ArrayType(DoubleType())) for n in ("centre", "inverse")]
+        return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields[:-1], *numbers]))
 
     scratch = Scratch(stats.sparkSession, "quality")
     cells = scratch.table(cells, "cells")
@@ -236,23 +237,23 @@ def estimates(stats: DataFrame, least: int = LEAST) -> DataFrame:
 
 def judge(stats: DataFrame, models: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``stats`` with ``base_failed``, ``distance`` (squared; null where the fixed rules failed) and ``kept``."""
-    size = len(VECTOR)
-    m = models.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "centre", "inverse")
+    size, stats = len(VECTOR), stats.drop("base_failed", "distance", "kept")
+    lang, source, centre, inverse, off = own = [unused(f"_{n}", stats.columns) for n in ("lang", "source", "centre", "inverse", "off")]
+    m = models.select(*(F.col(a).alias(b) for a, b in zip(("lang", "source", "centre", "inverse"), own)))
     m = F.broadcast(m) if models.count() <= BROADCAST_GROUPS else m
-    at = [c * F.lit(step) for c, (_, step, *_) in zip(vector(), VECTOR)]
-    off = F.array(*(x - F.col("centre")[i] for i, x in enumerate(at)))
-    squared = sum((F.col("_off")[i] * F.col("_off")[j] * F.col("inverse")[i * size + j] for i in range(size) for j in range(size)), F.lit(0.0))
-    rows = stats.withColumn("base_failed", base_failed())
-    passed = rows.join(m, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_off", F.when(~F.col("base_failed"), off))
-    found = passed.withColumn("distance", squared)
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= F.lit(chi2_quantile(cutoff, size)))).drop("_lang", "_source", "centre", "inverse", "_off")
+    rows = stats.withColumn("base_failed", base_failed()).join(m, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    apart = F.array(*(x * F.lit(step) - F.col(centre)[i] for i, (x, (_, step, *_)) in enumerate(zip(vector(), VECTOR))))
+    squared = sum((F.col(off)[i] * F.col(off)[j] * F.col(inverse)[i * size + j] for i in range(size) for j in range(size)), F.lit(0.0))
+    found = rows.withColumn(off, F.when(~F.col("base_failed"), apart)).withColumn("distance", squared)
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= F.lit(chi2_quantile(cutoff, size)))).drop(*own)
 
 
 def quality(docs: DataFrame, text: str = "text", least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` without ``text``, with ``COUNTS``, ``base_failed``, ``distance`` and ``kept``, one row per input row.
 
     ``docs`` has ``lang`` and ``source``; a null there is a value like others. Null and empty texts have no words and
-    fail. Repeated rows stay and count as often as they stand. An empty table gives an empty result.
+    fail. Repeated rows stay and count as often as they stand. An empty table gives an empty result. Columns of ``docs``
+    with the new names are replaced; others stay.
     """
     stats = Scratch(docs.sparkSession, "quality").table(statistics(docs, text), "counts")
     return judge(stats, estimates(stats, least), cutoff)

@@ -220,3 +220,14 @@ def test_a_passage_in_most_texts(spark):
     rows = [(i, own() + passage + own()) for i in range(1500)] + [(2000 + i, "copied " * 9) for i in range(1200)]
     got = suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string"), 40, 100).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == repeats_brute(rows, 40)
+
+
+def test_many_texts_of_one_id(spark):
+    """Near copies under one id are found as under many, and a text is met once however often its id repeats."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = [t for _ in range(400) for b in [text(30)] for t in (b, f"{b} more")]
+    many = minhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    one = minhash.near_groups(spark.createDataFrame([(7, t) for t in texts] + [(7, texts[0])] * 50, "doc_id long, text string"), 5)
+    assert many.select("group").distinct().count() == one.select("group").distinct().count() == 400
+    assert one.count() == 850 and one.groupBy("k1", "k2").agg({"group": "count"}).count() == 800

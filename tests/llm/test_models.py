@@ -165,6 +165,23 @@ def test_spans_lie_in_the_original(spark):
     assert "Say: Ét, one-Two! ok".encode()[r["start"] : r["end"]].decode() == "Ét, one"
 
 
+@pytest.mark.parametrize("block", [40, 1 << 20])
+def test_byte_ranges_cover_the_hit_words(spark, block):
+    """Ranges of original bytes hold what the scan counts as hit, with one automaton and with several."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["Ab", "é", "E9", "日本", "f", "gÉ"])
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(1, 7)))) for i in range(15)] + [(99, None)]
+    rows = [(i, rnd.choice([" ", "  ", "-", ",\n"]).join(word() for _ in range(rnd.randrange(0, 50)))) for i in range(40)] + [(90, None), (91, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    spans = {}
+    for r in decontam.contaminated_spans(docs, bench, window=4, block_bytes=block).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for i, _, hit, *_ in window_brute(rows, items, 4):
+        raw, own = (dict(rows)[i] or "").encode(), sorted(spans.get(i, []))
+        assert sum(len(decontam.words_of(raw[a:b])) for a, b in own) == hit and all(x[1] < y[0] for x, y in zip(own, own[1:]))
+    assert any(len(x) > 1 for x in spans.values())
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = decontam.judge(decontam.scan_documents(docs, spark.createDataFrame([], "item_id long, text string"))).collect()
