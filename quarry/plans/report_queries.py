@@ -11,7 +11,7 @@ from quarry.plans.event_queries import table
 from quarry.plans.image_queries import _BOX, boxes
 from quarry.plans.registry import query
 from quarry.plans.similarity_queries import _COMP, _P, EDGE, vectors
-from quarry.plans.text_queries import _CATEGORY, _SUG_SQL, _SUGGESTIONS
+from quarry.plans.text_queries import _CATEGORY, _SUGGESTION, documents
 from quarry.sources.adapters import IMG_SQL, JUDGED_SQL, images, judged, r_sql
 
 c = F.col
@@ -218,10 +218,10 @@ def excluded_paths(spark, sf):
     return table(spark, sf, "pages").where(text.excluded_path(c("url"), ("fr", "de"), ("25#top",))).select("page_id")
 
 
-@query("q93_prompts", f"WITH s AS ({_SUG_SQL}) SELECT pos, concat_ws(', ', 'anna', s, 'daylight from a window', 'plain backdrop') AS prompt, replace(trim(concat(' an ', pos, ' na ')), ' ', '_') AS persona FROM s")
+@query("q93_prompts", f"WITH s AS (SELECT doc_id, {_SUGGESTION} AS s FROM documents) SELECT doc_id, concat_ws(', ', 'anna', s, 'daylight from a window', 'plain backdrop') AS prompt, replace(trim(concat(' an ', doc_id % 50, ' na ')), ' ', '_') AS persona FROM s")
 def prompts(spark, sf):
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(_SUGGESTIONS, 1)], "pos long, s string")
-    return rows.select("pos", text.shot_prompt(F.lit("anna"), c("s")).alias("prompt"), text.persona_name(F.concat(F.lit(" an "), c("pos"), F.lit(" na "))).alias("persona"))
+    rows = documents(spark, sf).select("doc_id", F.expr(_SUGGESTION).alias("s"))
+    return rows.select("doc_id", text.shot_prompt(F.lit("anna"), c("s")).alias("prompt"), text.persona_name(F.concat(F.lit(" an "), c("doc_id") % 50, F.lit(" na "))).alias("persona"))
 
 
 @query("q94_row_marks", f"{JUDGED_SQL} SELECT image_id, CASE viable WHEN 'yes' THEN 'ok' WHEN 'borderline' THEN 'warn' ELSE 'err' END AS tag, CASE viable WHEN 'yes' THEN 'green' WHEN 'borderline' THEN 'yellow' ELSE 'red' END AS colour, CASE WHEN faces = 0 OR avg_sim > 0.95::DOUBLE THEN 'err' WHEN ref_sim < 0.4::DOUBLE THEN 'warn' ELSE 'ok' END AS eval_tag FROM j")
@@ -289,13 +289,13 @@ def event_times(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd HH:mm").alias("minute"), F.date_format(ts, "dd/MM").alias("day"))
 
 
-_TAGGED = """WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')[1:12]) AS tags FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(list_sort(tags)) AS tag, unnest(range(1, len(tags) + 1)) AS pos FROM t),
+_TAGGED = """WITH t AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS tags FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(list_sort(tags)) AS tag, unnest(range(1, len(tags) + 1)) AS pos FROM t),
 k AS (SELECT doc_id, tag, pos, CASE WHEN pos % 5 = 0 THEN 4 ELSE 0 END AS category, ((length(tag) * 17 + pos * 7) % 100) / 100::DOUBLE AS p FROM u)
 SELECT doc_id, coalesce(string_agg(replace(replace(tag, '(', '\\('), ')', '\\)'), ', ' ORDER BY p DESC, pos) FILTER (WHERE (category = 0 AND p > 0.35::DOUBLE OR category = 4 AND p > 0.85::DOUBLE) AND tag NOT IN ('1girl', '1boy', 'solo')), '') AS tags FROM k GROUP BY doc_id"""
 
 
 @query("q103_tag_selection", _TAGGED)
 def tag_selection(spark, sf):
-    tags = F.array_sort(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 12)))
+    tags = F.array_sort(F.array_distinct(F.split(F.lower("text"), " ")))
     scored = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.when((i + 1) % 5 == 0, 4).otherwise(0).alias("category"), (((F.length(t) * 17 + (i + 1) * 7) % 100) / F.lit(100.0)).alias("p")))
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", classify.select_tags(scored).alias("tags"))

@@ -10,7 +10,7 @@ from quarry.functions.numeric import half_up
 from quarry.operators import aggregates
 from quarry.plans.registry import query
 from quarry.sources.adapters import IMG_SQL, JUDGED_SQL, images, judged, r_sql
-from quarry.sources.dimensions import TARGETS_SQL, targets
+from quarry.sources.dimensions import TARGETS, TARGETS_SQL, targets
 
 c = F.col
 
@@ -132,24 +132,49 @@ def captions(spark, sf):
     return caps.select("image_id", F.explode("keys").alias("key"), "caption_md5")
 
 
-_SUGGESTIONS = ["Generate 2-3 side profile shots", "Add 4 three-quarter views, yaw 30", "only 1 wide shot, full body", "another profile, yaw 60", "vary the smile", "nothing here 7"]
-_SUG_SQL = f"SELECT unnest(range(1, {len(_SUGGESTIONS) + 1})) AS pos, unnest([{', '.join(map(q, _SUGGESTIONS))}]) AS s"
+#: A suggestion for each document, as analyses word them; understood alike by Spark SQL and DuckDB.
+_SUGGESTION = (
+    "CASE doc_id % 6 WHEN 0 THEN concat('Generate ', n_chars % 7, '-', n_chars % 11, ' side profile shots') WHEN 1 THEN concat('Add ', n_chars % 5, ' three-quarter views, yaw 30') "
+    "WHEN 2 THEN concat('only ', n_chars % 4, ' wide shot, full body') WHEN 3 THEN concat('another profile, yaw ', n_chars % 90) WHEN 4 THEN 'vary the smile' ELSE concat('nothing here ', n_chars % 9) END"
+)
 _SHOT_SQL = " UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS category, {q(f)} AS fragment, [{', '.join(map(q, ws))}] AS words" for i, (n, (ws, f)) in enumerate(text.SHOTS.items()))
 
 
-@query("q34_suggestion_match", f"""WITH s AS ({_SUG_SQL}), m AS ({_SHOT_SQL}), k AS (SELECT pos, s, ord, category, fragment, len(list_filter(words, lambda w: contains(lower(s), w))) AS score FROM s CROSS JOIN m),
-b AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, ord) AS rn FROM k WHERE score > 0), f AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pos) AS cn FROM b WHERE rn = 1)
-SELECT pos, category, fragment, coalesce(greatest(TRY_CAST(nullif(regexp_extract(s, '(\\d+)[-\\s]?(\\d+)?', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(s, '(\\d+)[-\\s]?(\\d+)?', 2), '') AS BIGINT)), 5) AS n FROM f WHERE cn = 1""")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
+
+
+@query("q34_suggestion_match", f"""WITH s AS (SELECT doc_id, {_SUGGESTION} AS s FROM documents), m AS ({_SHOT_SQL}), k AS (SELECT doc_id, s, ord, category, fragment, len(list_filter(words, lambda w: contains(lower(s), w))) AS score FROM s CROSS JOIN m),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn FROM k WHERE score > 0)
+SELECT doc_id, category, fragment, coalesce(greatest(TRY_CAST(nullif(regexp_extract(s, '(\\d+)[-\\s]?(\\d+)?', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(s, '(\\d+)[-\\s]?(\\d+)?', 2), '') AS BIGINT)), 5) AS n, doc_id = min(doc_id) OVER (PARTITION BY category) AS kept FROM b WHERE rn = 1""")
 def suggestions(spark, sf):
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(_SUGGESTIONS, 1)], "pos long, s string").withColumn("m", text.match_shot(c("s"))).where("m IS NOT NULL")
-    first = rows.select("pos", "s", "m.category", "m.fragment").withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("pos"))).where("rn = 1")
-    return first.select("pos", "category", "fragment", text.suggestion_count(c("s")).alias("n"))
+    """What each suggestion asks for; the first of each category is kept."""
+    rows = documents(spark, sf).select("doc_id", F.expr(_SUGGESTION).alias("s")).withColumn("m", text.match_shot(c("s"))).where("m IS NOT NULL")
+    rows = rows.select("doc_id", "m.category", "m.fragment", text.suggestion_count(c("s")).alias("n"))
+    first = rows.groupBy("category").agg(F.min("doc_id").alias("first"))  # a row for each category of shots
+    return rows.join(F.broadcast(first), "category").select("doc_id", "category", "fragment", "n", (c("doc_id") == c("first")).alias("kept"))
+
+
+#: The target that each document asks for; one in twenty is not in the catalogue.
+_WANTED = "element_at({0}, CAST(doc_id % 20 + 1 AS INTEGER))"
+_WANTED_KEYS = [t[0] for t in TARGETS] + ["other_kohya"]
+_WANTED_SQL = f"SELECT doc_id, [{', '.join(map(q, _WANTED_KEYS))}][CAST(doc_id % 20 + 1 AS INTEGER)] AS key FROM documents"
+_CATEGORY_SQL = "coalesce(category, CASE WHEN contains(lower(label), 'video') OR contains(lower(label), 'wan') OR contains(lower(key), 'hunyuan') THEN 'video' WHEN contains(lower(label), 'anime') THEN 'image_anime' ELSE 'image_photo' END)"
 
 
-@query("q35_target_catalogue_lookup", f"""WITH t AS ({TARGETS_SQL}) SELECT key, coalesce(category, CASE WHEN contains(lower(label), 'video') OR contains(lower(label), 'wan') OR contains(lower(key), 'hunyuan') THEN 'video' WHEN contains(lower(label), 'anime') THEN 'image_anime' ELSE 'image_photo' END) AS category,
- coalesce(repeats, 10)::INTEGER AS repeats, config_format, CASE WHEN contains(key, 'kohya') THEN 'kohya' ELSE split_part(key, '_', 1) END AS folder FROM t""")
+def wanted_targets(spark, sf):
+    """``(doc_id, key)`` and the catalogue's columns, null for a target that it has not."""
+    keys = "array(" + ", ".join(map(q, _WANTED_KEYS)) + ")"
+    rows = documents(spark, sf).select("doc_id", F.expr(_WANTED.format(keys)).alias("key"))
+    return rows.join(F.broadcast(targets(spark)), "key", "left")  # 19 rows
+
+
+@query("q35_target_catalogue_lookup", f"""WITH t AS ({TARGETS_SQL}), w AS ({_WANTED_SQL}) SELECT w.doc_id, w.key, t.key IS NOT NULL AS known, CASE WHEN t.key IS NOT NULL THEN {_CATEGORY_SQL.replace("lower(key)", "lower(t.key)")} END AS category,
+ CASE WHEN t.key IS NOT NULL THEN coalesce(repeats, 10) END::INTEGER AS repeats, config_format, CASE WHEN contains(w.key, 'kohya') THEN 'kohya' ELSE split_part(w.key, '_', 1) END AS folder FROM w LEFT JOIN t ON w.key = t.key""")
 def catalogue(spark, sf):
-    return targets(spark).select("key", text.target_category(c("category"), c("label"), c("key")).alias("category"), F.coalesce("repeats", F.lit(10)).alias("repeats"), "config_format", text.folder_prefix(c("key")).alias("folder"))
+    known = c("label").isNotNull()
+    category, repeats = F.when(known, text.target_category(c("category"), c("label"), c("key"))), F.when(known, F.coalesce("repeats", F.lit(10)))
+    return wanted_targets(spark, sf).select("doc_id", "key", known.alias("known"), category.alias("category"), repeats.alias("repeats"), "config_format", text.folder_prefix(c("key")).alias("folder"))
 
 
 @query("q57_caption_priority", "SELECT conv_id, coalesce(arg_min(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' AND text <> '' THEN turn END), arg_min(text, CASE WHEN text <> '' THEN turn END), '') AS caption FROM conversations GROUP BY conv_id")
@@ -160,25 +185,34 @@ def caption_priority(spark, sf):
     return rows.groupBy("conv_id").agg(F.coalesce(first(c("role") == "assistant"), first(F.lit(True)), F.lit("")).alias("caption"))
 
 
-@query("q59_version_compare", """WITH v(pos, a, b) AS (VALUES (1, 'v1.2.10', '1.2.9'), (2, '2.0', '2.0.0'), (3, 'release-3', '3'), (4, '1.10', '1.9')), k AS (SELECT pos, list_transform(regexp_extract_all(a, '\\d+'), lambda x: x::INTEGER) AS x, list_transform(regexp_extract_all(b, '\\d+'), lambda x: x::INTEGER) AS y FROM v)
-SELECT pos, CASE WHEN x < y THEN 'older' WHEN x > y THEN 'newer' ELSE 'same' END AS state FROM k""")
+#: Two versions of a document, as program releases are named.
+_VERSIONS = ("concat('v', n_chars % 3, '.', doc_id % 12, CASE WHEN doc_id % 4 = 0 THEN '.0' ELSE '' END)", "concat(CASE WHEN doc_id % 5 = 0 THEN 'release-' ELSE '' END, n_chars % 4, '.', n_chars % 12)")
+
+
+@query("q59_version_compare", f"""WITH v AS (SELECT doc_id, {_VERSIONS[0]} AS a, {_VERSIONS[1]} AS b FROM documents), k AS (SELECT doc_id, list_transform(regexp_extract_all(a, '\\d+'), lambda x: x::INTEGER) AS x, list_transform(regexp_extract_all(b, '\\d+'), lambda x: x::INTEGER) AS y FROM v)
+SELECT doc_id, CASE WHEN x < y THEN 'older' WHEN x > y THEN 'newer' ELSE 'same' END AS state FROM k""")
 def versions(spark, sf):
-    rows = spark.createDataFrame([(1, "v1.2.10", "1.2.9"), (2, "2.0", "2.0.0"), (3, "release-3", "3"), (4, "1.10", "1.9")], "pos int, a string, b string")
-    x, y = text.version_key(c("a")), text.version_key(c("b"))
-    return rows.select("pos", F.when(x < y, "older").when(x > y, "newer").otherwise("same").alias("state"))
+    x, y = (text.version_key(F.expr(v)) for v in _VERSIONS)
+    return documents(spark, sf).select("doc_id", F.when(x < y, "older").when(x > y, "newer").otherwise("same").alias("state"))
 
 
-_PRED = [(1, [("human", 0.4), ("artificial", 0.6)]), (2, [("Fake", 0.5), ("real", 0.5)]), (3, [("human", 0.97), ("ai", 0.499)]), (4, [("real", 1.0)])]
+#: What a classifier says of each document: two labels and their scores.
+_LABELS = ("CASE doc_id % 4 WHEN 0 THEN 'human' WHEN 1 THEN 'Fake' WHEN 2 THEN 'real' ELSE 'AI' END", "CASE doc_id % 3 WHEN 0 THEN 'artificial' WHEN 1 THEN 'real' ELSE 'Synthetic' END")
+_MADE = "lower({0}) IN (" + ", ".join(map(q, classify.AI_LABELS)) + ")"
 
 
-@query("q65_ai_classifier_rules", "SELECT * FROM (VALUES (1, 0.6::DOUBLE, true, 'artificial'), (2, 0.5::DOUBLE, true, 'Fake'), (3, 0.499::DOUBLE, false, 'human'), (4, 0::DOUBLE, false, 'real')) t(pos, score, is_ai, label)")
+@query("q65_ai_classifier_rules", f"""WITH p AS (SELECT doc_id, {_LABELS[0]} AS l1, {_LABELS[1]} AS l2, (n_chars % 100) / 100::DOUBLE AS s1, (100 - n_chars % 100) / 100::DOUBLE AS s2 FROM documents), k AS (SELECT *, CASE WHEN {_MADE.format('l1')} THEN s1 WHEN {_MADE.format('l2')} THEN s2 ELSE 0::DOUBLE END AS s FROM p)
+SELECT doc_id, {r_sql('s', 3)} AS score, s >= 0.5::DOUBLE AS is_ai, CASE WHEN s1 >= s2 THEN l1 ELSE l2 END AS label FROM k""")
 def ai_rules(spark, sf):
-    rows = spark.createDataFrame(_PRED, "pos int, p array<struct<label:string,score:double>>")
+    hundredth = lambda x: x / F.lit(100.0)
+    scores = (hundredth(c("n_chars") % 100), hundredth(100 - c("n_chars") % 100))
+    found = F.array(*(F.struct(F.expr(label).alias("label"), score.alias("score")) for label, score in zip(_LABELS, scores)))
+    rows = documents(spark, sf).select("doc_id", found.alias("p"))
     s = classify.ai_score(c("p"))
-    return rows.select("pos", half_up(s, 3).alias("score"), (s >= 0.5).alias("is_ai"), classify.ai_label(c("p")).alias("label"))
+    return rows.select("doc_id", half_up(s, 3).alias("score"), (s >= 0.5).alias("is_ai"), classify.ai_label(c("p")).alias("label"))
 
 
-@query("q73_targets_by_category", f"WITH t AS ({TARGETS_SQL}), k AS (SELECT key, coalesce(category, CASE WHEN contains(lower(label), 'video') OR contains(lower(label), 'wan') OR contains(lower(key), 'hunyuan') THEN 'video' ELSE 'image_photo' END) AS category FROM t) SELECT category, string_agg(key, ',' ORDER BY key) AS keys FROM k GROUP BY category")
+@query("q73_targets_by_category", f"WITH t AS ({TARGETS_SQL}), w AS ({_WANTED_SQL}), k AS (SELECT t.key, {_CATEGORY_SQL} AS category FROM w JOIN t ON w.key = t.key) SELECT category, count(*) AS n, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM k GROUP BY category".replace("lower(key)", "lower(t.key)"))
 def targets_by_category(spark, sf):
-    t = targets(spark).select("key", text.target_category(c("category"), c("label"), c("key")).alias("category"))
-    return t.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
+    t = wanted_targets(spark, sf).where("label IS NOT NULL").select("key", text.target_category(c("category"), c("label"), c("key")).alias("category"))
+    return t.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
