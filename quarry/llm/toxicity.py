@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[kept].astype(np.int32)))], ["kind", "doc_id", "words"])
 
-    found = rows.mapInArrow(tidy(features), "kind int, doc_id long, words array<int>").where(F.size("words") > 0).toArrow()  # rows of the sample, features of a thousand
+    found = rows.select("kind", "doc_id", "words").mapInArrow(tidy(features), "kind int, doc_id long, words array<int>").where(F.size("words") > 0).toArrow()  # rows of the sample, features of a thousand
     found = found.sort_by([("kind", "ascending"), ("doc_id", "ascending")])
     lists, kinds = found["words"].combine_chunks(), np.asarray(found["kind"])
     flat, offs = np.asarray(lists.values), np.asarray(lists.offsets)
