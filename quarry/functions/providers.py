@@ -24,8 +24,12 @@ class Provider:
     required: bool = False
 
 
-def features(rows: DataFrame, provider: Provider) -> DataFrame:
-    """``rows`` with the provider's columns."""
+def features(rows: DataFrame, provider: Provider, due: Column | None = None) -> DataFrame:
+    """``rows`` with the provider's columns, null where ``due`` is not true.
+
+    The model is loaded when a task meets its first due row. A task whose model can't be loaded gives nulls, unless the
+    provider is required; what a loaded model raises fails the task.
+    """
     added = rows.sparkSession.createDataFrame([], provider.schema).schema
     names = added.names
     from pyspark.sql.pandas.types import to_arrow_type
@@ -33,19 +37,29 @@ def features(rows: DataFrame, provider: Provider) -> DataFrame:
 
     schema = StructType([*rows.schema.fields, *added.fields])
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    mark = "_due"
+    while mark in rows.columns:
+        mark = "_" + mark
+    marked = rows.withColumn(mark, F.coalesce(due, F.lit(False)) if due is not None else F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            model = provider.load()
-        except Exception:
-            if provider.required:
-                raise
-            model = None
+        model, loaded = None, False
         for b in batches:
-            got = model(b) if model else {n: [None] * b.num_rows for n in names}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[n], kind) for n, kind in zip(names, kinds))], [*b.schema.names, *names])
-
-    return rows.mapInArrow(run, schema)
+            own, which = b.select(b.schema.names[:-1]), np.flatnonzero(np.asarray(b.column(b.num_columns - 1)))
+            if len(which) and not loaded:
+                loaded = True
+                try:
+                    model = provider.load()
+                except Exception:
+                    if provider.required:
+                        raise
+            got = model(own.take(pa.array(which))) if model and len(which) else {n: [None] * len(which) for n in names}
+            place = np.full(b.num_rows, -1)
+            place[which] = np.arange(len(which))
+            at = pa.array(place, mask=place < 0)  # null for rows that aren't due
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(got[n], kind).take(at) for n, kind in zip(names, kinds))], [*own.schema.names, *names])
+
+    return marked.mapInArrow(run, schema)
 
 
 def _unit_norm():
@@ -89,11 +103,8 @@ def boundary(kind: str, module: str = "quarry_models", required: bool = False) -
 
 
 def two_phase(rows: DataFrame, pending: Column, provider: Provider) -> DataFrame:
-    """``rows`` with the provider's columns, which only ``pending`` rows cost; the others have nulls."""
-    due = F.coalesce(pending, F.lit(False))
-    done = features(rows.where(due), provider)
-    rest = rows.where(~due).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema.fields[len(rows.columns) :]))
-    return done.unionByName(rest)
+    """``rows`` with the provider's columns, which only ``pending`` rows cost; the others have nulls. One pass over ``rows``."""
+    return features(rows, provider, pending)
 
 
 REGISTRY = {"unit_norm": Provider("unit_norm", "length double", _unit_norm)}

@@ -358,8 +358,3 @@ def hamming_pairs(hashes: DataFrame, max_distance: int, id: str = "image_id", bi
         part = rows.join(other, "key").where("rep < rep2").withColumn("distance", hamming(F.col("h"), F.col("g"))).where(F.col("distance") <= max_distance)
         near = part if near is None else near.unionByName(part)
     return near.select(F.col("rep").alias("i"), F.col("rep2").alias("j"), "distance", F.col("n").alias("n_i"), F.col("n2").alias("n_j")).distinct()
-
-
-def best_match(scores: DataFrame, group: str, value: Column, order: Column, pick: Column) -> DataFrame:
-    """Per group the row of greatest value, the first in order of equals: one aggregation, no sort."""
-    return scores.groupBy(group).agg(F.max_by(F.struct(pick.alias("pick"), value.alias("value")), F.struct(value, -order)).alias("m")).select(group, "m.pick", "m.value")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import audio
+from quarry.functions import audio, classify
 from quarry.functions.numeric import cascade, half_up
 from quarry.operators import aggregates, export, incremental
 from quarry.plans.registry import query
+from quarry.sources import files
 from quarry.sources.adapters import r_sql
 
 c = F.col
@@ -169,3 +170,33 @@ def music_grades(spark, sf):
     m = table(spark, sf, "events").select(*(F.expr(e) for e in _split(_MUSIC)), bpm.alias("bpm"))
     issues = audio.music_issues(c("error"), c("duration"), c("lyrics"), c("sidecar"), c("caption"), c("sidecar"), c("bpm"), c("keyscale"), c("level"))
     return m.select(audio.music_grade(issues).alias("grade")).groupBy("grade").agg(F.count("*").alias("n"))
+
+
+#: A sound file for each document, and the files beside some of them; understood alike by Spark SQL and DuckDB.
+_STEM = "concat('track_', doc_id)"
+_BESIDE = {"has_lyrics": ("doc_id % 2 = 0", ".lyrics.txt"), "has_json": ("doc_id % 3 = 0", ".json"), "has_caption": ("n_chars % 5 = 0", ".caption.txt")}
+
+
+@query("q108_sidecar_probe", f"SELECT {_STEM} AS stem, " + ", ".join(f"coalesce({on}, false) AS {name}" for name, (on, _) in _BESIDE.items()) + " FROM documents")
+def sidecar_probe(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    stem = docs.select(c("source").alias("folder"), F.expr(_STEM).alias("stem"), "doc_id", "n_chars")
+    beside = None
+    for on, ending in [*_BESIDE.values(), ("true", ".wav")]:
+        part = stem.where(on).select("folder", F.concat("stem", F.lit(ending)).alias("name"))
+        beside = part if beside is None else beside.unionByName(part)
+    return files.with_sidecars(stem.select("folder", "stem"), beside).drop("folder")
+
+
+_SIDE = "CASE WHEN doc_id % 10 = 0 THEN '{\"bpm\": 12' WHEN doc_id % 10 = 1 THEN '[]' WHEN doc_id % 10 = 2 THEN NULL ELSE concat('{\"bpm\": ', n_chars % 200, ', \"keyscale\": \"', lang, '\"}') END"
+
+
+@query("q109_sidecar_parse", f"SELECT doc_id, CASE WHEN doc_id % 10 > 2 THEN CAST(n_chars % 200 AS DOUBLE) END AS bpm, CASE WHEN doc_id % 10 > 2 THEN lang END AS keyscale FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL")
+def sidecar_parse(spark, sf):
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL").select("doc_id", F.expr(_SIDE).alias("body"))
+    return docs.select("doc_id", files.parse_sidecar(c("body")).alias("s")).select("doc_id", "s.bpm", "s.keyscale")
+
+
+@query("q110_file_sizes", f"SELECT doc_id, {r_sql('(n_chars * 997)::DOUBLE / 1024 / 1024', 2)} AS filesize_mb FROM documents")
+def file_sizes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", classify.filesize_mb(c("n_chars") * 997).alias("filesize_mb"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import classify
 from quarry.operators.export import ranked
+from quarry.sources.snapshots import Snapshots
 
 c = F.col
 IMAGES, VOICES, MUSIC = ("png", "jpg", "jpeg", "webp"), ("wav", "mp3", "flac", "ogg", "m4a", "opus"), ("mp3", "wav", "flac", "ogg", "opus")
@@ -79,6 +80,9 @@ def parse_sidecar(text: str) -> Column:
 def read_cache(spark: SparkSession, path: str, schema: str, version: int = 2) -> DataFrame:
     """A feature cache of the right version; an absent or unreadable one is empty."""
     try:
+        cache = Snapshots(spark, path, ["file_key"]).read()
+        if cache is not None:
+            return cache.where(c("version") == version)
         # reading is lazy: files that turn out unreadable count as empty too
         return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path).where(c("version") == version)
     except Exception as e:

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.snapshots import Snapshots
+
 c = F.col
 
 
@@ -21,8 +23,8 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def write_cache(rows: DataFrame, path: str, version: int = 2) -> None:
-    """Overwrites a feature cache with the rows of this run."""
-    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
+    """Puts the rows of this run in the place of a feature cache, as a whole; ``rows`` may come from the cache itself."""
+    Snapshots(rows.sparkSession, path, ["file_key"]).commit(rows.withColumn("version", F.lit(version)), replace=True)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
