@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, display, geometry, text
 from quarry.functions.numeric import half_up
 from quarry.operators import aggregates, export, graph, incremental, pairs
+from quarry.plans.advice import ORDER, advice
 from quarry.plans.event_queries import table
-from quarry.plans.image_queries import _BOX, boxes
+from quarry.plans.image_queries import _ALERTS, _BOX, _REC, boxes
 from quarry.plans.registry import query
 from quarry.plans.similarity_queries import _COMP, _P, EDGE, vectors
 from quarry.plans.text_queries import _CATEGORY, _SUGGESTION, documents
 from quarry.sources.adapters import IMG_SQL, JUDGED_SQL, images, judged, r_sql
+from quarry.sources.scratch import scratch_root, settle
 
 c = F.col
 
@@ -109,7 +113,10 @@ def next_shots(spark, sf):
     return aggregates.next_shots(judged(images(spark, sf)))
 
 
-@query("q80_next_shots_of_frontal_views", _SHOTS_SQL.replace(", v0 AS", f", fr{_FRONTAL}, v0 AS").replace("FROM j WHERE viable <> 'no'),\ns AS", "FROM fr WHERE viable <> 'no'),\ns AS") + " SELECT ord, shot, n FROM ns WHERE on_")
+_FRONTAL_SHOTS_SQL = _SHOTS_SQL.replace(", v0 AS", f", fr{_FRONTAL}, v0 AS").replace("FROM j WHERE viable <> 'no'),\ns AS", "FROM fr WHERE viable <> 'no'),\ns AS")
+
+
+@query("q80_next_shots_of_frontal_views", _FRONTAL_SHOTS_SQL + " SELECT ord, shot, n FROM ns WHERE on_")
 def next_shots_frontal(spark, sf):
     rows = judged(images(spark, sf)).select("image_id", "viable", F.lit("face_only").alias("shot"), (c("yaw") / 7).alias("yaw"), F.when(c("n_chars") % 2 == 0, "laughing").otherwise("sad").alias("expression"))
     return aggregates.next_shots(rows)
@@ -299,3 +306,53 @@ def tag_selection(spark, sf):
     tags = F.array_sort(F.array_distinct(F.split(F.lower("text"), " ")))
     scored = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.when((i + 1) % 5 == 0, 4).otherwise(0).alias("category"), (((F.length(t) * 17 + (i + 1) * 7) % 100) / F.lit(100.0)).alias("p")))
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", classify.select_tags(scored).alias("tags"))
+
+
+def _full_advice_sql() -> str:
+    """The list of all rules from the statistics that other queries have: one row each, numbered in the order of codes."""
+    scores, _, grade = aggregates.target_scores_sql(diversity_sql(_WORN), "(SELECT coalesce(nullif(score, 0), 50) FROM dv)").rpartition(" SELECT family, score, ")
+    rules = re.sub(r"\bFROM s\b", "FROM sr", _REC.removeprefix(JUDGED_SQL).replace(", s AS (", ", sr AS (", 1))
+    stats, _, listed = rules.partition("\nSELECT ord, code, n FROM (")
+    shots = _FRONTAL_SHOTS_SQL.removeprefix(JUDGED_SQL)
+    mix = _ALERTS.removeprefix(JUDGED_SQL).replace("SELECT tall >= 3", ", mx AS (SELECT tall, wide, total, tall >= 3", 1) + ")"
+    rule = lambda code, n, detail, on, frame, sub="0": f"SELECT {code} AS code, {sub} AS sub, CAST({n} AS BIGINT) AS n, CAST({detail} AS VARCHAR) AS detail FROM {frame} WHERE {on}"
+    coherence = lambda name, low, fair: rule(f"CASE WHEN x < {low}::DOUBLE THEN '{name}_low' WHEN x < {fair}::DOUBLE THEN '{name}_fair' ELSE '{name}_ok' END", "n", "x", "x IS NOT NULL", name)
+    parts = [
+        f"SELECT code, 0 AS sub, n, CAST(NULL AS VARCHAR) AS detail FROM (SELECT ord, code, n FROM ({listed})", rule("'metadata'", "meta", "NULL", "meta > 0", "sa"), rule("'captions'", "captions", "NULL", "captions > 0", "sa"),
+        rule("'reference_ok'", "ok", "ref", "ref IS NOT NULL AND wrong = 0 AND doubt = 0", "sa"), rule("'reference_doubts'", "doubt", "ref", "ref IS NOT NULL AND wrong = 0 AND doubt > 0", "sa"),
+        rule("'reference_wrong'", "wrong", "ref", "wrong > 0", "sa"), rule("'reference_doubtful'", "doubt", "ref", "wrong > 0 AND doubt > 0", "sa"), rule("'viability'", "n_yes", "concat_ws('/', n_yes, n_bl, n_no)", "total > 0", "sa"),
+        coherence("face_coherence", 0.4, 0.6), coherence("body_coherence", 0.65, 0.78),
+        rule("'cluster'", "size", "array_to_string(first, ', ')", "sub <= 3", "cs", "sub"), rule("'expressions'", "kinds", "top", "true", "ex"), rule("'expression_dominant'", "most", "top", "share > 0.7::DOUBLE", "ex"),
+        rule("'expression_single'", "kinds", "top", "share <= 0.7::DOUBLE AND kinds < 2", "ex"), rule("'expression_varied'", "kinds", "NULL", "kinds >= 3 AND share < 0.6::DOUBLE", "ex"), rule("'best_target'", "score", "concat_ws(' ', family, grade)", "true", "bt"),
+        rule("CASE WHEN score < 40 THEN 'diversity_low' WHEN score < 60 THEN 'diversity_fair' ELSE 'diversity_ok' END", "score", "concat_ws(': ', verdict, main)", "score IS NOT NULL", "dm"),
+        rule("'tall_portraits'", "tall", "NULL", "total >= 5 AND tall_alert", "mx"), rule("'wide_landscapes'", "wide", "NULL", "total >= 5 AND wide_alert", "mx"), rule("mix", "total", "NULL", "total >= 5 AND mix <> 'mixed'", "mx"),
+        rule("'overfit'", "tags", "concat_ws(': ', category, named)", "true", "oc", "sub"), rule("'next_shot'", "n", "shot", "on_", "ns", "ord"),
+    ]
+    codes = ", ".join(f"'{x}'" for x in ORDER)
+    return f"""{scores}, tg AS (SELECT family, score, {grade}){mix}{stats}{shots},
+sa AS (SELECT count(*) FILTER (WHERE image_id % 5 = 0 OR image_id % 7 = 0) AS meta, count(*) FILTER (WHERE coalesce(tags, '') <> '') AS captions, count(*) FILTER (WHERE ref_sim >= 0.5::DOUBLE) AS ok, count(*) FILTER (WHERE ref_sim >= 0.35::DOUBLE AND ref_sim < 0.5::DOUBLE) AS doubt,
+ count(*) FILTER (WHERE ref_sim < 0.35::DOUBLE) AS wrong, {r_sql('avg(ref_sim)', 3)} AS ref, count(*) AS total, count(*) FILTER (WHERE viable = 'yes') AS n_yes, count(*) FILTER (WHERE viable = 'borderline') AS n_bl, count(*) FILTER (WHERE viable = 'no') AS n_no FROM j),
+face_coherence AS (SELECT (SELECT count(*) FROM v) AS n, {r_sql('avg(s)', 3)} AS x FROM p), bv AS (SELECT vec_id FROM v JOIN j ON j.image_id = v.vec_id WHERE j.shot <> 'face_only'),
+body_coherence AS (SELECT (SELECT count(*) FROM bv) AS n, {r_sql('avg(s)', 3)} AS x FROM p WHERE i IN (SELECT vec_id FROM bv) AND j IN (SELECT vec_id FROM bv)),
+cs AS (SELECT size, first, row_number() OVER (ORDER BY component) AS sub FROM (SELECT component, count(*) AS size, list_sort(list(id))[1:3] AS first FROM (SELECT id, min(x) AS component FROM r GROUP BY id) GROUP BY component HAVING count(*) >= 3)),
+ek AS (SELECT expression, count(*) AS k FROM j WHERE viable <> 'no' AND expression <> '' GROUP BY expression), ex AS (SELECT count(*) AS kinds, arg_max(expression, (k, expression)) AS top, max(k) AS most, max(k) / sum(k)::DOUBLE AS share FROM ek HAVING count(*) > 0),
+bt AS (SELECT family, grade, score FROM tg ORDER BY score DESC, list_position([{', '.join(f"'{f}'" for f in aggregates.FAMILIES)}], family) LIMIT 1),
+dm AS (SELECT score, {_BANDS}, (SELECT string_agg(DISTINCT category, ', ' ORDER BY category) FROM al) AS main FROM dv),
+og AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, tag) AS rn FROM al), oc AS (SELECT *, row_number() OVER (ORDER BY most DESC, category) AS sub FROM (SELECT category, count(*) AS tags, max(n) AS most,
+ string_agg(CASE WHEN rn <= 3 THEN concat(tag, ' (', CAST(floor(share * 100) AS BIGINT), '%)') END, ', ' ORDER BY rn) AS named FROM og GROUP BY category)),
+every AS ({" UNION ALL ".join(parts)}) SELECT CAST(row_number() OVER (ORDER BY list_position([{codes}], code), sub) AS INTEGER) AS ord, code, n, detail FROM every"""
+
+
+@query("q111_full_advice", _full_advice_sql())
+def full_advice(spark, sf):
+    """Every rule on the images, with common words worn as accessories and frontal views as the gaps."""
+    from quarry.plans import analyze
+
+    rows = judged(images(spark, sf)).withColumns({"metadata": c("image_id") % 5 == 0, "c2pa": c("image_id") % 7 == 0})
+    v, alerts, root = vectors(spark, sf), worn_alerts(spark, sf), scratch_root(spark, "advice")
+    rows, alerts = settle(rows, root, "images"), settle(alerts, root, "overfit")
+    tied = settle(graph.connected_components(pairs.similar_pairs(v, EDGE)), root, "tied")
+    mix = settle(analyze.diversity(v, tied, alerts), root, "diversity")
+    scores = aggregates.target_scores(rows, F.lit(mix.first()["score"]).cast("double"))
+    frontal = rows.select("image_id", "viable", F.lit("face_only").alias("shot"), (c("yaw") / 7).alias("yaw"), F.when(c("n_chars") % 2 == 0, "laughing").otherwise("sad").alias("expression"))
+    return advice(rows, v, v, scores, mix, tied, alerts, aggregates.next_shots(frontal))
