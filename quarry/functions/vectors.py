@@ -22,16 +22,3 @@ def unit(a: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
-
-
-def bands(bits: Column, max_distance: int, varying: list[int] | None = None) -> Column:
-    """``array<struct<band,value>>``: the ``varying`` bits of a hash (null: all 64) dealt to max_distance + 1 bands.
-
-    Hashes that differ in at most ``max_distance`` of them share a band. A band's value keeps its bits in place.
-    """
-    n = max_distance + 1
-    places = list(range(64)) if varying is None else varying
-    cuts = [len(places) * i // n for i in range(n + 1)]
-    masks = [sum(1 << b for b in places[a:b]) for a, b in zip(cuts, cuts[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*(F.struct(F.lit(i).alias("band"), bits.bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list[tuple[SparkSession, str]] = []
+#: The folders of local sessions without a shared one, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="quarry-")
+    return _OWN[sc.applicationId]
 
 
 def scratch_root(spark: SparkSession, name: str = "quarry") -> str:
