@@ -129,3 +129,20 @@ def test_totals_before_a_place(spark):
     for k, p, _ in rows:
         less = [v for a, b, v in rows if a == k and b < p]
         assert got[k, p] == ((sum(less), max(less)) if less else (None, None))
+
+
+@pytest.mark.parametrize("block", [0, 500_000])
+def test_leaders_of_classes(spark, block):
+    """In one pass and in rounds: rows of one class or of tied classes, and rows tied by themselves."""
+    rnd = random.Random(7)
+    of = {i: rnd.randrange(12) for i in range(60) if rnd.random() < 0.9}
+    first = {}
+    for i, k in sorted(of.items()):
+        first.setdefault(k, i)
+    of = {i: first[k] for i, k in of.items()}  # a class is named by its first row
+    near = [(a, b) for a in first.values() for b in first.values() if a < b and rnd.random() < 0.1]
+    own = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(25)]
+    edges = [(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in near)] + own
+    frame = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
+    got = graph.class_leaders(frame(list(of.items()), "id", "k"), frame(near, "i", "j"), frame(own, "i", "j"), block)
+    assert dict(map(tuple, got.collect())) == leaders(edges)
