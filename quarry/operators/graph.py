@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import prefix
 from quarry.sources.scratch import delete, scratch_root, settle
 
 #: Edges in a block.
@@ -223,10 +224,14 @@ def connected_components(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> Da
         mark = new
 
 
-def duplicate_groups(keepers: DataFrame) -> DataFrame:
-    """``(keeper, n_members, members)`` with members in order, for keepers that claim any."""
-    members = keepers.where("id <> keeper").groupBy("keeper").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list("id")).alias("members"))
-    return members
+def duplicate_groups(keepers: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """``(keeper, part, n_members, members)`` for keepers that claim any: a row for each ``part_rows`` of its members, in order.
+
+    Members are counted by ranges and sums over ranges, so that neither a task nor a row holds a group of any size.
+    """
+    placed = prefix.running_count(keepers.where("id <> keeper").select("keeper", "id"), "keeper", ["id"], "place", total="n_members")
+    part = F.floor((F.col("place") - 1) / part_rows).cast("long")
+    return placed.groupBy("keeper", part.alias("part"), "n_members").agg(F.array_sort(F.collect_list("id")).alias("members")).select("keeper", "part", "n_members", "members")
 
 
 def least(rows: DataFrame, keys: list[str], id: str, n: int, salts: int = 64) -> DataFrame:

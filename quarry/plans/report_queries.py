@@ -157,10 +157,10 @@ def duplicate_rows(spark, sf):
     return keepers(spark, sf).where("id <> keeper")
 
 
-@query("q85_duplicate_groups", _DUP + " SELECT keeper, count(*) AS n_members, array_to_string(list(id ORDER BY id), ',') AS members FROM kp WHERE id <> keeper GROUP BY keeper")
+@query("q85_duplicate_groups", _DUP + ", mp AS (SELECT keeper, id, (row_number() OVER (PARTITION BY keeper ORDER BY id) - 1) // 10000 AS part, count(*) OVER (PARTITION BY keeper) AS n_members FROM kp WHERE id <> keeper) SELECT keeper, part, n_members, array_to_string(list(id ORDER BY id), ',') AS members FROM mp GROUP BY keeper, part, n_members")
 def duplicate_groups(spark, sf):
     found = graph.duplicate_groups(keepers(spark, sf))
-    return found.select("keeper", "n_members", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return found.select("keeper", "part", "n_members", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query("q86_top_expressions", f"{JUDGED_SQL} SELECT expression, count(*) AS n FROM j WHERE viable <> 'no' GROUP BY expression ORDER BY n DESC, expression LIMIT 5")

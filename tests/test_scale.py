@@ -146,3 +146,9 @@ def test_leaders_of_classes(spark, block):
     frame = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
     got = graph.class_leaders(frame(list(of.items()), "id", "k"), frame(near, "i", "j"), frame(own, "i", "j"), block)
     assert dict(map(tuple, got.collect())) == leaders(edges)
+
+
+def test_members_of_a_large_group_come_in_parts(spark):
+    keepers = spark.range(1000).select("id", F.when(F.col("id") < 900, 0).otherwise(900).alias("keeper"))
+    rows = {(r.keeper, r.part): (r.n_members, list(r.members)) for r in graph.duplicate_groups(keepers, 200).collect()}
+    assert rows == {(0, k): (899, list(range(1 + 200 * k, min(900, 201 + 200 * k)))) for k in range(5)} | {(900, 0): (99, list(range(901, 1000)))}
