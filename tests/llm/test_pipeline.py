@@ -64,8 +64,8 @@ def test_short_words(spark):
 
 
 def test_registry():
-    assert sorted(registry.queries()) == sorted(f"op{n}_{x}" for n, x in ((1, "topk_search"), (2, "byte_bpe"), (3, "lm_scoring"), (4, "token_counts"), (5, "perspective_rotation"), (6, "minhash_dedup"), (7, "wavelet_tokens"), (8, "suffix_dedup"), (9, "toxicity"), (10, "decontamination")))
-    assert zlib.crc32(b"0") and set(registry.oracle_sql()) == {"op1_topk_search", "op5_perspective_rotation"}
+    assert sorted(registry.queries()) == sorted(f"op{n}_{x}" for n, x in ((1, "topk_search"), (2, "byte_bpe"), (3, "lm_scoring"), (4, "token_counts"), (5, "perspective_rotation"), (6, "minhash_dedup"), (7, "wavelet_tokens"), (8, "suffix_dedup"), (9, "toxicity"), (10, "decontamination"), (11, "quality_rules"), (12, "vector_codes"), (13, "feature_history")))
+    assert zlib.crc32(b"0") and set(registry.oracle_sql()) == {"op1_topk_search", "op5_perspective_rotation", "op12_vector_codes", "op13_feature_history"}
 
 
 def test_rows_that_repeat_ids(spark):
