@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -54,14 +55,18 @@ def report_lines(grade: DataFrame, coverage: DataFrame, scores: DataFrame, advic
 
 
 def put(path: str, body: bytes, overwrite: bool = True, least: int = 0) -> str:
-    """Writes one file whole or not at all; ``kept`` where one of more than ``least`` bytes is there already."""
+    """Writes one file whole or not at all; ``kept`` where one of more than ``least`` bytes is there already.
+
+    Attempts at the same time have drafts of their own.
+    """
     if not overwrite and os.path.exists(path) and os.path.getsize(path) > least - (least == 0):
         return "kept"
     try:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(f"{path}.part", "wb") as f:
+        draft = f"{path}.{uuid.uuid4().hex}.part"
+        with open(draft, "wb") as f:
             f.write(body)
-        os.replace(f"{path}.part", path)
+        os.replace(draft, path)
         return "written"
     except OSError:
         return "error"

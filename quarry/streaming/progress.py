@@ -72,9 +72,12 @@ class Progress(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None: ...
 
 
-def available_now(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Counts by ``key`` from a file stream run to the end of what is there; state and output are in shared tables."""
-    root = scratch_root(spark)
+def available_now(spark: SparkSession, path: str, key: str, root: str | None = None) -> DataFrame:
+    """Counts by ``key`` from a file stream run to the end of what is there; state and output are in shared tables.
+
+    With a ``root`` they stay there, and a later call reads only what is new; a batch that comes again replaces its counts.
+    """
+    root = root or scratch_root(spark)
     folder, _, name = path.rpartition("/")
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 10).option("recursiveFileLookup", "true")

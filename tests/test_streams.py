@@ -137,3 +137,13 @@ def test_a_batch_that_dies_is_read_again(spark, tmp_path):
     broken.clear()
     rows, read = job().run(scan)
     assert rows.count() == 2 and job().run(scan)[1] == 0
+
+
+def test_counts_go_on_from_a_root(spark, tmp_path):
+    from quarry.streaming.progress import available_now
+
+    counts = lambda: {r.run: r.n for r in available_now(spark, f"{tmp_path}/in", "run", f"{tmp_path}/root").collect()}
+    feed(spark, f"{tmp_path}/in", [(1, at(0), 0), (2, at(1), 1)])
+    assert counts() == counts() == {1: 1, 2: 1}
+    feed(spark, f"{tmp_path}/in", [(1, at(2), 2)])
+    assert counts() == {1: 2, 2: 1} and len(list((tmp_path / "root" / "out").glob("batch=*"))) == 2
