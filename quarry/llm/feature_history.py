@@ -58,13 +58,16 @@ def _bin(t: Column) -> Column:
 def grid(sales: DataFrame, clicks: DataFrame, bin: int = BIN) -> DataFrame:
     """``(client, lo, width, bins)`` of the clients with more than ``bin`` events.
 
-    Bins are even between the hundredth parts of a client's times that come first and last; the outer bins are open.
+    Bins are even between the days that hold the first and last hundredth of a client's events; the outer bins are open.
     """
     events = sales.select("client", "ts").unionByName(clicks.select("client", "ts"))
-    many = events.groupBy("client").agg(F.count("*").alias("n")).where(c("n") > bin)
-    ends = events.join(many, "client").groupBy("client").agg(F.max("n").alias("n"), F.percentile_approx("ts", [0.01, 0.99], 1000).alias("p"))
+    daily = events.groupBy("client", F.floor(c("ts") / _DAY).alias("day")).agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("client")  # a row for each day of a client
+    shares = daily.select("client", "day", F.sum("k").over(whole).alias("n"), F.sum("k").over(whole.orderBy("day")).alias("upto")).where(c("n") > bin)
+    day = lambda share: F.min(F.when(c("upto") >= F.lit(share) * c("n"), c("day")))
+    ends = shares.groupBy("client").agg(F.first("n").alias("n"), day(0.01).alias("lo"), day(0.99).alias("hi"))
     bins = F.ceil(c("n") / F.lit(bin)).cast("long")
-    return ends.select("client", c("p")[0].alias("lo"), F.greatest(F.lit(1), F.ceil((c("p")[1] - c("p")[0] + 1) / bins)).cast("long").alias("width"), bins.alias("bins"))
+    return ends.select("client", (c("lo") * _DAY).alias("lo"), F.greatest(F.lit(1), F.ceil((c("hi") + 1 - c("lo")) * _DAY / bins)).cast("long").alias("width"), bins.alias("bins"))
 
 
 def _deltas(rows: DataFrame, found: list[tuple[int, Column, dict[str, Column], bool]], last: Column | None = None) -> DataFrame:
@@ -143,11 +146,15 @@ class History:
         carry = prefix.before(totals, ["client", "item"], "bin", {"latest": "max"})
         earlier = Window.partitionBy("client", "item", "bin").orderBy("start", "ts").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.join(carry, ["client", "item", "bin"], "left").withColumn("latest", F.greatest("latest", F.max("ts").over(earlier)))
-        found = _ends(self.windows, c("start"), c("ts"), {"n_lines": c("n"), "line_cents": c("cents")})
+        found = []
         for d in self.windows:
-            begin, end = F.greatest(c("start"), c("latest") + d * _DAY), c("ts") + d * _DAY
-            new = c("item").isNotNull() & (begin < end)
-            found += [(d, F.when(new, begin), {"n_items": F.lit(1)}, False), (d, F.when(new, end), {"n_items": F.lit(-1)}, False)]
+            end = c("ts") + d * _DAY
+            begin = F.greatest(c("start"), c("latest") + d * _DAY)
+            new = (c("item").isNotNull() & (begin < end)).cast("long")
+            at_once, later = new * (begin == c("start")).cast("long"), new * (begin > c("start")).cast("long")
+            found.append((d, F.when(c("start") < end, c("start")), {"n_lines": c("n"), "line_cents": c("cents"), "n_items": at_once}, False))
+            found.append((d, F.when(c("start") < end, end), {"n_lines": -c("n"), "line_cents": -c("cents"), "n_items": -new}, False))
+            found.append((d, F.when(later == 1, begin), {"n_items": later}, False))
         return _deltas(rows, found)
 
     def _edges(self) -> DataFrame:
