@@ -171,8 +171,10 @@ class Incremental:
         inbox = f"{self.root}/inbox"
         if not exists(self.spark, inbox):
             return 0
-        source = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1)
-        waiting = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(inbox).count()
+        held = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(inbox)
+        waiting, parts = held.count(), len(held.inputFiles())
+        each = max(1, parts // max(1, -(-waiting // self.batch_rows)))  # so many of its parts make a batch
+        source = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", each)
 
         def sink(rows: DataFrame, batch: int) -> None:
             self.table.commit(self.analyse(rows), "inbox", batch)
