@@ -53,13 +53,14 @@ def incremental_rerun(spark, sf):
     key = lambda n: F.concat_ws("|", "doc_id", n.cast("string"))
     first = docs.join(labels, "doc_id").withColumn("file_key", key(c("n_chars") - (c("quality") == 0).cast("long"))).drop("quality")
     second = docs.withColumn("file_key", key(c("n_chars")))
+    lengths = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))  # a batch fetches what it needs; texts are not shuffled
     root, read = scratch_root(spark, "incremental"), []
     for number, scan in ((1, first), (2, second), (3, second)):
 
         def analyse(rows, number=number):
-            return rows.select("doc_id", "file_key", F.length("text").cast("long").alias("n_chars"), F.lit(number).alias("call"))
+            return rows.join(lengths, "doc_id").select("doc_id", "file_key", "n_chars", F.lit(number).alias("call"))
 
-        rows, n = stateful.Incremental(spark, root, "doc_id", analyse, batch_rows=100_000).run(scan.select("doc_id", "file_key", "text"))
+        rows, n = stateful.Incremental(spark, root, "doc_id", analyse, batch_rows=1_000_000).run(scan.select("doc_id", "file_key"))
         read.append(n)
     older = labels.where("quality = 0").select("doc_id").withColumn("older", F.lit(1))
     readings = rows.join(older, "doc_id", "left")
