@@ -6,6 +6,7 @@ partners need no pairs: they follow from the sum of the vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,23 +19,31 @@ from quarry.sources.scratch import scratch_root, settle
 
 #: Vectors in a block, pivots that neighbours are dealt by, and bytes of block centres that the driver holds at most.
 BLOCK, PIVOTS, SUMMARY_BYTES = 2048, 256, 64 << 20
+#: Parts that a side has, so that a row is sent to so many tasks whatever the number of rows; rows a part holds at most.
+PARTS, PART_ROWS = 24, 32_768
+#: Rows on each side of one product.
+TILE = 1024
 #: Hash classes with one band's value from which their further bits are cut into bands.
 CROWD = 2000
 
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
+def _parts(n: int) -> int:
+    """Parts of ``n`` rows: blocks while these are few, then ``PARTS``, and more only for what a task can hold."""
+    blocks = max(1, -(-n // BLOCK))
+    return max(blocks if blocks <= 4 else PARTS, -(-n // PART_ROWS))
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
     a = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     offs = np.asarray(a.offsets)
+    if not len(a):
+        return np.zeros((0, 0))
     return np.asarray(a.values)[offs[0] : offs[-1]].astype(np.float64).reshape(len(a), -1)
 
 
 def _meet(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """Every block of ``(id, v)`` on the left meets every block on the right once."""
-    m, n = _blocks(left.count()), _blocks(right.count())
+    """Every part of ``(id, v)`` on the left meets every part on the right once."""
+    m, n = _parts(left.count()), _parts(right.count())
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     at = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     a = left.select("id", "v", at(m).alias("bi"), spread(n).alias("bj"))
@@ -48,8 +57,8 @@ def _meet(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
 
 
 def _meet_self(rows: DataFrame, kernel, schema: str) -> DataFrame:
-    """Every two blocks of ``(id, v)``, and each block with itself, meet once: (blocks) * (blocks + 1) / 2 groups."""
-    n = _blocks(rows.count())
+    """Every two parts of ``(id, v)``, and each part with itself, meet once: (parts) * (parts + 1) / 2 groups."""
+    n = _parts(rows.count())
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("bi"), F.greatest(k, F.col("block")).alias("bj")))
     dealt = rows.select("id", "v", block.alias("block")).select("id", "v", "block", F.explode(met).alias("t")).select("id", "v", "block", "t.bi", "t.bj")
@@ -63,18 +72,64 @@ def _meet_self(rows: DataFrame, kernel, schema: str) -> DataFrame:
     return dealt.groupBy("bi", "bj").applyInArrow(named, schema)
 
 
+def _grid(n: int, m: int, same: bool = False) -> Iterator[tuple[slice, slice, bool]]:
+    """Tiles of ``n`` by ``m`` rows; of rows with themselves each two tiles once. The last item tells a tile with itself."""
+    for a in range(0, n, TILE):
+        for b in range(a if same else 0, m, TILE):
+            yield slice(a, min(a + TILE, n)), slice(b, min(b + TILE, m)), same and a == b
+
+
 def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(x, y), np.maximum(x, y)
 
 
+def _reached(sim: np.ndarray, least: float, over: bool) -> np.ndarray:
+    return sim > least if over else sim >= least
+
+
+def edges_of(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, tiles: Iterable[tuple[slice, slice, bool]], least: float, over: bool) -> pa.Table:
+    """All pairs in ``tiles`` that reach ``least``: of the vectors ``xs`` with ids ``x`` and ``ys`` with ``y``."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a, b, own in tiles:
+        sim = xs[a] @ ys[b].T
+        hit = _reached(sim, least, over)
+        i, j = np.nonzero(hit & (x[a][:, None] < y[b][None, :]) if own else hit)
+        out.append((*_ordered(x[a][i], y[b][j]), sim[i, j]))
+    return pa.table(dict(zip(("i", "j", "sim"), map(np.concatenate, zip(*out)))))
+
+
+def forest_of(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, tiles: Iterable[tuple[slice, slice, bool]], least: float, over: bool) -> pa.Table:
+    """Edges that tie the same vertices as those of ``edges_of``: one from each vertex to the smallest it reaches.
+
+    A tile whose vertices are tied already tells nothing new and is left out.
+    """
+    ids = np.union1d(x, y)
+    at, to, label = np.searchsorted(ids, x), np.searchsorted(ids, y), np.arange(len(ids))
+    for a, b, own in tiles:
+        p, q = label[at[a]], label[to[b]]
+        if (p == p[0]).all() and (q == p[0]).all():
+            continue
+        i, j = np.nonzero(_reached(xs[a] @ ys[b].T, least, over))
+        p, q = p[i], q[j]
+        while (apart := p != q).any():
+            p, q = p[apart], q[apart]
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label[label] != label).any():
+                label = label[label]
+            p, q = label[p], label[q]
+    tied = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table({"i": ids[tied], "j": ids[label[tied]]})
+
+
 @dataclass
 class Blocks:
-    """Vectors in blocks of neighbours: ``rows`` ``(id, v, block)``, and each block's centre, radius and greatest length."""
+    """Vectors in blocks of neighbours: ``rows`` ``(id, v, block)``, and each block's centre, radius, greatest length and part."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     centres: np.ndarray
     radii: np.ndarray
     lengths: np.ndarray
+    parts: np.ndarray
 
     def bounds(self, which: np.ndarray, other: Blocks) -> np.ndarray:
         """At least the dot product of any vector in the blocks ``which`` and any in each block of ``other``."""
@@ -128,30 +183,46 @@ def neighbourhoods(rows: DataFrame, each: int | None = None, pivots: int = PIVOT
     def centre(key, t):
         v = _matrix(t["v"])
         mean = v.mean(0)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "centre": pa.array([mean.tolist()]), "radius": [float(np.linalg.norm(v - mean, axis=1).max())], "length": [float(np.linalg.norm(v, axis=1).max())]})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "centre": pa.array([mean.tolist()]), "radius": [float(np.linalg.norm(v - mean, axis=1).max())], "length": [float(np.linalg.norm(v, axis=1).max())], "n": pa.array([len(v)], pa.int64())})
 
-    summary = dealt.groupBy("block").applyInArrow(centre, "block int, centre array<double>, radius double, length double").toArrow().sort_by("block")
+    summary = dealt.groupBy("block").applyInArrow(centre, "block int, centre array<double>, radius double, length double, n long").toArrow().sort_by("block")
     full = np.zeros((int(many.sum()), centres.shape[1])), np.full(int(many.sum()), -np.inf), np.zeros(int(many.sum()))
     index = np.asarray(summary["block"])
     full[0][index], full[1][index], full[2][index] = _matrix(summary["centre"]), np.asarray(summary["radius"]), np.asarray(summary["length"])
-    return Blocks(dealt, *full)
+    sizes = np.zeros(int(many.sum()), np.int64)
+    sizes[index] = np.asarray(summary["n"])
+    return Blocks(dealt, *full, (np.cumsum(sizes) - sizes) * _parts(n) // n)  # a part is a run of blocks
+
+
+def _bare(blocks: Blocks) -> Blocks:
+    return Blocks(None, blocks.centres, blocks.radii, blocks.lengths, blocks.parts)
 
 
-def _kept(left: Blocks, right: Blocks, least, same: bool = False) -> DataFrame:
-    """``(bi, bj)``: the pairs of blocks whose bound reaches ``least`` (a number, or one for each left block)."""
+def _reaching(one: Blocks, two: Blocks, least: np.ndarray, which: np.ndarray, same: bool) -> np.ndarray:
+    """Of each block in ``which`` with each of ``two``: whether the bound reaches ``least`` (one for each block of ``one``)."""
+    keep = (one.bounds(which, two) >= least[which][:, None]) & (one.radii[which] >= 0)[:, None] & (two.radii >= 0)[None, :]
+    return keep & (which[:, None] <= np.arange(len(two.radii))[None, :]) if same else keep
+
+
+def _kept(left: Blocks, right: Blocks, least, same: bool = False, parts: bool = False) -> DataFrame:
+    """``(bi, bj)``: the pairs of blocks whose bound reaches ``least`` (a number, or one for each left block); or the pairs of parts with any."""
     spark = left.rows.sparkSession
-    shared = spark.sparkContext.broadcast((Blocks(None, left.centres, left.radii, left.lengths), Blocks(None, right.centres, right.radii, right.lengths), np.broadcast_to(least, len(left.radii))))
+    shared = spark.sparkContext.broadcast((_bare(left), _bare(right), np.broadcast_to(least, len(left.radii))))
 
     def run(batches):
         one, two, least = shared.value
-        for b in batches:
-            which = np.asarray(b.column(0))
-            bound = np.where((one.radii[which] >= 0)[:, None] & (two.radii >= 0)[None, :], one.bounds(which, two), -np.inf)
-            i, j = np.nonzero(bound >= least[which][:, None])
-            keep = which[i] <= j if same else slice(None)
-            yield pa.RecordBatch.from_arrays([pa.array(which[i][keep], pa.int32()), pa.array(j[keep], pa.int32())], ["bi", "bj"])
+        for batch in batches:
+            every = np.asarray(batch.column(0))
+            for at in range(0, len(every), 64):
+                which = every[at : at + 64]
+                i, j = np.nonzero(_reaching(one, two, least, which, same))
+                i = which[i]
+                if parts:
+                    i, j = np.unique(np.stack([one.parts[i], two.parts[j]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["bi", "bj"])
 
-    return spark.range(len(left.radii)).mapInArrow(run, "bi int, bj int")
+    found = spark.range(len(left.radii)).mapInArrow(run, "bi int, bj int")
+    return settle(found.distinct(), scratch_root(spark, "pairs"), "met") if parts else found
 
 
 def pruned_share(vectors: DataFrame, least: float, id: str = "vec_id", vec: str = "embedding") -> float:
@@ -163,37 +234,83 @@ def pruned_share(vectors: DataFrame, least: float, id: str = "vec_id", vec: str
     return 1 - _kept(found, found, least, True).count() / (n * (n + 1) / 2)
 
 
-def _dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """The kernel on each pair of blocks in ``pairs``."""
-    a = left.join(pairs.withColumnRenamed("bi", "block"), "block").select("id", "v", F.col("block").alias("bi"), "bj")
-    b = right.join(pairs.withColumnRenamed("bj", "block"), "block").select(F.col("id").alias("rid"), F.col("v").alias("w"), F.col("bi").alias("ri"), F.col("block").alias("rj"))
+def _with_part(blocks: Blocks) -> DataFrame:
+    shared = blocks.rows.sparkSession.sparkContext.broadcast(blocks.parts)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value[np.asarray(b.column(2))], pa.int32())], ["id", "v", "block", "part"])
+
+    return blocks.rows.select("id", "v", "block").mapInArrow(run, f"id long, v {blocks.rows.schema['v'].dataType.simpleString()}, block int, part int")
+
+
+@dataclass
+class Side:
+    """A part's rows in the order of their blocks, and where each block ends."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    blocks: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(ids, vectors, blocks) -> Side:
+        blocks = np.asarray(blocks)
+        order = np.lexsort((np.asarray(ids), blocks))
+        which, first = np.unique(blocks[order], return_index=True)
+        return Side(np.asarray(ids)[order], _matrix(vectors)[order], which, np.append(first, len(order)))
+
+    def rows(self, k: int) -> slice:
+        return slice(int(self.ends[k]), int(self.ends[k + 1]))
+
 
-    def named(key, one, two):
-        return kernel(one, pa.table({"id": two["rid"], "v": two["w"]}), key[0].as_py() == key[1].as_py())
+def _dealt(left: Blocks, right: Blocks, least, kernel, schema: str, same: bool = False) -> DataFrame:
+    """``kernel(one, two, keep, bound)`` on each pair of parts: sides, and which of their blocks meet; ``least`` as in ``_kept``."""
+    spark = left.rows.sparkSession
+    met = F.broadcast(_kept(left, right, least, same, parts=True))  # a row for each pair of parts
+    a = _with_part(left).join(met.withColumnRenamed("bi", "part"), "part").select("id", "v", "block", F.col("part").alias("bi"), "bj")
+    b = _with_part(right).join(met.withColumnRenamed("bj", "part"), "part").select(F.col("id").alias("rid"), F.col("v").alias("w"), F.col("block").alias("other"), F.col("bi").alias("ri"), F.col("part").alias("rj"))
+    shared = spark.sparkContext.broadcast((_bare(left), _bare(right), np.broadcast_to(least, len(left.radii))))
+
+    def named(t, u):
+        one, two = Side.of(t["id"], t["v"], t["block"]), Side.of(u["rid"], u["w"], u["other"])
+        x, y, floors = shared.value
+        return kernel(one, two, _reaching(x, y, floors, one.blocks, same)[:, two.blocks], x.bounds(one.blocks, y)[:, two.blocks])
 
     return a.groupBy("bi", "bj").cogroup(b.groupBy("ri", "rj")).applyInArrow(named, schema)
 
 
+def _similar(vectors: DataFrame, least: float, over: bool, id: str, vec: str, core, schema: str) -> DataFrame:
+    """``core`` (``edges_of`` or ``forest_of``) on all pairs of parts."""
+    rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+    found = neighbourhoods(rows)
+
+    def whole(left, right, same):
+        return core(np.asarray(left["id"]), _matrix(left["v"]), np.asarray(right["id"]), _matrix(right["v"]), _grid(left.num_rows, right.num_rows, same), least, over)
+
+    def blocks(one, two, keep, bound):
+        tiles = ((one.rows(i), two.rows(j), one.blocks[i] == two.blocks[j]) for i, j in zip(*np.nonzero(keep)))
+        return core(one.ids, one.vectors, two.ids, two.vectors, tiles, least, over)
+
+    return _meet_self(rows, whole, schema) if found is None else _dealt(found, found, least, blocks, schema, True)
+
+
 def similar_pairs(vectors: DataFrame, least: float, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``(i, j, sim)``, i < j, of all pairs with a dot product of at least ``least``. Null vectors take no part.
 
     Vectors are dealt to blocks of neighbours; blocks whose centres and radii show that no pair can reach ``least``
-    never meet. A few blocks all meet.
+    never meet. Runs of blocks are parts, of which two meet in a task; a row goes to one task for each part.
     """
-    rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+    return _similar(vectors, least, False, id, vec, edges_of, "i long, j long, sim double")
 
-    def kernel(left, right, same):
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            x, y = np.asarray(left["id"]), np.asarray(right["id"])
-            sim = _matrix(left["v"]) @ _matrix(right["v"]).T
-            i, j = np.nonzero((sim >= least) & (x[:, None] < y[None, :]) if same else sim >= least)
-            out = [*_ordered(x[i], y[j]), sim[i, j]]
-        return pa.table(dict(zip(("i", "j", "sim"), out)))
-
-    schema = "i long, j long, sim double"
-    found = neighbourhoods(rows)
-    return _meet_self(rows, kernel, schema) if found is None else _dealt(_kept(found, found, least, True), found.rows, found.rows, kernel, schema)
+
+def similar_forest(vectors: DataFrame, least: float, over: bool = False, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """``(i, j)``: edges that tie the same vectors as ``similar_pairs`` does, at most one for each vector and pair of parts.
+
+    With ``over`` a product must be greater than ``least``. For components: the pairs themselves, which grow as the
+    square of the rows, are never written.
+    """
+    return _similar(vectors, least, over, id, vec, forest_of, "i long, j long")
 
 
 def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -204,20 +321,22 @@ def top_pairs(vectors: DataFrame, k: int, id: str = "vec_id", vec: str = "embedd
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
     def kernel(left, right, same):
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            x, y = np.asarray(left["id"]), np.asarray(right["id"])
-            sim = _matrix(left["v"]) @ _matrix(right["v"]).T
-            if same:
-                sim[x[:, None] >= y[None, :]] = -np.inf
+        x, y, xs, ys = np.asarray(left["id"]), np.asarray(right["id"]), _matrix(left["v"]), _matrix(right["v"])
+        first, second, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for a, b, own in _grid(len(x), len(y), same):
+            sim = xs[a] @ ys[b].T
+            if own:
+                sim[x[a][:, None] >= y[b][None, :]] = -np.inf
             most = sim.max(1)
             # k rows reach the k-th greatest of the rows' maxima, so no pair below it is among the k best
             bound = np.partition(most, len(most) - k)[len(most) - k] if len(most) > k else -np.inf
+            bound = max(bound, s[-1]) if len(s) == k else bound
             i, j = np.nonzero((sim >= bound) & (sim > -np.inf))
-            s, (first, second) = sim[i, j], _ordered(x[i], y[j])
+            one, two = _ordered(x[a][i], y[b][j])
+            first, second, s = np.concatenate([first, one]), np.concatenate([second, two]), np.concatenate([s, sim[i, j]])
             best = np.lexsort((second, first, -s))[:k]
-            out = [first[best], second[best], s[best]]
-        return pa.table(dict(zip(("i", "j", "sim"), out)))
+            first, second, s = first[best], second[best], s[best]
+        return pa.table({"i": first, "j": second, "sim": s})
 
     return _meet_self(rows, kernel, "i long, j long, sim double").orderBy(F.col("sim").desc(), "i", "j").limit(k)
 
@@ -227,15 +346,17 @@ def pair_extremes(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding"
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
     def kernel(left, right, same):
-        empty = {"id": np.zeros(0, np.int64), "lo": np.zeros(0), "hi": np.zeros(0)}
-        if not (left.num_rows and right.num_rows):
-            return pa.table(empty)
-        x, y = np.asarray(left["id"]), np.asarray(right["id"])
-        sim = _matrix(left["v"]) @ _matrix(right["v"]).T
-        own = x[:, None] == y[None, :]
-        low, high = np.where(own, np.inf, sim), np.where(own, -np.inf, sim)
-        sides = [(x, low.min(1), high.max(1))] if same else [(x, low.min(1), high.max(1)), (y, low.min(0), high.max(0))]
-        ids, lo, hi = (np.concatenate(c) for c in zip(*sides))
+        x, y, xs, ys = np.asarray(left["id"]), np.asarray(right["id"]), _matrix(left["v"]), _matrix(right["v"])
+        sides = [(np.full(len(ids), np.inf), np.full(len(ids), -np.inf)) for ids in (x, y)]
+        sides = [sides[0], sides[0]] if same else sides
+        for a, b, _ in _grid(len(x), len(y), same):
+            sim = xs[a] @ ys[b].T
+            own = x[a][:, None] == y[b][None, :]
+            low, high = np.where(own, np.inf, sim), np.where(own, -np.inf, sim)
+            for (lo, hi), at, axis in zip(sides, (a, b), (1, 0)):
+                lo[at], hi[at] = np.minimum(lo[at], low.min(axis)), np.maximum(hi[at], high.max(axis))
+        parts = [(x, *sides[0])] if same else [(x, *sides[0]), (y, *sides[1])]
+        ids, lo, hi = (np.concatenate(c) for c in zip(*parts))
         real = np.isfinite(lo)
         return pa.table({"id": ids[real], "lo": lo[real], "hi": hi[real]})
 
@@ -273,29 +394,58 @@ def nearest(left: DataFrame, right: DataFrame, id: str = "vec_id", vec: str = "e
     """``(id, nearest_id, sim)``: the right row of greatest dot product, the smaller id of equals."""
     side = lambda df: df.select(F.col(id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
+    def found(ids, best, near):
+        return pa.table({"id": ids, "nearest_id": near, "sim": best})
+
+    def better(best, near, sim, ids):
+        """Lays what ``sim`` with the ascending ``ids`` has over the best so far; of equals the smaller id."""
+        at = sim.argmax(1)
+        top, of = sim[np.arange(len(at)), at], ids[at]
+        win = (top > best) | (top == best) & (of < near)
+        best[win], near[win] = top[win], of[win]
+
+    def none(n):
+        return np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+
     def kernel(a, b):
         if not (a.num_rows and b.num_rows):
-            return pa.table({"id": np.zeros(0, np.int64), "nearest_id": np.zeros(0, np.int64), "sim": np.zeros(0)})
+            return found(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         order = np.argsort(np.asarray(b["id"]))
-        sim = (_matrix(a["v"]) @ _matrix(b["v"]).T)[:, order]
-        best = sim.argmax(1)
-        return pa.table({"id": np.asarray(a["id"]), "nearest_id": np.asarray(b["id"])[order][best], "sim": sim[np.arange(len(best)), best]})
+        ids, ys, xs = np.asarray(b["id"])[order], _matrix(b["v"])[order], _matrix(a["v"])
+        best, near = none(len(xs))
+        for x, y, _ in _grid(len(xs), len(ys)):
+            better(best[x], near[x], xs[x] @ ys[y].T, ids[y])
+        return found(np.asarray(a["id"]), best, near)
 
     schema = "id long, nearest_id long, sim double"
     one, two = neighbourhoods(side(left)), neighbourhoods(side(right))
-    best = lambda df: df.groupBy("id").agg(F.max(F.struct("sim", (-F.col("nearest_id")).alias("o"))).alias("b")).select("id", (-F.col("b.o")).alias("nearest_id"), F.col("b.sim").alias("sim"))
+    best_of = lambda df: df.groupBy("id").agg(F.max(F.struct("sim", (-F.col("nearest_id")).alias("o"))).alias("b")).select("id", (-F.col("b.o")).alias("nearest_id"), F.col("b.sim").alias("sim"))
     if one is None or two is None:
-        return best(_meet(side(left), side(right), kernel, schema))
+        return best_of(_meet(side(left), side(right), kernel, schema))
     # each block meets the block of greatest bound first; what it finds tells which others can hold better ones
     spark = left.sparkSession
     first = np.concatenate([one.bounds(np.arange(a, min(a + 64, len(one.radii))), two).argmax(1) for a in range(0, len(one.radii), 64)])
-    start = spark.createDataFrame([(i, int(j)) for i, j in enumerate(first.tolist())], "bi int, bj int")
-    known = settle(_dealt(start, one.rows, two.rows, lambda a, b, same: kernel(a, b), schema), scratch_root(spark, "pairs"), "first")
+    start = F.broadcast(spark.createDataFrame([(i, int(j)) for i, j in enumerate(first.tolist())], "bi int, bj int"))  # a row for each block
+    a = one.rows.select("id", "v", F.col("block").alias("bi"))
+    b = two.rows.join(start.withColumnRenamed("bj", "block"), "block").select(F.col("id").alias("rid"), F.col("v").alias("w"), F.col("bi").alias("ri"))
+    met = a.groupBy("bi").cogroup(b.groupBy("ri")).applyInArrow(lambda t, u: kernel(t, pa.table({"id": u["rid"], "v": u["w"]})), schema)
+    known = settle(met, scratch_root(spark, "pairs"), "first")
     floors = np.full(len(one.radii), -np.inf)
     for r in one.rows.join(known.select("id", "sim"), "id", "left").groupBy("block").agg(F.min(F.coalesce("sim", F.lit(float("-inf")))).alias("least")).collect():  # a row for each block
         floors[r["block"]] = r["least"]
-    rest = _kept(one, two, floors).join(start, ["bi", "bj"], "left_anti")
-    return best(known.unionByName(_dealt(rest, one.rows, two.rows, lambda a, b, same: kernel(a, b), schema)))
+
+    def rest(one, two, keep, bound):
+        best, near = none(len(one.ids))
+        for i in range(len(one.blocks)):
+            own = one.rows(i)
+            for j in np.argsort(-bound[i], kind="stable"):  # those of greatest bound first
+                if not keep[i, j] or bound[i, j] < best[own].min():
+                    break
+                better(best[own], near[own], one.vectors[own] @ two.vectors[two.rows(j)].T, two.ids[two.rows(j)])
+        got = np.isfinite(best)
+        return found(one.ids[got], best[got], near[got])
+
+    return best_of(known.unionByName(_dealt(one, two, floors, rest, schema)))
 
 
 def reference_stats(generated: DataFrame, references: DataFrame, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -307,9 +457,16 @@ def reference_stats(generated: DataFrame, references: DataFrame, id: str = "vec_
         if not (a.num_rows and b.num_rows):
             return pa.table({n: np.zeros(0, np.int64 if n in ("id", "n", "near") else np.float64) for n in names})
         order = np.argsort(np.asarray(b["id"]))
-        sim = (_matrix(a["v"]) @ _matrix(b["v"]).T)[:, order]
-        best = sim.argmax(1)
-        return pa.table(dict(zip(names, (np.asarray(a["id"]), sim.sum(1), np.full(len(sim), sim.shape[1]), sim.max(1), sim.min(1), np.asarray(b["id"])[order][best]))))
+        ids, ys, xs = np.asarray(b["id"])[order], _matrix(b["v"])[order], _matrix(a["v"])
+        n = len(xs)
+        total, hi, lo, near = np.zeros(n), np.full(n, -np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+        for x, y, _ in _grid(n, len(ys)):
+            sim = xs[x] @ ys[y].T
+            best, top = sim.argmax(1), sim.max(1)
+            more = top > hi[x]  # tiles come by ascending id, so that the smaller id stays
+            near[x] = np.where(more, ids[y][best], near[x])
+            total[x], hi[x], lo[x] = total[x] + sim.sum(1), np.maximum(hi[x], top), np.minimum(lo[x], sim.min(1))
+        return pa.table(dict(zip(names, (np.asarray(a["id"]), total, np.full(n, len(ys)), hi, lo, near))))
 
     found = _meet(side(generated), side(references), kernel, "id long, total double, n long, hi double, lo double, near long")
     return found.groupBy("id").agg(

@@ -96,7 +96,7 @@ _COMP = _E.replace("WITH", "WITH RECURSIVE", 1) + ", both_ AS (SELECT i, j FROM
 
 @query("q19_components", _COMP + " SELECT id, min(x) AS component FROM r GROUP BY id")
 def components(spark, sf):
-    return graph.connected_components(pairs.similar_pairs(vectors(spark, sf), EDGE))
+    return graph.connected_components(pairs.similar_forest(vectors(spark, sf), EDGE))
 
 
 _HAM = f"""WITH img AS ({IMG_SQL}), k AS (SELECT phash AS h, min(image_id) AS rep, count(*) AS n FROM img WHERE phash IS NOT NULL GROUP BY phash)
@@ -177,5 +177,5 @@ def model_stub(spark, sf):
 
 @query("q72_cluster_stats", _COMP + ", m AS (SELECT id, min(x) AS component FROM r GROUP BY id) SELECT component, count(*) AS size, array_to_string(list_sort(list(id))[1:5], ',') AS first FROM m GROUP BY component HAVING count(*) >= 3")
 def clusters(spark, sf):
-    comp = graph.connected_components(pairs.similar_pairs(vectors(spark, sf), EDGE))
+    comp = graph.connected_components(pairs.similar_forest(vectors(spark, sf), EDGE))
     return graph.cluster_stats(comp, 0).select("component", "size", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))

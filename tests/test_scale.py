@@ -94,6 +94,32 @@ def test_neighbours_meet_and_others_are_skipped(spark, monkeypatch):
     assert near == {i: 10_000 + int(k) for i, k in enumerate((x @ y.T).argmax(1))}
 
 
+def test_rows_go_to_as_many_parts_however_many_there_are(spark, monkeypatch):
+    assert pairs._parts(10_000) == pairs._parts(500_000) and pairs._parts(10**7) <= 10**7 // 30_000
+    for name, size in (("BLOCK", 64), ("PARTS", 5), ("TILE", 48)):
+        monkeypatch.setattr(pairs, name, size)
+    rng = np.random.default_rng(4)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(600, 8)), rng.normal(size=(500, 8))))
+    frame = lambda v, at: spark.createDataFrame([(at + int(i), v[i].tolist()) for i in rng.permutation(len(v))], "vec_id long, embedding array<double>")
+    a, b, sim, own = frame(x, 0), frame(y, 1000), x @ y.T, x @ x.T
+    i, j = np.nonzero(np.triu(own >= 0.6, 1))
+    edges = list(zip(i.tolist(), j.tolist()))
+    assert {(r.i, r.j) for r in pairs.similar_pairs(a, 0.6).collect()} == set(edges)
+    for least in (0.6, 0.85):
+        i, j = np.nonzero(np.triu(own > least, 1))
+        forest = pairs.similar_forest(a, least, over=True)
+        assert dict(map(tuple, graph.connected_components(forest).collect())) == components(list(zip(i.tolist(), j.tolist()))) and forest.count() <= 600 * 5
+    assert {r.id: r.nearest_id for r in pairs.nearest(a, b).collect()} == {i: 1000 + int(k) for i, k in enumerate(sim.argmax(1))}
+    stats = {r.id: r for r in pairs.reference_stats(a, b).collect()}
+    assert [stats[i].nearest_id - 1000 for i in range(600)] == sim.argmax(1).tolist() and np.allclose([stats[i].average for i in range(600)], sim.mean(1)) and np.allclose([stats[i].least for i in range(600)], sim.min(1))
+    np.fill_diagonal(own, np.nan)
+    ends = {r.id: (r.least, r.greatest) for r in pairs.pair_extremes(a).collect()}
+    assert np.allclose([ends[i] for i in range(600)], np.stack([np.nanmin(own, 1), np.nanmax(own, 1)], 1))
+    i, j = np.triu_indices(600, 1)
+    best = np.argsort(-own[i, j])[:30]
+    assert [(r.i, r.j) for r in pairs.top_pairs(a, 30).collect()] == list(zip(i[best].tolist(), j[best].tolist()))
+
+
 def test_a_crowded_band_is_cut_again(spark):
     rnd = random.Random(2)
     hashes = [0x0F0F | rnd.getrandbits(40) << 20 if rnd.random() < 0.9 else rnd.getrandbits(64) - 2**63 for _ in range(3000)]
