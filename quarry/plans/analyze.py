@@ -52,7 +52,7 @@ def looks(bodies: DataFrame | None, spark: SparkSession) -> DataFrame:
     """``(id, component)`` of images tied to others that look nearly the same."""
     if bodies is None:
         return spark.createDataFrame([], "id long, component long")
-    return graph.connected_components(pairs.similar_pairs(bodies, LOOKS).where(c("sim") > LOOKS).select("i", "j"))
+    return graph.connected_components(pairs.similar_forest(bodies, LOOKS, over=True))
 
 
 def diversity(bodies: DataFrame | None, tied: DataFrame, overfit: DataFrame) -> DataFrame:

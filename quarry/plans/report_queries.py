@@ -65,7 +65,7 @@ _BANDS = "CASE WHEN score >= 75 THEN 'excellent' WHEN score >= 55 THEN 'good' WH
 def diversity(spark, sf, alerts):
     """One row: clusters, overfit categories (null without alerts) and score."""
     v = vectors(spark, sf)
-    comp = graph.connected_components(pairs.similar_pairs(v, EDGE)).agg(F.count("*").alias("linked"), F.count_distinct("component").alias("comps"))
+    comp = graph.connected_components(pairs.similar_forest(v, EDGE)).agg(F.count("*").alias("linked"), F.count_distinct("component").alias("comps"))
     k = v.agg(F.count("*").alias("total")).crossJoin(comp).crossJoin(aggregates.overfit_categories(alerts).select("categories"))  # one row each
     k = k.withColumn("clusters", c("total") - c("linked") + c("comps"))
     return k.select("clusters", "categories", aggregates.diversity(c("clusters"), c("total"), c("categories")).alias("score"))
@@ -351,7 +351,7 @@ def full_advice(spark, sf):
     rows = judged(images(spark, sf)).withColumns({"metadata": c("image_id") % 5 == 0, "c2pa": c("image_id") % 7 == 0})
     v, alerts, root = vectors(spark, sf), worn_alerts(spark, sf), scratch_root(spark, "advice")
     rows, alerts = settle(rows, root, "images"), settle(alerts, root, "overfit")
-    tied = settle(graph.connected_components(pairs.similar_pairs(v, EDGE)), root, "tied")
+    tied = settle(graph.connected_components(pairs.similar_forest(v, EDGE)), root, "tied")
     mix = settle(analyze.diversity(v, tied, alerts), root, "diversity")
     scores = aggregates.target_scores(rows, F.lit(mix.first()["score"]).cast("double"))
     frontal = rows.select("image_id", "viable", F.lit("face_only").alias("shot"), (c("yaw") / 7).alias("yaw"), F.when(c("n_chars") % 2 == 0, "laughing").otherwise("sad").alias("expression"))
