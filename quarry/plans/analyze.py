@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import half_up
 from quarry.operators import aggregates, graph, pairs
+from quarry.operators.leaders import similar_leaders
 from quarry.plans.advice import advice
 from quarry.sources.adapters import judged
 from quarry.sources.scratch import scratch_root, settle
@@ -28,20 +29,20 @@ class Report:
     diversity: DataFrame
 
 
-def duplicate_keepers(features: DataFrame, vectors: DataFrame | None, max_bits: int = 4, least: float = 0.96) -> DataFrame:
+def duplicate_keepers(features: DataFrame, vectors: DataFrame | None, max_bits: int = 4, least: float = 0.96, claimed: bool = False) -> DataFrame:
     """``(id, keeper)``: near-equal hashes, or faces whose product is over ``least``. Every row is compared, by hash class.
 
     A class has all rows of one hash and is named by its first; classes are tied by bands, faces row by row.
+    With ``claimed`` only rows that have another one as keeper come.
     """
     hashed = features.where("phash IS NOT NULL").select("image_id", "phash")
     named = hashed.groupBy("phash").agg(F.min("image_id").alias("k"))
     members = hashed.join(named, "phash").select(c("image_id").alias("id"), "k")
     near = pairs.hamming_pairs(features, max_bits).select("i", "j")
     if vectors is None:
-        faces = near.limit(0)
-    else:
-        faces = pairs.similar_pairs(vectors, least).where(c("sim") > least).select("i", "j")
-    return graph.class_leaders(members, near, faces)
+        found = graph.class_leaders(members, near, near.limit(0))
+        return found.where("id <> keeper") if claimed else found
+    return similar_leaders(vectors, least, True, members, near, leaders=not claimed)
 
 
 #: Product over which two images look nearly the same, and the bodies from which clusters count.
@@ -78,7 +79,7 @@ def analyze(features: DataFrame, vectors: DataFrame | None = None, legacy_stats:
     spark, root = features.sparkSession, scratch_root(features.sparkSession)
     rows = settle(features, root, "features")
     if vectors is not None:
-        keepers = duplicate_keepers(rows, vectors).where("id <> keeper").select(c("id").alias("image_id"), "keeper")
+        keepers = duplicate_keepers(rows, vectors, claimed=True).select(c("id").alias("image_id"), "keeper")
         average = pairs.leave_one_out(vectors).select(c("id").alias("image_id"), half_up(c("average"), 3).alias("_avg"))
         rows = rows.join(keepers, "image_id", "left").join(average, "image_id", "left").withColumns({"duplicate": c("keeper").isNotNull(), "avg_sim": F.coalesce("_avg", "avg_sim")}).drop("_avg")
     images = settle(judged(rows), root, "images")

@@ -149,12 +149,12 @@ kp AS (SELECT id, CASE WHEN list_contains(leaders, id) THEN id ELSE list_min(lis
 def keepers(spark, sf):
     from quarry.plans.analyze import duplicate_keepers
 
-    return duplicate_keepers(images(spark, sf), vectors(spark, sf), 4, EDGE)
+    return duplicate_keepers(images(spark, sf), vectors(spark, sf), 4, EDGE, claimed=True)
 
 
 @query("q84_duplicate_keepers", _DUP + " SELECT id, keeper FROM kp WHERE id <> keeper")
 def duplicate_rows(spark, sf):
-    return keepers(spark, sf).where("id <> keeper")
+    return keepers(spark, sf)
 
 
 @query("q85_duplicate_groups", _DUP + ", mp AS (SELECT keeper, id, (row_number() OVER (PARTITION BY keeper ORDER BY id) - 1) // 10000 AS part, count(*) OVER (PARTITION BY keeper) AS n_members FROM kp WHERE id <> keeper) SELECT keeper, part, n_members, array_to_string(list(id ORDER BY id), ',') AS members FROM mp GROUP BY keeper, part, n_members")

@@ -8,6 +8,7 @@ from quarry.functions import classify
 from quarry.functions.numeric import cascade, half_up
 from quarry.functions.vectors import dot
 from quarry.operators import aggregates, graph, pairs
+from quarry.operators.leaders import similar_leaders
 from quarry.plans.registry import query
 from quarry.sources.adapters import IMG_SQL, images, r_sql
 
@@ -88,7 +89,7 @@ SELECT id, CASE WHEN list_contains(leaders, id) THEN id ELSE list_min(list_inter
 
 @query("q18_greedy_duplicates", _GREEDY)
 def greedy(spark, sf):
-    return graph.greedy_leaders(pairs.similar_pairs(vectors(spark, sf), EDGE))
+    return similar_leaders(vectors(spark, sf), EDGE)
 
 
 _COMP = _E.replace("WITH", "WITH RECURSIVE", 1) + ", both_ AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r(id, x) AS (SELECT i, i FROM both_ UNION SELECT b.j, r.x FROM r JOIN both_ b ON b.i = r.id)"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, pairs, prefix
+from quarry.operators import leaders as leading
 from quarry.sources import scratch
 
 
@@ -174,6 +175,30 @@ def test_leaders_of_classes(spark, block):
     assert dict(map(tuple, got.collect())) == leaders(edges)
 
 
+@pytest.mark.parametrize("batch", [40, 8192])
+def test_leaders_of_vectors_and_classes(spark, monkeypatch, batch):
+    """Equal to the pass over all edges, without any edge of vectors written; rows with a class, a vector, both or neither."""
+    monkeypatch.setattr(pairs, "similar_pairs", None)
+    rnd, rng = random.Random(5), np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] = 0
+    own = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T > 0.8, 1)))]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)] + [(900, None)], "vec_id long, embedding array<double>")
+    assert dict(map(tuple, leading.similar_leaders(v, 0.8, batch=batch).collect())) == leaders(own)
+    of, first = {i: rnd.randrange(60) for i in range(400) if rnd.random() < 0.5}, {}
+    for i, k in sorted(of.items()):
+        first.setdefault(k, i)
+    of = {i: first[k] for i, k in of.items()}
+    near = [(a, b) for a in first.values() for b in first.values() if a < b and rnd.random() < 0.02]
+    edges = [(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in near)] + own
+    frame = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
+    members, tied, want = frame(list(of.items()), "id", "k"), frame(near, "i", "j"), leaders(edges)
+    assert dict(map(tuple, leading.similar_leaders(v, 0.8, True, members, tied, batch=batch).collect())) == want
+    claims = leading.similar_leaders(v, 0.8, True, members, tied, leaders=False, batch=batch)
+    assert dict(map(tuple, claims.collect())) == {i: k for i, k in want.items() if i != k}
+
+
 def test_members_of_a_large_group_come_in_parts(spark):
     keepers = spark.range(1000).select("id", F.when(F.col("id") < 900, 0).otherwise(900).alias("keeper"))
     rows = {(r.keeper, r.part): (r.n_members, list(r.members)) for r in graph.duplicate_groups(keepers, 200).collect()}
