@@ -86,6 +86,19 @@ def test_one_alarm_for_each_silence(spark, tmp_path):
     assert told == [(1, 60, 30), (2, 0, 30), (2, 52, 30), (3, 205, 30)]
 
 
+def test_silences_of_many_runs_need_no_python(spark, tmp_path):
+    """A run with state in Python costs several calls of a worker in each batch; sessions run in the engine."""
+    feed(spark, f"{tmp_path}/in", [(r, at(r % 7), r) for r in range(500)] + [(-1, at(500), 500)])
+    found, plans = [], []
+
+    def sink(b, _):
+        plans.append(b._jdf.queryExecution().toString())
+        found.extend(map(tuple, b.select("run", "last_ts", "silent_at").collect()))
+
+    stateful.run_to_end(stateful.silence_stream(stream(spark, f"{tmp_path}/in"), "run", "ts"), str(tmp_path), sink)
+    assert sorted(found) == [(r, at(r % 7), at(r % 7 + 30)) for r in range(500)] and plans and not any("Python" in p or "Pandas" in p for p in plans)
+
+
 def test_latest_table_and_replay(spark, tmp_path):
     columns, rows = ["id"], [(i % 4, at((i * 7) % 50), i) for i in range(60)]
     t = stateful.latest_table(spark, str(tmp_path), "run", "ts", columns)
