@@ -231,3 +231,31 @@ def test_many_texts_of_one_id(spark):
     one = minhash.near_groups(spark.createDataFrame([(7, t) for t in texts] + [(7, texts[0])] * 50, "doc_id long, text string"), 5)
     assert many.select("group").distinct().count() == one.select("group").distinct().count() == 400
     assert one.count() == 850 and one.groupBy("k1", "k2").agg({"group": "count"}).count() == 800
+
+
+@pytest.mark.parametrize("block, tables", [(10_000, 2), (700, 99), (40, 99)])
+def test_components_of_blocks_take_no_rounds(spark, monkeypatch, block, tables):
+    """A long path, small cycles and a star: one block ends after two tables (rounds took more), many blocks give the same."""
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(700)] + [(2000 + i, 2000 + i // 3 * 3 + (i + 1) % 3) for i in range(300)] + [(5000, 5000 + i) for i in range(1, 200)] + [(7, 7)]
+    names = list(range(6000))
+    rnd.shuffle(names)
+    edges = [(names[i], names[j]) for i, j in edges] + [(names[1], names[0])]
+    parent = {i: i for e in edges for i in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in edges:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    made = []
+    table = minhash.Scratch.table
+    monkeypatch.setattr(minhash.Scratch, "table", lambda self, df, name: made.append(name) or table(self, df, name))
+    got = minhash.components(spark.createDataFrame(edges, "a long, b long"), minhash.Scratch(spark, "t"), "c", block).collect()
+    assert sorted(map(tuple, got)) == sorted((i, root(i)) for i in parent if root(i) != i)
+    assert len(made) <= tables
+    none = spark.createDataFrame([], "a long, b long")
+    assert minhash.components(none, minhash.Scratch(spark, "t"), "none", block).count() == 0
