@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import zlib
 
 from quarry.llm import feature_history as fh
@@ -86,6 +87,40 @@ def test_segments_hold_their_values(spark):
     assert got == sorted((r[0], r[4], r[11]) for r in plain(*tables, (5,)))
 
 
+def test_deltas_meet_once(spark, monkeypatch):
+    """Deltas aren't kept before their segments: one exchange by bin, and clicks are told apart once."""
+    plans, table = {}, fh.Scratch.table
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return table(self, df, name)
+
+    monkeypatch.setattr(fh.Scratch, "table", kept)
+    history = fh.History(*frames(spark, *shop(7, 150, 3)), bin=8)
+    assert "deltas" not in plans and [n for n, p in plans.items() if "props" in p] == ["clicks"]
+    assert len(re.findall(r"hashpartitioning\(client#\d+L?, window#\d+L?, bin#\d+L?, \d+\)", plans["segments"])) == 1
+    assert history.segments.where("since >= until").isEmpty()
+    # what begins also ends: each client's last bin, with the bins before it, comes to nothing
+    ends = history.segments.where("client IS NOT NULL AND until IS NULL").join(history.carry, ["client", "window", "bin"], "left").collect()
+    last = {(r.client, r.window): r for r in sorted(ends, key=lambda r: r.bin)}
+    assert max(r.bin for r in ends) > 8 and all(r[s] + (r[f"_{s}"] or 0) == 0 for r in last.values() for s in fh.SUMS)
+
+
+def test_one_sale_with_all_lines(spark, monkeypatch):
+    """However many lines a sale has, few deltas meet in its bin."""
+    dealt, segments = [], fh.History._segments
+
+    def seen(self, deltas):
+        dealt.append(deltas.groupBy("client", "window", "bin").count().agg({"count": "max"}).first()[0])
+        return segments(self, deltas)
+
+    monkeypatch.setattr(fh.History, "_segments", seen)
+    sale = (1, 7, "done", 2.5, T0, T0, 1)
+    lines = [(1, k, k, 1, 1, 1.0, 0.0, "", T0 - dt.timedelta(days=1)) for k in range(500)]
+    found = fh.feature_table(*frames(spark, [], [sale], lines)).collect()
+    assert sorted(map(tuple, found)) == plain([], [sale], lines, (2, 14)) and dealt[0] <= 8
+
+
 def test_empty_shop(spark):
     none = frames(spark, [], [], [])
     assert fh.feature_table(*none).count() == 0
